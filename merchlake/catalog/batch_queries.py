@@ -17,6 +17,7 @@ from merchlake.operators.envelope import envelope, kind_of_topic
 from merchlake.operators.joins import join_latest_payment, unpaid_orders
 from merchlake.operators.late import drop_late
 from merchlake.operators.merge import merge, stamped
+from merchlake.operators.skew import hot_keys
 from merchlake.operators.silver import flatten, silver_batch
 from merchlake.operators.validate import accepted, quarantine_rows, with_reason
 from merchlake.operators.wire_codec import (
@@ -91,10 +92,14 @@ def delivered_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _latest_joined(spark: SparkSession, d: str) -> DataFrame:
+    orders = good(spark, d, "orders_ev")
+    payments = good_unique(spark, d, "payments_ev")
+    return join_latest_payment(dedupe_events(orders), payments, ["offset"], hot_keys(orders, "order_id"))
+
+
 def order_facts(spark: SparkSession, d: str) -> DataFrame:
-    orders = good_unique(spark, d, "orders_ev")
-    joined = join_latest_payment(orders, good_unique(spark, d, "payments_ev"), ["offset"])
-    named = joined.withColumnsRenamed({"partition": "kafka_partition", "offset": "kafka_offset"})
+    named = _latest_joined(spark, d).withColumnsRenamed({"partition": "kafka_partition", "offset": "kafka_offset"})
     return metrics.fact_orders(named, stamp(AS_OF_MS))
 
 
@@ -214,10 +219,8 @@ def late(spark, d):
 
 
 def orders_latest_payment(spark, d):
-    joined = join_latest_payment(
-        good_unique(spark, d, "orders_ev"), good_unique(spark, d, "payments_ev"), ["offset"]
-    )
-    return joined.select("event_id", "order_id", "status", "payment_status", "payment_event_id")
+    rows = _latest_joined(spark, d)
+    return rows.select("event_id", "order_id", "status", "payment_status", "payment_event_id")
 
 
 def unpaid(spark, d):

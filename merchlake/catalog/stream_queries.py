@@ -36,11 +36,16 @@ def _stream_conf(spark: SparkSession) -> dict[str, str]:
 
 
 def _run_waves(
-    spark: SparkSession, arrivals: DataFrame, path: str, writers: list[Callable[[], object]], extra=None
+    spark: SparkSession,
+    arrivals: DataFrame,
+    path: str,
+    writers: list[Callable[[], object]],
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    extra: DataFrame | None = None,
 ) -> None:
     """Land the rows of each wave, then drain every stream."""
     with temporary_conf(spark, _stream_conf(spark)):
-        waves = [arrivals.filter(F.col("wave") == k).drop("wave") for k in range(fx.WAVES)]
+        waves = [prepare(arrivals.filter(F.col("wave") == k)).drop("wave") for k in range(fx.WAVES)]
         for rows in [*waves, *([extra] if extra is not None else [])]:
             rows.write.mode("append").parquet(path)
             for writer in writers:
@@ -60,8 +65,9 @@ def _record_stream(spark: SparkSession, d: str, stages: tuple[str, ...]) -> str:
             landing.silver_stream(spark, f"{root}/silver"), root, stamp(AS_OF_MS)
         ),
     }
-    records = fx.kafka_records(fx.all_deliveries(spark, d))
-    _run_waves(spark, records, path, [writers[s] for s in stages])
+    _run_waves(
+        spark, fx.all_deliveries(spark, d), path, [writers[s] for s in stages], prepare=fx.kafka_records
+    )
     return root
 
 
@@ -220,7 +226,7 @@ def stream_orders_payments(spark, d):
         )
         return stateful.append_writer(joined, f"{root}/out", f"{root}/checkpoint")
 
-    _run_waves(spark, arrivals, path, [writer], extra)
+    _run_waves(spark, arrivals, path, [writer], extra=extra)
     pairs = spark.read.parquet(f"{root}/out").filter(F.col("order_id") != "tick")
     newest_first = [F.col("payment_time").desc_nulls_last(), F.col("payment_event_id").asc()]
     return first_per_key(pairs, ["order_event_id"], newest_first).select(

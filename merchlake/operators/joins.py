@@ -20,12 +20,19 @@ def latest_payments(payments: DataFrame, arrival=("partition", "offset")) -> Dat
     )
 
 
-def join_latest_payment(orders: DataFrame, payments: DataFrame, arrival=("partition", "offset")) -> DataFrame:
-    """Add ``payment_status`` and ``payment_event_id`` to every order event."""
+def join_latest_payment(
+    orders: DataFrame,
+    payments: DataFrame,
+    arrival=("partition", "offset"),
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``payment_status`` and ``payment_event_id`` to every order event.
+
+    ``hot`` may list the frequent order ids when that is cheaper than counting ``orders``.
+    """
     kept = [c for c in orders.columns if c not in ("payment_status", "payment_event_id")]
-    return skew_left_join(
-        orders.select(*kept), latest_payments(payments, arrival), "order_id", spread=["event_id"]
-    )
+    latest = latest_payments(payments, arrival)
+    return skew_left_join(orders.select(*kept), latest, "order_id", spread=["event_id"], hot=hot)
 
 
 def unpaid_orders(orders: DataFrame, payments: DataFrame) -> DataFrame:

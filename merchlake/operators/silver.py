@@ -9,6 +9,7 @@ from merchlake.contracts import SILVER_EXTRA, SILVER_SCHEMA, WATERMARK_LAG_MS
 from merchlake.operators.dedupe import dedupe_events
 from merchlake.operators.joins import join_latest_payment
 from merchlake.operators.late import drop_late, max_event_ts
+from merchlake.operators.skew import hot_keys
 
 _RENAMED = {"kafka_partition": "partition", "kafka_offset": "offset"}
 
@@ -39,5 +40,6 @@ def silver_batch(accepted: DataFrame, lag_ms: int = WATERMARK_LAG_MS, extra: boo
     orders = kept.filter(F.col("kind") == "orders")
     payments = kept.filter(F.col("kind") == "payments")
     others = kept.filter(F.col("kind") != "orders")
-    joined = join_latest_payment(orders, payments)
+    hot = hot_keys(accepted.filter(F.col("kind") == "orders"), "order_id")
+    joined = join_latest_payment(orders, payments, hot=hot)
     return flatten(joined, extra).unionByName(flatten(others, extra))

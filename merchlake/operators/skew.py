@@ -14,10 +14,12 @@ PIECES = 1000
 def hot_keys(df: DataFrame, key: str, pieces: int = PIECES) -> DataFrame:
     """Keys with more than ``1/pieces`` of the rows, and how many salts spread each of them.
 
-    At most ``pieces`` rows whatever the input, and the salts add up to at most twice that.
+    At most ``pieces`` rows whatever the input, and the salts add up to at most twice that. The
+    list only steers how work is spread, so it may be taken from any cheap stand-in for the rows
+    that are joined later, such as the rows before deduplication.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("_total")).scalar()
+    total = counts.agg(F.sum("_n")).scalar()
     return counts.filter(F.col("_n") * pieces > total).select(
         key, F.ceil(F.col("_n") * pieces / total).cast("int").alias("salts")
     )

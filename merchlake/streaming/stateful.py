@@ -5,6 +5,8 @@ State is bounded by the watermark and lives in the state store of the session.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +109,7 @@ def join_orders_payments_stream(
         right = right.join(F.broadcast(hot_right), "_order_id", "left").withColumn(
             "_right_salt", F.explode(F.sequence(F.lit(0), salts - 1))
         ).drop("salts")
-    tolerance = F.expr(f"make_dt_interval(0, 0, 0, {lag_ms / 1000:.6f})")
+    tolerance = F.lit(timedelta(milliseconds=lag_ms))
     near = F.col("payment_time").between(F.col("order_time") - tolerance, F.col("order_time") + tolerance)
     same = (F.col("order_id") == F.col("_order_id")) & (F.col("_salt") == F.col("_right_salt"))
     return left.join(right, same & near, "left_outer").drop("_order_id", "_salt", "_right_salt")
