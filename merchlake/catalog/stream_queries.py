@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from merchlake import fixtures as fx
 from merchlake.catalog.batch_queries import AS_OF_MS, checked_deliveries, stamp
@@ -145,10 +146,8 @@ def _kind(spark, d, kind):
 
 
 def _typed_stream(spark, path):
-    schema = spark.createDataFrame([], "topic string, partition int, offset bigint").schema
-    for field in EVENT_FIELDS:
-        schema = schema.add(field)
-    return spark.readStream.schema(schema).parquet(path)
+    meta = [field for field in landing.RECORD_SCHEMA if field.name in _META]
+    return spark.readStream.schema(T.StructType(meta + list(EVENT_FIELDS))).parquet(path)
 
 
 def _dedupe_run(spark, d, label, arrivals, salts):

@@ -216,29 +216,43 @@ SERVING_KEYS = {
     "gold_stockouts": ("sku", "warehouse_id", "event_id"),
     "pipeline_watermarks": ("job_name",),
 }
+_COLUMN_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def _columns(text: str) -> T.StructType:
+    pairs = [column.split() for column in text.split(",")]
+    return T.StructType([T.StructField(name, _COLUMN_TYPES[kind]) for name, kind in pairs])
+
+
 SERVING_SCHEMAS = {
-    "fact_orders": T.StructType.fromDDL(
+    "fact_orders": _columns(
         "event_id string, order_id string, customer_id string, status string,"
         " payment_status string, amount_cents bigint, currency string, coupon_code string,"
         " event_ts timestamp, ingest_ts timestamp, kafka_partition int, kafka_offset bigint,"
         " updated_at timestamp"
     ),
-    "fact_payments": T.StructType.fromDDL(
+    "fact_payments": _columns(
         "event_id string, payment_id string, order_id string, status string,"
         " amount_cents bigint, currency string, event_ts timestamp, updated_at timestamp"
     ),
-    "gold_hourly_gmv": T.StructType.fromDDL(
+    "gold_hourly_gmv": _columns(
         "hour_ts timestamp, currency string, gmv_cents bigint, order_count bigint,"
         " updated_at timestamp"
     ),
-    "gold_payment_stats": T.StructType.fromDDL(
+    "gold_payment_stats": _columns(
         "hour_ts timestamp, paid_count bigint, failed_count bigint, failure_rate double,"
         " updated_at timestamp"
     ),
-    "gold_stockouts": T.StructType.fromDDL(
+    "gold_stockouts": _columns(
         "sku string, warehouse_id string, quantity int, event_id string, event_ts timestamp"
     ),
-    "pipeline_watermarks": T.StructType.fromDDL(
+    "pipeline_watermarks": _columns(
         "job_name string, last_batch_id bigint, last_event_ts timestamp, rows_written bigint,"
         " updated_at timestamp"
     ),
