@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.operators import metrics
 from merchlake.operators.merge import stamped
 from merchlake.plans import serving
+from merchlake.session import together
 
 JOB_NAME = "gold"
 
@@ -32,8 +35,13 @@ def gold_deltas(silver: DataFrame, batch_id: int, updated_at: Column) -> dict[st
 def write_gold_batch(silver: DataFrame, root: str, batch_id: int, updated_at: Column | None = None) -> None:
     """Write every delta of a batch. The progress row goes last and marks the batch as complete."""
     stamp = F.current_timestamp() if updated_at is None else updated_at
-    for table, rows in gold_deltas(silver, batch_id, stamp).items():
-        serving.write_delta(rows, root, table, batch_id)
+    deltas = gold_deltas(silver, batch_id, stamp)
+    progress = deltas.pop("pipeline_watermarks")
+    together(
+        silver.sparkSession,
+        *[partial(serving.write_delta, rows, root, table, batch_id) for table, rows in deltas.items()],
+    )
+    serving.write_delta(progress, root, "pipeline_watermarks", batch_id)
 
 
 def order_facts(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:

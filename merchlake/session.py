@@ -5,7 +5,10 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -63,6 +66,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
+def together(spark: SparkSession, *writes: Callable[[], None]) -> None:
+    """Run independent writes at the same time, so small ones fill the gaps large ones leave.
+
+    Raises the first error once all of them have ended.
+    """
+    with ThreadPoolExecutor(len(writes)) as pool:
+        pending = [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]
+    for write in pending:
+        write.result()
+
+
 @contextlib.contextmanager
 def temporary_conf(spark: SparkSession, conf: dict[str, str]):
     """Set session options for the duration of a block, then restore them."""

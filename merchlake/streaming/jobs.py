@@ -19,6 +19,7 @@ from merchlake.operators.silver import silver_batch
 from merchlake.operators.validate import accepted, quarantine_rows, with_reason
 from merchlake.operators.wire_codec import decode_wire
 from merchlake.plans.gold import write_gold_batch
+from merchlake.session import path_exists, together
 from merchlake.sources.kafka import write_kafka
 from merchlake.sources.landing import silver_table
 
@@ -68,25 +69,36 @@ def conform_batch(
     writers: dict[int, str] | None = None,
     lag_ms: int = WATERMARK_LAG_MS,
     dlq_servers: str | None = None,
+    redo: bool = False,
 ) -> None:
     """Write silver rows, quarantine, dead letters and metrics of one batch of envelopes.
 
     The ingest stamp is the one the landing table holds, so a replayed batch produces the same
-    partitions and replaces them.
+    partitions and replaces them. Metrics come last: a batch that has them is complete and is not
+    written again (unless ``redo``), so that readers of the silver files do not see it twice.
     """
+    spark = batch.sparkSession
+    if not redo and path_exists(spark, f"{root}/metrics/batch_id={batch_id}/_SUCCESS"):
+        return
     checked = with_reason(decode_wire(batch, writers)).persist()
     try:
         rejects = quarantine_rows(checked)
-        _write_batch(rejects, f"{root}/quarantine", batch_id, ["topic"])
-        if dlq_servers:
-            write_kafka(dlq_records(rejects), dlq_servers)
-        else:
-            letters = dlq_records(rejects).write.mode("overwrite").partitionBy("topic")
-            letters.parquet(f"{root}/dlq/batch_id={batch_id}")
-        _write_batch(
-            silver_batch(accepted(checked), lag_ms, extra=True), f"{root}/silver", batch_id, ["kind"]
+        silver = silver_batch(accepted(checked), lag_ms, extra=True)
+
+        def dead_letters() -> None:
+            if dlq_servers:
+                write_kafka(dlq_records(rejects), dlq_servers)
+            else:
+                letters = dlq_records(rejects).write.mode("overwrite").partitionBy("topic")
+                letters.parquet(f"{root}/dlq/batch_id={batch_id}")
+
+        together(
+            spark,
+            lambda: _write_batch(silver, f"{root}/silver", batch_id, ["kind"]),
+            lambda: _write_batch(rejects, f"{root}/quarantine", batch_id, ["topic"]),
+            dead_letters,
         )
-        written = silver_table(batch.sparkSession, f"{root}/silver").filter(F.col("batch_id") == batch_id)
+        written = silver_table(spark, f"{root}/silver").filter(F.col("batch_id") == batch_id)
         batch_metrics(checked, written).write.mode("overwrite").parquet(
             f"{root}/metrics/batch_id={batch_id}"
         )

@@ -134,7 +134,10 @@ def test_serving_tables(spark, lake):
 def test_replayed_batches_change_nothing(spark, lake):
     ids, value = silver_ids(spark, lake), gmv(spark, lake)
     bronze = landing.bronze_table(spark, f"{lake}/bronze").filter("offset < 100")
+    before = landing.silver_table(spark, f"{lake}/silver").inputFiles()
     jobs.conform_batch(bronze, 0, lake)
+    assert sorted(landing.silver_table(spark, f"{lake}/silver").inputFiles()) == sorted(before)
+    jobs.conform_batch(bronze, 0, lake, redo=True)
     assert silver_ids(spark, lake) == ids
     assert landing.quarantine_table(spark, f"{lake}/quarantine").count() == 2
     batch = landing.silver_table(spark, f"{lake}/silver").filter("batch_id = 1")
