@@ -28,8 +28,3 @@ def schema_id(value: Column) -> Column:
 
 def body(value: Column) -> Column:
     return F.substring(value, WIRE_HEADER_BYTES + 1, 2**31 - 1)
-
-
-def header(schema_id_: Column) -> Column:
-    """The five header bytes for a schema id."""
-    return F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(schema_id_.cast("bigint")), 8, "0")))

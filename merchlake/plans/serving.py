@@ -19,15 +19,15 @@ from merchlake.operators.skew import skew_left_join
 from merchlake.session import path_exists
 
 
-def _versions(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Version numbers of the finished sub-folders; a listing of names, not of data."""
+def _versions(spark: SparkSession, folder: str, prefix: str, above: int = -1) -> list[int]:
+    """Version numbers past ``above`` of the finished sub-folders; a listing of names, not of data."""
     if not path_exists(spark, folder):
         return []
     jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(jpath)]
-    found = [n for n in names if n.startswith(prefix) and path_exists(spark, f"{folder}/{n}/_SUCCESS")]
-    return sorted(int(n[len(prefix) :]) for n in found)
+    found = sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
+    return [v for v in found if v > above and path_exists(spark, f"{folder}/{prefix}{v}/_SUCCESS")]
 
 
 def write_delta(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
@@ -40,9 +40,8 @@ def write_base(rows: DataFrame, root: str, table: str, version: int) -> None:
 
 def last_batch(spark: SparkSession, root: str, table: str) -> int:
     """Newest batch held by the table, -1 for an empty one."""
-    found = _versions(spark, f"{root}/{table}/base", "version=")
-    found += _versions(spark, f"{root}/{table}/deltas", "batch_id=")
-    return max(found, default=-1)
+    base = max(_versions(spark, f"{root}/{table}/base", "version="), default=-1)
+    return max(_versions(spark, f"{root}/{table}/deltas", "batch_id=", above=base), default=base)
 
 
 def read_versions(spark: SparkSession, root: str, table: str, upto: int | None = None) -> DataFrame:
@@ -55,15 +54,15 @@ def read_versions(spark: SparkSession, root: str, table: str, upto: int | None =
     if bases:
         frame = spark.read.schema(schema).parquet(f"{root}/{table}/base/version={base}")
         parts.append(frame.withColumn("version", F.lit(base).cast("bigint")))
-    deltas = [v for v in _versions(spark, f"{root}/{table}/deltas", "batch_id=") if limit(v) and v > base]
+    folder = f"{root}/{table}/deltas"
+    deltas = [v for v in _versions(spark, folder, "batch_id=", above=base) if limit(v)]
     if deltas:
-        folder = f"{root}/{table}/deltas"
         frame = (
             spark.read.schema(schema)
             .option("basePath", folder)
             .parquet(*[f"{folder}/batch_id={v}" for v in deltas])
         )
-        parts.append(frame.withColumnRenamed("batch_id", "version").withColumn("version", F.col("version").cast("bigint")))
+        parts.append(frame.withColumn("version", F.col("batch_id").cast("bigint")).drop("batch_id"))
     if not parts:
         empty = spark.createDataFrame([], schema)
         return empty.withColumn("version", F.lit(0).cast("bigint"))

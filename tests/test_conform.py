@@ -8,6 +8,7 @@ from merchlake.operators.dedupe import dedupe_events
 from merchlake.operators.joins import count_unpaid, join_latest_payment, unpaid_orders
 from merchlake.operators.late import drop_late
 from merchlake.operators.skew import hot_keys, skew_left_join
+from merchlake.session import temporary_conf
 
 ORDERS = "event_id string, order_id string, status string, event_ts bigint"
 PAYMENTS = ORDERS + ", partition int, offset bigint"
@@ -98,6 +99,17 @@ def test_hot_keys_are_bounded(spark):
 
 def test_hot_rows_spread_over_the_shuffle(spark):
     left = spark.range(1000).selectExpr("'hot' AS k", "cast(id AS string) AS event_id")
+    left = left.unionByName(spark.range(200).selectExpr("NULL AS k", "concat('n', id) AS event_id"))
     right = spark.createDataFrame([("hot", 1)], "k string, v int")
-    joined = skew_left_join(left, right, "k", spread=["event_id"], pieces=50)
-    assert joined.count() == 1000 and joined.filter("v = 1").count() == 1000
+    plain_shuffle = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    with temporary_conf(spark, plain_shuffle):
+        joined = skew_left_join(left, right, "k", spread=["event_id"], pieces=200)
+        sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert joined.filter("k = 'hot' AND v = 1").count() == 1000
+        assert joined.filter("k IS NULL AND v IS NULL").count() == 200
+    assert sum(r["count"] for r in sizes) == 1200
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 1200 / 8 * 2
