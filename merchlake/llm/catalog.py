@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import decontaminate, html_main_text, license_scan, secret_ledger
+from merchlake.llm import decontaminate, html_main_text, license_scan, ngram_join, secret_ledger
 from merchlake.llm.batches import prepare, table
 from merchlake.session import run_folder
 
@@ -26,6 +26,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licence_digest(found).withColumnRenamed("id", "doc_id")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.ngram_join(table(prepare(spark), sf_dir, "documents"), n=3, num=90, den=100)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_license_scan": op7_license_scan,
+    "op9_ngram_join": op9_ngram_join,
     "op10_decontaminate": op10_decontaminate,
 }
 
