@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import decontaminate, html_main_text, license_scan, ngram_join, secret_ledger
+from merchlake.llm import decontaminate, html_main_text, license_scan, ngram_join, secret_ledger, weak_toxicity
 from merchlake.llm.batches import prepare, table
 from merchlake.session import run_folder
 
@@ -15,6 +15,12 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
+def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = weak_toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(prepare(spark), sf_dir, "documents")
     found = secret_ledger.scan_versions(documents, run_folder(spark, "secret-ledger"))
@@ -39,6 +45,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
+    "op4_weak_toxicity": op4_weak_toxicity,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_license_scan": op7_license_scan,
     "op9_ngram_join": op9_ngram_join,
