@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import decontaminate, html_main_text, license_scan, ngram_join, secret_ledger, weak_toxicity
+from merchlake.llm import decontaminate, html_main_text, license_scan, mixing, ngram_join, secret_ledger, slots, weak_toxicity
 from merchlake.llm.batches import prepare, table
 from merchlake.session import run_folder
 
@@ -15,6 +15,11 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draws = mixing.mix_sources(table(prepare(spark), sf_dir, "documents").select("doc_id", "source", "text"))
+    return draws.select("row.doc_id", "row.source", "n_tokens", "weight", "epoch", "block", "place")
+
+
 def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = weak_toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,6 +37,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licence_digest(found).withColumnRenamed("id", "doc_id")
 
 
+def op8_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = slots.shard_records(table(prepare(spark), sf_dir, "documents"), run_folder(spark, "slot-map"))
+    return slots.shard_digest(placed).withColumnRenamed("id", "doc_id")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_join(table(prepare(spark), sf_dir, "documents"), n=3, num=90, den=100)
     return found.withColumnRenamed("id", "doc_id")
@@ -45,9 +55,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
+    "op2_mixing": op2_mixing,
     "op4_weak_toxicity": op4_weak_toxicity,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_license_scan": op7_license_scan,
+    "op8_slots": op8_slots,
     "op9_ngram_join": op9_ngram_join,
     "op10_decontaminate": op10_decontaminate,
 }
