@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import decontaminate, html_main_text, license_scan, mixing, ngram_join, secret_ledger, slots, weak_toxicity
+from merchlake.llm import decontaminate, html_main_text, license_scan, mixing, mtree_topk, ngram_join, secret_ledger, slots, weak_toxicity
 from merchlake.llm.batches import prepare, table
 from merchlake.session import run_folder
 
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws.select("row.doc_id", "row.source", "n_tokens", "weight", "epoch", "block", "place")
 
 
+def op3_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree_topk.top_k(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = weak_toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -56,6 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_mixing": op2_mixing,
+    "op3_mtree_topk": op3_mtree_topk,
     "op4_weak_toxicity": op4_weak_toxicity,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_license_scan": op7_license_scan,
@@ -64,4 +69,22 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_mtree_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings WHERE embedding IS NOT NULL
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ),
+        ranked AS (
+            SELECT query_id, vec_id, score,
+                CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
