@@ -330,9 +330,9 @@ def ngram_join(
         )
     )
     members = saved(members, "members")
-    content = texts.join(members.select("row", F.col("id").alias("rep")), texts["id"].eqNullSafe(F.col("rep"))).select(
-        "row", "text"
-    )
+    # The members grow with the input, so they are never broadcast, small as they may be.
+    carriers = members.select("row", F.col("id").alias("rep")).hint("merge")
+    content = texts.join(carriers, texts["id"].eqNullSafe(F.col("rep"))).select("row", "text")
     content = content.mapInArrow(_rows_of(n), "row long, columns binary")
     blocked = members.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
