@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import decontaminate, html_main_text, license_scan, mixing, mtree_topk, ngram_join, secret_ledger, slots, weak_toxicity
+from merchlake.llm import decontaminate, html_main_text, license_scan, mixing, mtree_topk, ngram_join, secret_ledger, slots, token_files, weak_toxicity
 from merchlake.llm.batches import prepare, table
+from merchlake.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from merchlake.session import run_folder
 
 
@@ -30,6 +31,15 @@ def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = run_folder(prepare(spark), "token-files")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, path)
+    return token_files.documents_digest(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(prepare(spark), sf_dir, "documents")
     found = secret_ledger.scan_versions(documents, run_folder(spark, "secret-ledger"))
@@ -62,29 +72,10 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_mtree_topk": op3_mtree_topk,
     "op4_weak_toxicity": op4_weak_toxicity,
+    "op5_token_files": op5_token_files,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_license_scan": op7_license_scan,
     "op8_slots": op8_slots,
     "op9_ngram_join": op9_ngram_join,
     "op10_decontaminate": op10_decontaminate,
 }
-
-ORACLE_SQL = {
-    "op3_mtree_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-            FROM embeddings WHERE embedding IS NOT NULL
-        ),
-        scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
-                CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
-        ),
-        ranked AS (
-            SELECT query_id, vec_id, score,
-                CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
-            FROM scored
-        )
-        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
-    """,
-}
