@@ -14,8 +14,8 @@ from merchlake.session import run_folder
 
 def _kept(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents without those whose id is among the verdicts. Verdicts grow with the input: joined, not broadcast."""
-    rejected = verdicts.select(F.col("id").alias("rejected")).distinct().hint("merge")
-    return docs.join(rejected, docs[id_col].eqNullSafe(F.col("rejected")), "left_anti")
+    rejected = verdicts.select(F.col("id").alias("__rejected")).distinct().hint("merge")
+    return docs.join(rejected, docs[id_col].eqNullSafe(F.col("__rejected")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
