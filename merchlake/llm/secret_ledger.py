@@ -5,8 +5,8 @@ the rules, what was found in it, as one row written when the scan of that blob i
 given, scans only the blobs that the ledger lacks under the current rules, one copy of each, and joins findings back
 to every path or document that has the blob.
 
-Null texts count as empty. Repeated rows, repeated ids and null ids each get their own result row; the text itself
-is only scanned once. Other columns of the input are not read.
+Null texts count as empty. Repeated rows, repeated ids and null ids each get their own result row; of equal texts under
+different ids only one is scanned. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -126,6 +126,8 @@ def scan_versions(
         "left_semi",
     )
     scanned = map_rows(carried.select("blob", "text"), _scanner(rules), f"blob string, spans {_SPANS}")
+    # Rows equal in id and text have all been scanned; the ledger takes one.
+    scanned = scanned.groupBy("blob").agg(F.first("spans").alias("spans"))
     scanned.select("blob", F.lit(version).alias("rules"), "spans").write.mode("append").parquet(folder)
 
     findings = read_ledger(spark, folder, version).filter(F.size("spans") > 0)
