@@ -4,11 +4,16 @@ Each document is a row of the incidence matrix: its distinct n-grams of words, h
 merged into one before anything else, so exact copies cost nothing further.
 
 *Column blocks.* Two rows of sizes ``a <= b`` whose Jaccard similarity reaches the threshold differ in at most
-``d = (a + b)(1 - t) / (1 + t)`` columns. For rows of a size class, the columns are dealt into ``d + 1`` blocks and
+``d(a, b) = (a + b)(1 - t) / (1 + t)`` columns. For rows of a size class, the columns are dealt into ``d + 1`` blocks and
 a few more, so such rows agree entirely in at least one block that is not empty in both. Only rows that share a
 block row (its hash) can therefore reach the bound; all other pairs are discarded without being formed.
 
-*Row blocks.* Rows connected by shared block rows form groups. Each group is cut into row blocks of at most
+*Discarding.* Every filled block in which two rows do not agree holds a difference, so linked rows agree in at least
+``max(filled) - d(a, b)`` blocks. A row that shares too few block rows with all others together is dropped, and so are
+pairs that share too few; pairs are only counted where at most ``PAIR_GROUP`` rows share a block row, larger groups are
+tied to one of their rows and decided by the product.
+
+*Row blocks.* Rows connected by what is left form groups. Each group is cut into row blocks of at most
 ``ROW_BLOCK`` rows, and each pair of row blocks is one sparse product in one task: overlap counts are
 accumulated over column slices, a pair is given up as soon as what is left cannot lift it to the bound derived from
 the two sizes, and what reaches it is a link. A product hands on one edge per linked row, never its pairs.
@@ -32,6 +37,9 @@ from pyspark.sql import functions as F
 from merchlake.llm.components import components, saved
 
 ROW_BLOCK = 512
+PAIR_GROUP = 16
+#: Times that rows with too few shared block rows are dropped; each drop may uncover others.
+DROP_ROUNDS = 2
 COLUMN_SLICE = 8192
 #: Sizes of a class differ by at most this factor.
 CLASS_RATIO = 1.5
@@ -42,6 +50,8 @@ _U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _COPY_MEMORY = 50_000
+#: Size classes that keys tell apart: enough for rows of 10^11 columns.
+CLASSES = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -146,8 +156,20 @@ class BlockScheme:
                     yield size_class, count, spare
             size_class += 1
 
+    def differ(self, a: int, b: int) -> int:
+        return (a + b) * (self.den - self.num) // (self.den + self.num)
+
+    def fills(self, columns: np.ndarray) -> list[dict]:
+        """Per class: blocks filled, and how many of them a linked row must share."""
+        found, size = [], len(columns)
+        for size_class, count, _ in self.classes(size):
+            filled = len(np.unique(columns % _U64(count)))
+            largest = min(self.starts[size_class + 1] - 1, size * self.den // self.num)
+            found.append({"class": size_class, "filled": filled, "need": filled - self.differ(size, largest)})
+        return found
+
     def keys(self, columns: np.ndarray) -> np.ndarray:
-        """Hashes of the block rows of one row, over all its classes."""
+        """Hashes of the block rows of one row, over all its classes; the class is in the lowest bits."""
         keys = []
         for size_class, count, spare in self.classes(len(columns)):
             block = (columns % _U64(count)).astype(np.intp)
@@ -155,48 +177,60 @@ class BlockScheme:
             np.add.at(sums, block, _mix(columns))
             filled = np.bincount(block, minlength=count) > 0
             number = np.arange(count, dtype=_U64) + _U64(size_class << 32)
-            keys.append(_mix(sums[filled] ^ _mix(number[filled])))
+            own = [_mix(sums[filled] ^ _mix(number[filled]))]
             if count - filled.sum() > spare:
                 # Too few columns for its blocks: any other row like it may agree in empty blocks only.
-                keys.append(_mix(np.array([(size_class << 32) + (1 << 31)], _U64)))
+                own.append(_mix(np.array([(size_class << 32) + (1 << 31)], _U64)))
+            keys.append((np.concatenate(own) & ~_U64(CLASSES - 1)) | _U64(size_class % CLASSES))
         return np.concatenate(keys) if keys else np.empty(0, _U64)
 
 
+_FILLS = pa.list_(pa.struct([("class", pa.int32()), ("filled", pa.int32()), ("need", pa.int32())]))
+
+
 def _incidence(num: int, den: int, n: int):
-    fields = {"id": None, "n_shingles": pa.int64(), "row": pa.int64(), "keys": pa.list_(pa.int64())}
+    """Size and name of each document's row, and what its blocks are like."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = BlockScheme(num, den)
-        seen: set[int] = set()
         for batch in batches:
             sets = ngram_sets(batch.column(1).cast(pa.binary()).to_pylist(), n)
-            names: list[int | None] = []
-            keys: list[np.ndarray] = []
-            for columns in sets:
-                name = row_name(columns) if len(columns) else None
-                names.append(name)
-                if name is None or name in seen:
-                    keys.append(np.empty(0, _U64))
-                    continue
-                if len(seen) >= _COPY_MEMORY:
-                    seen.clear()
-                seen.add(name)
-                keys.append(scheme.keys(columns))
-            offsets = np.cumsum([0] + [len(k) for k in keys])
-            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(names, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
+                    pa.array([row_name(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([scheme.fills(s) for s in sets], _FILLS),
                 ],
-                names=list(fields),
+                names=["id", "n_shingles", "row", "fills"],
             )
 
     return run
 
 
+def _block_rows(num: int, den: int, n: int):
+    """Every block row of every document, with the name of its row; of copies in one task, mostly one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = BlockScheme(num, den)
+        seen: set[int] = set()
+        for batch in batches:
+            for columns in ngram_sets(batch.column(0).cast(pa.binary()).to_pylist(), n):
+                name = row_name(columns) if len(columns) else None
+                if name is None or name in seen:
+                    continue
+                if len(seen) >= _COPY_MEMORY:
+                    seen.clear()
+                seen.add(name)
+                keys = scheme.keys(columns)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), name, np.int64))], names=["key", "row"]
+                    )
+
+    return run
+
+
 def _rows_of(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,6 +328,57 @@ def _product(num: int, den: int):
     return run
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows ``(key, row)`` whose key more than one row has, with ``size``, their number, and ``least``, one of them."""
+    keys = keys.repartition("key")
+    groups = keys.groupBy("key").agg(
+        F.min("row").alias("least"), F.max("row").alias("most"), F.count("*").alias("size")
+    )
+    groups = groups.filter("least <> most").select("key", "least", "size")
+    # Both sides read the same shuffle.
+    return keys.join(groups, "key")
+
+
+def candidate_edges(keys: DataFrame, fills: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect all rows that can link, from ``(key, row)`` and the rows' fills.
+
+    ``fills`` has ``row``, ``n``, ``class``, ``filled`` and ``need``.
+    """
+    shared = saved(_shared(keys), "shared-blocks")
+    of_class = F.col("key").bitwiseAND(CLASSES - 1).cast("int")
+    for _ in range(DROP_ROUNDS):
+        counts = shared.groupBy("row", of_class.alias("class")).agg(F.count("*").alias("held"))
+        kept = counts.join(fills, ["row", "class"]).filter("held >= need").select("row", "class")
+        shared = shared.select("key", "row", of_class.alias("class")).join(kept, ["row", "class"], "left_semi")
+        shared = saved(_shared(shared.select("key", "row")), "shared-blocks")
+
+    small = shared.filter(F.col("size") <= PAIR_GROUP).select("key", "row")
+    pairs = (
+        small.select("key", F.col("row").alias("a"))
+        .join(small.select("key", F.col("row").alias("b")), "key")
+        .filter("a < b")
+        .groupBy("a", "b", of_class.alias("class"))
+        .agg(F.count("*").alias("agree"))
+    )
+
+    def side(name: str) -> DataFrame:
+        return fills.select(
+            F.col("row").alias(name), "class", F.col("n").alias(f"n_{name}"), F.col("filled").alias(f"filled_{name}")
+        )
+
+    total = F.col("n_a") + F.col("n_b")
+    differ = F.floor(total * (den - num) / (den + num))
+    small_edges = (
+        pairs.join(side("a"), ["a", "class"])
+        .join(side("b"), ["b", "class"])
+        .filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+        .filter(F.col("agree") >= F.greatest("filled_a", "filled_b") - differ)
+        .select("a", "b")
+    )
+    large_edges = shared.filter((F.col("size") > PAIR_GROUP) & (F.col("row") != F.col("least")))
+    return small_edges.union(large_edges.select(F.col("row").alias("a"), F.col("least").alias("b"))).distinct()
+
+
 def ngram_join(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100
 ) -> DataFrame:
@@ -304,16 +389,19 @@ def ngram_join(
     """
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(texts.dtypes)["id"]
+    fills = "array<struct<class:int,filled:int,need:int>>"
     incidence = saved(
-        texts.mapInArrow(_incidence(num, den, n), f"id {kind}, n_shingles long, row long, keys array<long>"), "incidence"
+        texts.mapInArrow(_incidence(num, den, n), f"id {kind}, n_shingles long, row long, fills {fills}"), "incidence"
     )
     rows = incidence.filter("row is not null").groupBy("row").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-
-    # Rows that share a block row, as edges to the least of them.
-    shared = incidence.select(F.explode("keys").alias("key"), "row").repartition("key")
-    least = shared.groupBy("key").agg(F.min("row").alias("b"), F.max("row").alias("most")).filter("b <> most")
-    edges = shared.join(least.select("key", "b"), "key").filter("row <> b")
-    groups = saved(components(edges.select(F.col("row").alias("a"), "b").distinct()), "groups")
+    classes = (
+        incidence.filter("row is not null")
+        .groupBy("row")
+        .agg(F.first("n_shingles").alias("n"), F.first("fills").alias("fills"))
+        .select("row", "n", F.inline("fills"))
+    )
+    keys = texts.select("text").mapInArrow(_block_rows(num, den, n), "key long, row long")
+    groups = saved(components(candidate_edges(keys, saved(classes, "classes"), num, den)), "groups")
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
