@@ -27,6 +27,12 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--records", help="folder of Kafka-shaped files to read instead of a broker")
     parser.add_argument("--schema-ids", type=_schema_ids, default={}, help='e.g. {"2": "orders_v11"}')
     parser.add_argument("--max-files", type=int, default=1000, help="files per micro-batch")
+    parser.add_argument(
+        "--late-after",
+        choices=["batch", "completed"],
+        default="batch",
+        help="whose newest event makes a row late: its own batch's, or that of completed batches",
+    )
     parser.add_argument("--once", action="store_true", help="drain what is there and stop")
     args = parser.parse_args(argv)
 
@@ -44,7 +50,7 @@ def main(argv: list[str] | None = None) -> None:
         query = jobs.run(jobs.bronze_writer(source, lake), args.once, jobs.BRONZE_INTERVAL)
     elif args.job == "silver":
         source = landing.bronze_stream(spark, f"{lake}/bronze", args.max_files)
-        writer = jobs.silver_writer(source, lake, writers=args.schema_ids, dlq_servers=args.kafka)
+        writer = jobs.silver_writer(source, lake, writers=args.schema_ids, dlq_servers=args.kafka, late_after=args.late_after)
         query = jobs.run(writer, args.once, jobs.SILVER_INTERVAL)
     elif args.job == "gold":
         source = landing.silver_stream(spark, f"{lake}/silver", args.max_files)
@@ -55,7 +61,9 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "rebuild":
         gold.rebuild_gold(spark, serve)
     elif args.job == "last24h":
-        gold.gmv_last_24h(spark, serve).show(100, truncate=False)
+        # 25 hour marks at most, times the currencies.
+        report = gold.gmv_last_24h(spark, serve).persist()
+        report.show(report.count(), truncate=False)
     else:
         from pyspark.sql import functions as F
 

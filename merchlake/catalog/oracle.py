@@ -54,9 +54,9 @@ DT = f"strftime(make_timestamp({WAVE_MS} * 1000), '%Y-%m-%d')"
 CURRENCY = "coalesce(nullif(currency, ''), 'USD')"
 HOUR = f"event_ts - (event_ts % {H} + {H}) % {H}"
 
-STATIC = ",\n".join(
+STATIC = (
     [
-        fx.oracle_ctes(*fx.TABLES),
+        *fx.oracle_ctes(*fx.TABLES),
         _SHAPE,
         _union("everything", fx.TABLES),
         f"checked AS (SELECT *, {RULE} AS reason FROM everything)",
@@ -76,9 +76,9 @@ STATIC = ",\n".join(
             {CURRENCY} AS currency, event_ts FROM good_payments)""",
     ]
 )
-DELIVERED = ",\n".join(
+DELIVERED = (
     [
-        fx.oracle_ctes(*fx.DELIVERIES),
+        *fx.oracle_ctes(*fx.DELIVERIES),
         _SHAPE,
         _union("everything", fx.DELIVERIES),
         f"""checked AS (SELECT *, CASE WHEN topic NOT IN ({_TOPIC_LIST}) THEN 'unknown_topic'
@@ -88,12 +88,29 @@ DELIVERED = ",\n".join(
 )
 
 
+def _needed(ctes: list[str], select: str) -> str:
+    """The statement with those of the CTEs that it uses, shared ones computed once."""
+    texts = {re.match(r"\w+", c)[0]: c for c in ctes}
+    uses = {name: {n for n in re.findall(r"\w+", text) if n in texts and n != name} for name, text in texts.items()}
+    wanted: set[str] = set()
+    waiting = [n for n in set(re.findall(r"\w+", select)) if n in texts]
+    while waiting:
+        name = waiting.pop()
+        if name not in wanted:
+            wanted.add(name)
+            waiting.extend(uses[name])
+    readers = [select, *(texts[n] for n in wanted)]
+    shared = {n for n in wanted if sum(len(re.findall(rf"\b{n}\b", t)) for t in readers) > 2}
+    parts = [re.sub(r"^(\w+) AS \(", r"\1 AS MATERIALIZED (", c) if n in shared else c for n, c in texts.items() if n in wanted]
+    return "WITH " + ",\n".join(parts) + "\n" + select if parts else select
+
+
 def static(select: str, *extra: str) -> str:
-    return "WITH " + ",\n".join([STATIC, *extra]) + "\n" + select
+    return _needed([*STATIC, *extra], select)
 
 
 def delivered(select: str, *extra: str) -> str:
-    return "WITH " + ",\n".join([DELIVERED, *extra]) + "\n" + select
+    return _needed([*DELIVERED, *extra], select)
 
 
 def _gmv(source: str) -> str:
@@ -135,11 +152,13 @@ SILVER_COLUMNS = f"""kind, event_id, trace_id, order_id, customer_id, status, pa
     session_id, page, coupon_code, event_ts, {WAVE_MS} AS ingest_ts, partition AS kafka_partition,
     offset AS kafka_offset, topic"""
 
-_FACT_BATCHES = f"""stored AS (SELECT * FROM facts WHERE event_ts < {bq.ORDERS_STORED_BEFORE_MS}),
-resent AS (SELECT * REPLACE (CASE WHEN status = 'created' THEN 'paid' ELSE status END AS status,
+_FACT_BATCHES = [
+    f"stored AS (SELECT * FROM facts WHERE event_ts < {bq.ORDERS_STORED_BEFORE_MS})",
+    f"""resent AS (SELECT * REPLACE (CASE WHEN status = 'created' THEN 'paid' ELSE status END AS status,
     CAST(NULL AS VARCHAR) AS payment_status, amount_cents + 100 AS amount_cents, 'LATE' AS coupon_code,
     'CHF' AS currency, kafka_offset + 1 AS kafka_offset)
-    FROM facts WHERE event_ts >= {bq.ORDERS_RESENT_SINCE_MS})"""
+    FROM facts WHERE event_ts >= {bq.ORDERS_RESENT_SINCE_MS})""",
+]
 
 
 def _two(source_kind: str) -> str:
@@ -159,10 +178,13 @@ UNION ALL SELECT 'payment_failure_rate_bounded', highest IS NULL OR highest <= 0
 UNION ALL SELECT 'gold_watermark_fresh', age <= 900, age, '<= 900s', '' FROM counts"""
 
 
-def _counts(rows: str, gmv: str, stats: str, age: int) -> str:
-    return f"""gmv AS ({gmv}), stats AS ({stats}),
-counts AS (SELECT count(*) AS n, count(DISTINCT event_id) AS ids, (SELECT min(gmv_cents) FROM gmv) AS lowest,
-    (SELECT max(failure_rate) FROM stats) AS highest, {age}::DOUBLE AS age FROM {rows})"""
+def _counts(rows: str, gmv: str, stats: str, age: int) -> list[str]:
+    return [
+        f"gmv AS ({gmv})",
+        f"stats AS ({stats})",
+        f"""counts AS (SELECT count(*) AS n, count(DISTINCT event_id) AS ids, (SELECT min(gmv_cents) FROM gmv) AS lowest,
+    (SELECT max(failure_rate) FROM stats) AS highest, {age}::DOUBLE AS age FROM {rows})""",
+    ]
 
 
 def _batch_sql() -> dict[str, str]:
@@ -295,7 +317,7 @@ def _batch_sql() -> dict[str, str]:
         + ", ".join(f"CASE WHEN r.event_id IS NOT NULL THEN r.{c} ELSE s.{c} END AS {c}" for c in last)
         + f""", CASE WHEN r.event_id IS NOT NULL THEN {bq.AS_OF_MS} ELSE {bq.MERGED_AT_MS} END::BIGINT AS updated_at
         FROM stored s FULL JOIN resent r ON s.event_id = r.event_id""",
-        _FACT_BATCHES,
+        *_FACT_BATCHES,
     )
     first = ("payment_id", "order_id", "amount_cents", "currency", "event_ts")
     out["upsert_fact_payments"] = static(
@@ -336,13 +358,13 @@ def _batch_sql() -> dict[str, str]:
         "SELECT count(*) AS row_count, count(DISTINCT event_id) AS distinct_ids FROM good WHERE kind = 'payments'"
     )
     out["quality_report"] = static(
-        _REPORT, _counts("facts", _gmv("good_orders"), _stats("good_payments"), 600)
+        _REPORT, *_counts("facts", _gmv("good_orders"), _stats("good_payments"), 600)
     )
     out["quality_summary"] = static(
         """SELECT bool_and(passed) AS passed,
         coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT passed), '') AS failed FROM report""",
         "dup_payments AS (SELECT * FROM good WHERE kind = 'payments')",
-        _counts("dup_payments", _gmv("dup_payments"), _stats("dup_payments"), 3600),
+        *_counts("dup_payments", _gmv("dup_payments"), _stats("dup_payments"), 3600),
         f"report AS ({_REPORT})",
     )
     out["reconcile"] = static(
@@ -390,25 +412,39 @@ def _stream_sql() -> dict[str, str]:
         CASE WHEN reason NOT IN ('unknown_topic', 'decode_error') THEN event_id END AS event_id,
         {DT} AS dt, wave::BIGINT AS batch_id FROM checked WHERE reason IS NOT NULL"""
     )
-    out["stream_gold"] = delivered(
-        f"""SELECT 'fact_orders' AS table_name, o.event_id AS row_key,
-            concat_ws('|', o.status, p.status, coalesce(nullif(o.currency, ''), 'USD'), o.coupon_code) AS label,
-            o.amount_cents::BIGINT AS amount, o.offset::BIGINT AS number
-        FROM silver_orders o LEFT JOIN paid p ON p.order_id = o.order_id
-        UNION ALL SELECT 'fact_payments', event_id, concat_ws('|', payment_id, status), amount_cents::BIGINT, event_ts
-        FROM silver WHERE kind = 'payments'
-        UNION ALL SELECT 'gold_hourly_gmv', hour_ts_ms::VARCHAR, currency, gmv_cents, order_count
-        FROM ({_gmv("silver_orders")})
-        UNION ALL SELECT 'gold_payment_stats', hour_ts_ms::VARCHAR, NULL, paid_count, failed_count
-        FROM ({_stats("silver_payments")})
-        UNION ALL SELECT 'gold_stockouts', event_id, concat_ws('|', sku, warehouse_id), quantity::BIGINT, event_ts
-        FROM silver WHERE kind = 'inventory' AND quantity <= 0
-        UNION ALL SELECT 'pipeline_watermarks', 'gold', NULL, {fx.WAVES - 1}, count(*) FROM silver_orders""",
-        *waves,
-        "silver_orders AS (SELECT * FROM silver WHERE kind = 'orders')",
-        "silver_payments AS (SELECT * FROM silver WHERE kind = 'payments')",
-        """paid AS (SELECT * FROM silver_payments QUALIFY row_number() OVER (
-            PARTITION BY order_id ORDER BY event_ts DESC, event_id) = 1)""",
+    for name, last_batch in (
+        ("stream_gold", fx.WAVES - 1),
+        ("stream_gold_backlog", 0),
+        ("stream_gold_replayed", fx.WAVES),
+    ):
+        out[name] = delivered(
+            f"""SELECT 'fact_orders' AS table_name, o.event_id AS row_key,
+                concat_ws('|', o.status, p.status, coalesce(nullif(o.currency, ''), 'USD'), o.coupon_code) AS label,
+                o.amount_cents::BIGINT AS amount, o.offset::BIGINT AS number
+            FROM silver_orders o LEFT JOIN paid p ON p.order_id = o.order_id
+            UNION ALL SELECT 'fact_payments', event_id, concat_ws('|', payment_id, status), amount_cents::BIGINT, event_ts
+            FROM silver WHERE kind = 'payments'
+            UNION ALL SELECT 'gold_hourly_gmv', hour_ts_ms::VARCHAR, currency, gmv_cents, order_count
+            FROM ({_gmv("silver_orders")})
+            UNION ALL SELECT 'gold_payment_stats', hour_ts_ms::VARCHAR, NULL, paid_count, failed_count
+            FROM ({_stats("silver_payments")})
+            UNION ALL SELECT 'gold_stockouts', event_id, concat_ws('|', sku, warehouse_id), quantity::BIGINT, event_ts
+            FROM silver WHERE kind = 'inventory' AND quantity <= 0
+            UNION ALL SELECT 'pipeline_watermarks', 'gold', NULL, {last_batch}, count(*) FROM silver_orders""",
+            *waves,
+            "silver_orders AS (SELECT * FROM silver WHERE kind = 'orders')",
+            "silver_payments AS (SELECT * FROM silver WHERE kind = 'payments')",
+            """paid AS (SELECT * FROM silver_payments QUALIFY row_number() OVER (
+                PARTITION BY order_id ORDER BY event_ts DESC, event_id) = 1)""",
+        )
+    out["stream_late_rows"] = delivered(
+        f"""SELECT kind, event_id, event_ts, wave::BIGINT AS batch_id,
+        CASE WHEN event_ts < newest - {WATERMARK_LAG_MS} THEN 'late' ELSE 'kept' END AS outcome
+        FROM once JOIN marks USING (wave)""",
+        """once AS (SELECT * FROM good QUALIFY row_number() OVER (
+            PARTITION BY wave, kind, event_id ORDER BY topic, partition, offset) = 1)""",
+        """marks AS (SELECT w.wave, (SELECT max(g.event_ts) FROM good g WHERE g.wave < w.wave) AS newest
+            FROM (SELECT DISTINCT wave FROM good) w)""",
     )
     columns = "event_id, order_id, status, amount_cents::BIGINT AS amount_cents, event_ts"
     out["stream_dedupe"] = delivered(f"SELECT DISTINCT {columns} FROM orders_in WHERE event_id <> ''")

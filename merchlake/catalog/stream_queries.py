@@ -72,6 +72,49 @@ def _record_stream(spark: SparkSession, d: str, stages: tuple[str, ...]) -> str:
     return root
 
 
+def stream_late_rows(spark, d):
+    """What is late against completed batches at the real lag, and what is kept."""
+    root = run_folder(spark, "stream-late-rows")
+    path = f"{root}/records"
+    writers = [
+        lambda: jobs.bronze_writer(landing.record_files(spark, path), root, F.col("timestamp")),
+        lambda: jobs.silver_writer(
+            landing.bronze_stream(spark, f"{root}/bronze"), root, writers=fx.SCHEMA_IDS, late_after="completed"
+        ),
+    ]
+    _run_waves(spark, fx.all_deliveries(spark, d), path, writers, prepare=fx.kafka_records)
+    columns = ["kind", "event_id", "event_ts", "batch_id"]
+    kept = landing.silver_table(spark, f"{root}/silver").select(*columns, F.lit("kept").alias("outcome"))
+    late = landing.late_table(spark, f"{root}/late").select(*columns, F.col("reason").alias("outcome"))
+    return kept.unionByName(late)
+
+
+def stream_gold_backlog(spark, d):
+    """All conformed batches, the first delivered once more, drained by one gold batch."""
+    root = _record_stream(spark, d, ("bronze", "silver"))
+    again = fx.kafka_records(fx.all_deliveries(spark, d).filter(F.col("wave") == 0)).drop("wave")
+    again.write.mode("append").parquet(f"{root}/records")
+    silver = landing.silver_stream(spark, f"{root}/silver")
+    with temporary_conf(spark, _stream_conf(spark)):
+        jobs.run(jobs.bronze_writer(landing.record_files(spark, f"{root}/records"), root, F.col("timestamp")), True)
+        bronze = landing.bronze_stream(spark, f"{root}/bronze")
+        jobs.run(jobs.silver_writer(bronze, root, writers=fx.SCHEMA_IDS, lag_ms=SILVER_LAG_MS), True)
+        jobs.run(jobs.gold_writer(silver, root, stamp(AS_OF_MS)), True)
+    return _serving_rows(spark, f"{root}/gold")
+
+
+def stream_gold_replayed(spark, d):
+    """After a full run both streams lose their checkpoints and start over."""
+    root = _record_stream(spark, d, ("bronze", "silver", "gold"))
+    bronze = landing.bronze_stream(spark, f"{root}/bronze")
+    silver = landing.silver_stream(spark, f"{root}/silver")
+    with temporary_conf(spark, _stream_conf(spark)):
+        options = {"writers": fx.SCHEMA_IDS, "lag_ms": SILVER_LAG_MS}
+        jobs.run(jobs.silver_writer(bronze, root, checkpoint=f"{root}/checkpoints/silver-2", **options), True)
+        jobs.run(jobs.gold_writer(silver, root, stamp(AS_OF_MS), checkpoint=f"{root}/checkpoints/gold-2"), True)
+    return _serving_rows(spark, f"{root}/gold")
+
+
 def stream_bronze(spark, d):
     root = _record_stream(spark, d, ("bronze",))
     rows = landing.bronze_table(spark, f"{root}/bronze")
@@ -92,7 +135,10 @@ def stream_quarantine(spark, d):
 def stream_gold(spark, d):
     """All serving tables after the last batch, in one long table."""
     root = _record_stream(spark, d, ("bronze", "silver", "gold"))
-    gold = f"{root}/gold"
+    return _serving_rows(spark, f"{root}/gold")
+
+
+def _serving_rows(spark, gold):
     read = lambda table: serving.read_table(spark, gold, table)
 
     def rows(df, table, key, label, amount, number):
@@ -238,6 +284,9 @@ QUERIES = {
     "stream_silver": stream_silver,
     "stream_quarantine": stream_quarantine,
     "stream_gold": stream_gold,
+    "stream_gold_backlog": stream_gold_backlog,
+    "stream_gold_replayed": stream_gold_replayed,
+    "stream_late_rows": stream_late_rows,
     "stream_dedupe": stream_dedupe,
     "stream_drop_late": stream_drop_late,
     "stream_hourly_gmv": stream_hourly_gmv,

@@ -66,7 +66,8 @@ TABLES: dict[str, tuple[str, list[str]]] = {
             "'payments' AS kind",
             f"'{TOPICS['payments']}' AS topic",
             "cast(l_orderkey % 3 as int) AS partition",
-            "l_partkey * 1000000 + l_suppkey AS offset",
+            # Lines may share order, number, part and supplier; the day tells them apart.
+            "(l_partkey * 100000 + l_suppkey) * 100000 + cast(floor(MS(l_shipdate) / 86400000) as bigint) AS offset",
             "'p-' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) AS event_id",
             "'t-' || cast(l_orderkey as string) AS trace_id",
             "'pay-' || cast(l_orderkey as string) AS payment_id",
@@ -97,7 +98,7 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         ],
     ),
     "clicks_ev": (
-        "(SELECT * FROM events WHERE event_type IN ('view', 'click', 'signup'))",
+        "events",
         [
             "'clickstream' AS kind",
             f"'{TOPICS['clickstream']}' AS topic",
@@ -107,7 +108,7 @@ TABLES: dict[str, tuple[str, list[str]]] = {
             "'t-' || cast(event_id as string) AS trace_id",
             "CASE WHEN event_id % 97 = 0 THEN '' ELSE 's-' || cast(user_id as string) END AS session_id",
             "CASE WHEN event_id % 10 < 3 THEN NULL ELSE 'cust-' || cast(user_id as string) END AS customer_id",
-            "'/' || event_type AS page",
+            "CASE WHEN event_type = 'error' THEN '' ELSE '/' || event_type END AS page",
             "CASE WHEN event_id % 10 < 4 THEN NULL ELSE 'SKU-' || cast(user_id % 20 as string) END AS sku",
             "MS(ts) AS event_ts",
         ],
@@ -150,7 +151,7 @@ DELIVERIES: dict[str, tuple[str, list[str]]] = {
         ],
     ),
     "payments_in": (
-        _DELIVERED.format(where=" WHERE event_type <> 'error'"),
+        _DELIVERED.format(where=""),
         [
             "'payments' AS kind",
             f"'{TOPICS['payments']}' AS topic",
@@ -162,7 +163,8 @@ DELIVERIES: dict[str, tuple[str, list[str]]] = {
             "'ord-' || cast(event_id as string) AS order_id",
             "CASE WHEN event_type = 'signup' THEN 'failed' WHEN event_type = 'click' OR"
             " (event_type = 'purchase' AND copy = 0) THEN 'authorized' ELSE 'captured' END AS status",
-            "cast(round(value * 100) as bigint) + 1 AS amount_cents",
+            "(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) * (cast(round(value * 100) as bigint) + 1)"
+            " AS amount_cents",
             "'USD' AS currency",
             f"{_PAID_MS} AS event_ts",
             "CASE WHEN event_id % 109 = 0 THEN 1 ELSE 0 END AS poison",
@@ -189,7 +191,7 @@ DELIVERIES: dict[str, tuple[str, list[str]]] = {
         ],
     ),
     "clicks_in": (
-        "(SELECT * FROM events WHERE event_type IN ('view', 'click', 'signup'))",
+        "events",
         [
             "'clickstream' AS kind",
             f"'{TOPICS['clickstream']}' AS topic",
@@ -199,7 +201,7 @@ DELIVERIES: dict[str, tuple[str, list[str]]] = {
             "'t-' || cast(event_id as string) AS trace_id",
             "CASE WHEN event_id % 97 = 0 THEN '' ELSE 's-' || cast(user_id as string) END AS session_id",
             "CASE WHEN event_id % 10 < 3 THEN NULL ELSE 'cust-' || cast(user_id as string) END AS customer_id",
-            "'/' || event_type AS page",
+            "CASE WHEN event_type = 'error' THEN '' ELSE '/' || event_type END AS page",
             "CASE WHEN event_id % 10 < 4 THEN NULL ELSE 'SKU-' || cast(user_id % 20 as string) END AS sku",
             "MS(ts) AS event_ts",
             "0 AS poison",
@@ -305,7 +307,7 @@ def _cte(name: str, source: str, columns: list[str]) -> str:
     return f"{name} AS (\n  SELECT {body}\n  FROM {render(source, 'duckdb')} AS src)"
 
 
-def oracle_ctes(*names: str) -> str:
+def oracle_ctes(*names: str) -> list[str]:
     """CTE definitions of the named tables, without the leading WITH."""
     tables = {**TABLES, **DELIVERIES}
-    return ",\n".join(_cte(n, *tables[n]) for n in names)
+    return [_cte(n, *tables[n]) for n in names]

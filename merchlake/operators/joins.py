@@ -28,21 +28,20 @@ def join_latest_payment(
 ) -> DataFrame:
     """Add ``payment_status`` and ``payment_event_id`` to every order event.
 
-    ``hot`` may list the frequent order ids when that is cheaper than counting ``orders``.
+    Payments are cut to one per order first; adaptive execution splits an order id with very many events. ``hot`` may
+    list such ids where adaptive execution is off, see :func:`hot_keys`.
     """
-    kept = [c for c in orders.columns if c not in ("payment_status", "payment_event_id")]
+    kept = orders.select(*[c for c in orders.columns if c not in ("payment_status", "payment_event_id")])
     latest = latest_payments(payments, arrival)
-    return skew_left_join(orders.select(*kept), latest, "order_id", spread=["event_id"], hot=hot)
+    if hot is not None:
+        return skew_left_join(kept, latest, "order_id", spread=["event_id"], hot=hot)
+    return kept.join(latest, "order_id", "left").select(*kept.columns, "payment_status", "payment_event_id")
 
 
 def unpaid_orders(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """Non-cancelled order events whose order has no payment event at all."""
-    paid = payments.filter(F.col("order_id").isNotNull()).select("order_id").distinct()
-    open_orders = orders.filter(F.col("status") != "cancelled")
-    joined = skew_left_join(
-        open_orders, paid.withColumn("_paid", F.lit(True)), "order_id", spread=["event_id"]
-    )
-    return joined.filter(F.col("_paid").isNull()).drop("_paid")
+    paid = payments.select("order_id").distinct()
+    return orders.filter(F.col("status") != "cancelled").join(paid, "order_id", "left_anti").select(*orders.columns)
 
 
 def count_unpaid(orders: DataFrame, payments: DataFrame) -> DataFrame:

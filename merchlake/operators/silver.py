@@ -9,7 +9,6 @@ from merchlake.contracts import SILVER_EXTRA, SILVER_SCHEMA, WATERMARK_LAG_MS
 from merchlake.operators.dedupe import dedupe_events
 from merchlake.operators.joins import join_latest_payment
 from merchlake.operators.late import drop_late, max_event_ts
-from merchlake.operators.skew import hot_keys
 
 _RENAMED = {"kafka_partition": "partition", "kafka_offset": "offset"}
 
@@ -34,12 +33,22 @@ def dedupe_and_drop_late(accepted: DataFrame, lag_ms: int = WATERMARK_LAG_MS) ->
     return drop_late(unique, max_event_ts(accepted), lag_ms)
 
 
+def split_late(accepted: DataFrame, lag_ms: int, newest_ms: int | None) -> tuple[DataFrame, DataFrame]:
+    """Unique rows on time, and those older than ``lag_ms`` before ``newest_ms``; None makes no row late."""
+    unique = dedupe_events(accepted, keys=("kind", "event_id"))
+    late = F.lit(False) if newest_ms is None else F.coalesce(F.col("event_ts") < newest_ms - lag_ms, F.lit(True))
+    return unique.filter(~late), unique.filter(late)
+
+
 def silver_batch(accepted: DataFrame, lag_ms: int = WATERMARK_LAG_MS, extra: bool = False) -> DataFrame:
     """Silver rows of one batch: dedupe, late drop, latest payment on orders, all kinds together."""
-    kept = dedupe_and_drop_late(accepted, lag_ms)
+    return conformed(dedupe_and_drop_late(accepted, lag_ms), extra)
+
+
+def conformed(kept: DataFrame, extra: bool = False) -> DataFrame:
+    """Latest payment on orders, all kinds together."""
     orders = kept.filter(F.col("kind") == "orders")
     payments = kept.filter(F.col("kind") == "payments")
     others = kept.filter(F.col("kind") != "orders")
-    hot = hot_keys(accepted.filter(F.col("kind") == "orders"), "order_id")
-    joined = join_latest_payment(orders, payments, hot=hot)
+    joined = join_latest_payment(orders, payments)
     return flatten(joined, extra).unionByName(flatten(others, extra))

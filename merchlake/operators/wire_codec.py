@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,6 @@ from merchlake.contracts import (
     EVENT_FIELDS,
     READER_OF_KIND,
     TOPICS,
-    WIDE_NAME,
-    contract_json,
 )
 from merchlake.functions import wire
 from merchlake.operators import wire_kernels
@@ -66,50 +64,11 @@ def _arrow_body(value: Column, writer: Column) -> Column:
     return _evaluated_once(wire_kernels.decode_values, EVENT_FIELDS)(value, writer)
 
 
-# --- native stage: the Avro connector of Spark, when it is on the class path --------------------
-
-
-def native_avro_available(spark: SparkSession) -> bool:
-    try:
-        loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
-        loader.loadClass("org.apache.spark.sql.avro.AvroDataToCatalyst")
-    except Exception:  # noqa: BLE001 - a missing class surfaces as a gateway error
-        return False
-    return True
-
-
-def _native_body(value: Column, writer: Column) -> Column:
-    from pyspark.sql.avro.functions import from_avro
-
-    struct = None
-    for kind, reader in READER_OF_KIND.items():
-        for name in sorted({DEFAULT_WRITER_OF_KIND[kind], reader}):
-            data = F.when(writer == name, wire.body(value))
-            record = from_avro(
-                data, contract_json(name), {"mode": "PERMISSIVE", "avroSchema": contract_json(reader)}
-            )
-            have = {WIDE_NAME.get(f, f): f for f, _ in CONTRACTS[reader]}
-            # A body that cannot be read comes back as a record of NULLs.
-            good = record.isNotNull() & record["event_ts"].isNotNull()
-            wide = F.struct(
-                *[
-                    (record[have[f.name]] if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-                    for f in EVENT_FIELDS
-                ]
-            )
-            hit = (writer == name) & good
-            struct = F.when(hit, wide) if struct is None else struct.when(hit, wide)
-    return struct
-
-
-def decode_wire(df: DataFrame, writers: dict[int, str] | None = None, backend: str = "auto") -> DataFrame:
+def decode_wire(df: DataFrame, writers: dict[int, str] | None = None) -> DataFrame:
     """Add ``kind``, ``schema_id``, every event field and ``reason`` to envelope rows.
 
     ``reason`` is NULL for a decoded row. ``writers`` maps schema ids to contract names.
     """
-    if backend == "auto":
-        backend = "native" if native_avro_available(df.sparkSession) else "arrow"
-    body_of = {"native": _native_body, "arrow": _arrow_body}[backend]
     kind = kind_of_topic(F.col("topic"))
     header = wire.header_reason(F.col("value"))
     staged = df.withColumns(
@@ -124,7 +83,7 @@ def decode_wire(df: DataFrame, writers: dict[int, str] | None = None, backend: s
     )
     body = F.col("_body")
     return (
-        staged.withColumn("_body", body_of(F.col("value"), writer))
+        staged.withColumn("_body", _arrow_body(F.col("value"), writer))
         .select(
             *df.columns,
             "kind",

@@ -62,13 +62,26 @@ class _Cursor:
         ends = np.concatenate(([0], np.cumsum(size)))
         picked = np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
         data = self.data[picked]
-        buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]
+        buffers = [None, pa.py_buffer(_offsets(ends)), pa.py_buffer(data)]
         raw = pa.Array.from_buffers(pa.binary(), self.count, buffers)
-        if data.size and data.max() >= 0x80:
-            bad = [i for i, b in enumerate(raw.to_pylist()) if not _is_utf8(b)]
+        try:
+            return _masked(raw, rows).cast(pa.string())
+        except pa.ArrowInvalid:
+            # Some row is not UTF-8; only then are rows looked at one by one, and of those the ones beyond ASCII.
+            high = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(data >= 0x80, out=high[1:])
+            doubtful = np.flatnonzero(high[ends[1:]] > high[ends[:-1]])
+            bad = [i for i in doubtful.tolist() if not _is_utf8(raw[i].as_py())]
             self.ok[bad] = False
             rows[bad] = False
-        return _masked(raw, rows).cast(pa.string())
+            return _masked(raw, rows).cast(pa.string())
+
+
+def _offsets(ends: np.ndarray) -> np.ndarray:
+    """Ends as the 32-bit offsets of Arrow; a batch beyond them must be split by its reader."""
+    if len(ends) and ends[-1] >= 2**31:
+        raise OverflowError("a batch of more than 2 GiB: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return ends.astype(np.int32)
 
 
 def _is_utf8(data: bytes) -> bool:
@@ -120,17 +133,19 @@ def _flat(array) -> pa.Array:
     return array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
 
 
-def _by_writer(names: np.ndarray, out_type: pa.DataType, work) -> pa.Array:
+def _by_writer(writers: pa.Array, out_type: pa.DataType, work) -> pa.Array:
     """Apply ``work`` to the rows of each contract and put the results back in row order.
 
     Rows without a contract become NULL.
     """
+    coded = _flat(writers).dictionary_encode()
+    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     pieces, order = [], []
-    for name in sorted({n for n in names if n is not None}):
-        rows = np.flatnonzero(names == name)
+    for code, name in enumerate(coded.dictionary.to_pylist()):
+        rows = np.flatnonzero(codes == code)
         pieces.append(work(name, rows))
         order.append(rows)
-    rest = np.array([i for i, n in enumerate(names) if n is None], np.int64)
+    rest = np.flatnonzero(codes < 0)
     pieces.append(pa.nulls(len(rest), out_type))
     order.append(rest)
     back = np.argsort(np.concatenate(order), kind="stable")
@@ -138,10 +153,9 @@ def _by_writer(names: np.ndarray, out_type: pa.DataType, work) -> pa.Array:
 
 
 def decode_values(values: pa.Array, writers: pa.Array) -> pa.Array:
-    values, names = _flat(values).cast(pa.binary()), np.array(writers.to_pylist(), dtype=object)
-    out_type = to_arrow_type(EVENT_FIELDS)
+    values, out_type = _flat(values).cast(pa.binary()), to_arrow_type(EVENT_FIELDS)
     return _by_writer(
-        names, out_type, lambda name, at: _decode_batch(values.take(pa.array(at)), name, out_type)
+        writers, out_type, lambda name, at: _decode_batch(values.take(pa.array(at)), name, out_type)
     )
 
 
@@ -176,7 +190,7 @@ def _join_pieces(pieces: list[tuple[np.ndarray, np.ndarray]], ok: np.ndarray) ->
         piece_start = np.cumsum(size) - size
         out[np.repeat(start - piece_start, size) + np.arange(len(data))] = data
         start += size
-    buffers = [None, pa.py_buffer(row_ends.astype(np.int32)), pa.py_buffer(out)]
+    buffers = [None, pa.py_buffer(_offsets(row_ends)), pa.py_buffer(out)]
     return _masked(pa.Array.from_buffers(pa.binary(), len(ok), buffers), ok)
 
 
@@ -215,7 +229,7 @@ def _encode_batch(rows: pa.StructArray, ids: np.ndarray, contract_name: str) ->
 
 
 def encode_rows(rows: pa.Array, writers: pa.Array, ids: pa.Array) -> pa.Array:
-    rows, names, numbers = _flat(rows), np.array(writers.to_pylist(), dtype=object), _flat(ids).to_numpy()
+    rows, numbers = _flat(rows), _flat(ids).to_numpy()
     return _by_writer(
-        names, pa.binary(), lambda name, at: _encode_batch(rows.take(pa.array(at)), numbers[at], name)
+        writers, pa.binary(), lambda name, at: _encode_batch(rows.take(pa.array(at)), numbers[at], name)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.operators import metrics
+from merchlake.operators.dedupe import dedupe_events
 from merchlake.operators.merge import stamped
 from merchlake.plans import serving
 from merchlake.session import together
@@ -15,8 +16,29 @@ from merchlake.session import together
 JOB_NAME = "gold"
 
 
+def new_rows(silver: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """Silver rows whose events no earlier gold batch has counted, each event once.
+
+    Copies inside the batch are cut to the first that arrived. Orders and payments are then compared with the ids of
+    stored facts. A copy of an event carries its event time, so only facts as young as the oldest row are read.
+    """
+    spark = silver.sparkSession
+    unique = dedupe_events(silver, keys=("kind", "event_id"), arrival=("topic", "kafka_partition", "kafka_offset"))
+    oldest = silver.agg(F.min("event_ts")).first()[0]
+    if oldest is None:
+        return unique
+    seen = None
+    for kind, table in (("orders", "fact_orders"), ("payments", "fact_payments")):
+        stored = serving.read_versions(spark, root, table, batch_id - 1)
+        ids = stored.filter(F.col("event_ts") >= F.timestamp_millis(F.lit(oldest))).select(
+            F.lit(kind).alias("kind"), "event_id"
+        )
+        seen = ids if seen is None else seen.unionByName(ids)
+    return unique.join(seen.distinct(), ["kind", "event_id"], "left_anti").select(*silver.columns)
+
+
 def gold_deltas(silver: DataFrame, batch_id: int, updated_at: Column) -> dict[str, DataFrame]:
-    """Rows each serving table gains from one batch of silver rows."""
+    """Rows each serving table gains from one batch of silver rows, events counted before left out."""
     orders = silver.filter(F.col("kind") == "orders")
     payments = silver.filter(F.col("kind") == "payments")
     inventory = silver.filter(F.col("kind") == "inventory")
@@ -35,13 +57,19 @@ def gold_deltas(silver: DataFrame, batch_id: int, updated_at: Column) -> dict[st
 def write_gold_batch(silver: DataFrame, root: str, batch_id: int, updated_at: Column | None = None) -> None:
     """Write every delta of a batch. The progress row goes last and marks the batch as complete."""
     stamp = F.current_timestamp() if updated_at is None else updated_at
-    deltas = gold_deltas(silver, batch_id, stamp)
-    progress = deltas.pop("pipeline_watermarks")
-    together(
-        silver.sparkSession,
-        *[partial(serving.write_delta, rows, root, table, batch_id) for table, rows in deltas.items()],
-    )
-    serving.write_delta(progress, root, "pipeline_watermarks", batch_id)
+    fresh = new_rows(silver, root, batch_id).persist()
+    try:
+        # Filled before the writes share it.
+        fresh.count()
+        deltas = gold_deltas(fresh, batch_id, stamp)
+        progress = deltas.pop("pipeline_watermarks")
+        together(
+            silver.sparkSession,
+            *[partial(serving.write_delta, rows, root, table, batch_id) for table, rows in deltas.items()],
+        )
+        serving.write_delta(progress, root, "pipeline_watermarks", batch_id)
+    finally:
+        fresh.unpersist()
 
 
 def order_facts(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Serving tables stored as a base snapshot plus one delta per batch.
 
-A micro-batch writes only its own rows, under its own batch id, so its cost does not grow with the
-table and a replay replaces what the first attempt wrote. Readers fold base and deltas; a
-compaction or rebuild job writes the fold as the next base.
+A micro-batch writes only its own rows, under its own version, and a replay replaces what the first attempt
+wrote. Each table has a log of complete bases and deltas, written after the data, so that readers need one
+listing and neither a success file nor a call per version. Readers fold base and deltas; a compaction or rebuild job
+writes the fold as the next base.
 """
 
 from __future__ import annotations
@@ -16,46 +17,46 @@ from merchlake.contracts import SERVING_SCHEMAS
 from merchlake.operators.dedupe import first_per_key
 from merchlake.operators.merge import fold
 from merchlake.operators.skew import skew_left_join
-from merchlake.session import path_exists
+from merchlake.plans.commit_log import CommitLog
 
 
-def _versions(spark: SparkSession, folder: str, prefix: str, above: int = -1) -> list[int]:
-    """Version numbers past ``above`` of the finished sub-folders; a listing of names, not of data."""
-    if not path_exists(spark, folder):
-        return []
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(jpath)]
-    found = sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
-    return [v for v in found if v > above and path_exists(spark, f"{folder}/{prefix}{v}/_SUCCESS")]
+def _log(spark: SparkSession, root: str, table: str, kind: str) -> CommitLog:
+    return CommitLog(spark, f"{root}/{table}/_log/{kind}")
+
+
+def _versions(spark: SparkSession, root: str, table: str, kind: str, above: int = -1) -> list[int]:
+    """Numbers past ``above`` of the complete bases or deltas."""
+    return [v.number for v in _log(spark, root, table, kind).versions() if v.number > above]
 
 
 def write_delta(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{root}/{table}/deltas/batch_id={batch_id}")
+    _log(rows.sparkSession, root, table, "deltas").commit(batch_id, "delta", batch_id)
 
 
 def write_base(rows: DataFrame, root: str, table: str, version: int) -> None:
     rows.write.mode("overwrite").parquet(f"{root}/{table}/base/version={version}")
+    _log(rows.sparkSession, root, table, "base").commit(version, "base", version)
 
 
 def last_batch(spark: SparkSession, root: str, table: str) -> int:
     """Newest batch held by the table, -1 for an empty one."""
-    base = max(_versions(spark, f"{root}/{table}/base", "version="), default=-1)
-    return max(_versions(spark, f"{root}/{table}/deltas", "batch_id=", above=base), default=base)
+    base = max(_versions(spark, root, table, "base"), default=-1)
+    return max(_versions(spark, root, table, "deltas", above=base), default=base)
 
 
 def read_versions(spark: SparkSession, root: str, table: str, upto: int | None = None) -> DataFrame:
     """Rows of the newest base and of every later delta, with their ``version``."""
     schema = SERVING_SCHEMAS[table]
     limit = (lambda v: True) if upto is None else (lambda v: v <= upto)
-    bases = [v for v in _versions(spark, f"{root}/{table}/base", "version=") if limit(v)]
+    bases = [v for v in _versions(spark, root, table, "base") if limit(v)]
     base = max(bases, default=-1)
     parts = []
     if bases:
         frame = spark.read.schema(schema).parquet(f"{root}/{table}/base/version={base}")
         parts.append(frame.withColumn("version", F.lit(base).cast("bigint")))
     folder = f"{root}/{table}/deltas"
-    deltas = [v for v in _versions(spark, folder, "batch_id=", above=base) if limit(v)]
+    deltas = [v for v in _versions(spark, root, table, "deltas", above=base) if limit(v)]
     if deltas:
         frame = (
             spark.read.schema(schema)
@@ -94,22 +95,3 @@ def resolve_payment_status(facts: DataFrame, payments: DataFrame) -> DataFrame:
     )
     joined = skew_left_join(facts, latest, "order_id", spread=["event_id"])
     return joined.withColumn("payment_status", F.coalesce("_status", "payment_status")).drop("_status")
-
-
-def read_serving(
-    spark: SparkSession, table: str, root: str | None = None, jdbc: dict[str, str] | None = None
-) -> DataFrame:
-    """A serving table from the lake or, given connection options, from a database."""
-    if jdbc:
-        return spark.read.format("jdbc").options(dbtable=table, **jdbc).load()
-    return read_table(spark, root, table)
-
-
-def publish_jdbc(rows: DataFrame, table: str, jdbc: dict[str, str], batch_size: int = 10_000) -> None:
-    """Replace a database copy of a serving table, keeping its definition."""
-    (
-        rows.write.format("jdbc")
-        .options(dbtable=table, batchsize=batch_size, truncate="true", **jdbc)
-        .mode("overwrite")
-        .save()
-    )

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import cache
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
@@ -46,13 +48,18 @@ def shared_root(spark: SparkSession) -> str:
     """Folder visible to every executor, named by ``spark.checkpoint.dir``.
 
     Only a local master, where driver and executors are one process, may fall back to a temporary
-    folder.
+    folder, one for the whole session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="merchlake-")
 
 

@@ -15,17 +15,19 @@ from merchlake.functions.scalars import day_string
 from merchlake.operators.dead_letters import dlq_records
 from merchlake.operators.envelope import envelope
 from merchlake.operators.metrics import batch_metrics
-from merchlake.operators.silver import silver_batch
+from merchlake.operators.silver import conformed, flatten, split_late
 from merchlake.operators.validate import accepted, quarantine_rows, with_reason
 from merchlake.operators.wire_codec import decode_wire
+from merchlake.plans.commit_log import CommitLog, run_id
 from merchlake.plans.gold import write_gold_batch
-from merchlake.session import path_exists, together
+from merchlake.session import together
 from merchlake.sources.kafka import write_kafka
-from merchlake.sources.landing import silver_table
+from merchlake.sources.landing import silver_log, silver_versions
 
 BRONZE_INTERVAL = "10 seconds"
 SILVER_INTERVAL = "10 seconds"
 GOLD_INTERVAL = "15 seconds"
+LATE = "late"
 
 
 def run(writer: DataStreamWriter, once: bool, interval: str = BRONZE_INTERVAL) -> StreamingQuery:
@@ -50,16 +52,14 @@ def bronze_writer(records: DataFrame, root: str, ingest_ts: Column | None = None
     )
 
 
-def _write_batch(rows: DataFrame, path: str, batch_id: int, partitions: list[str]) -> None:
-    """Replace exactly the partitions this batch has written before, if any."""
-    (
-        rows.withColumn("dt", day_string(F.col("ingest_ts")))
-        .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions, "dt", "batch_id")
-        .parquet(path)
-    )
+def _write_batch(rows: DataFrame, path: str, version: int, by: str) -> None:
+    """Write one batch as a folder of its own, in place of any earlier attempt.
+
+    Rows are gathered by ``by`` first, so the number of files follows the size of the batch; adaptive execution cuts
+    a large share into several.
+    """
+    rows = rows.withColumn("dt", day_string(F.col("ingest_ts"))).hint("rebalance", by)
+    rows.write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch_id={version}")
 
 
 def conform_batch(
@@ -70,67 +70,117 @@ def conform_batch(
     lag_ms: int = WATERMARK_LAG_MS,
     dlq_servers: str | None = None,
     redo: bool = False,
+    late_after: str = "batch",
+    run: str | None = None,
 ) -> None:
-    """Write silver rows, quarantine, dead letters and metrics of one batch of envelopes.
+    """Write silver rows, quarantine, late rows, dead letters and metrics of one batch of envelopes.
 
-    The ingest stamp is the one the landing table holds, so a replayed batch produces the same
-    partitions and replaces them. Metrics come last: a batch that has them is complete and is not
-    written again (unless ``redo``), so that readers of the silver files do not see it twice.
+    The batch gets the next version of the silver log and is committed last, so readers see all of it or nothing. A
+    batch that its run has committed is not written again (unless ``redo``, for repair: readers that have taken the
+    version do not take it twice). ``late_after`` says what makes a row late: the newest event of its own ``batch``,
+    or that of all ``completed`` batches, which does not depend on how large a batch is. Late rows are kept apart with
+    that reason and counted.
     """
     spark = batch.sparkSession
-    if not redo and path_exists(spark, f"{root}/metrics/batch_id={batch_id}/_SUCCESS"):
+    log, run = silver_log(spark, f"{root}/silver"), run or run_id(spark, silver_checkpoint(root))
+    version, complete = log.place(run, batch_id)
+    if complete and not redo:
         return
     checked = with_reason(decode_wire(batch, writers)).persist()
     try:
+        good = accepted(checked)
+        # One action fills the cache before several jobs share it.
+        own = good.agg(F.max("event_ts")).first()[0]
+        before = log.content(version - 1).get("newest_event_ts")
+        kept, late = split_late(good, lag_ms, own if late_after == "batch" else before)
+        silver = conformed(kept, extra=True)
         rejects = quarantine_rows(checked)
-        silver = silver_batch(accepted(checked), lag_ms, extra=True)
 
         def dead_letters() -> None:
             if dlq_servers:
                 write_kafka(dlq_records(rejects), dlq_servers)
             else:
                 letters = dlq_records(rejects).write.mode("overwrite").partitionBy("topic")
-                letters.parquet(f"{root}/dlq/batch_id={batch_id}")
+                letters.parquet(f"{root}/dlq/batch_id={version}")
 
         together(
             spark,
-            lambda: _write_batch(silver, f"{root}/silver", batch_id, ["kind"]),
-            lambda: _write_batch(rejects, f"{root}/quarantine", batch_id, ["topic"]),
+            lambda: _write_batch(silver, f"{root}/silver", version, "kind"),
+            lambda: _write_batch(rejects, f"{root}/quarantine", version, "topic"),
+            lambda: _write_batch(
+                flatten(late, extra=True).withColumn("reason", F.lit(LATE)), f"{root}/late", version, "kind"
+            ),
             dead_letters,
         )
-        written = silver_table(spark, f"{root}/silver").filter(F.col("batch_id") == batch_id)
-        batch_metrics(checked, written).write.mode("overwrite").parquet(
-            f"{root}/metrics/batch_id={batch_id}"
-        )
+        counts = batch_metrics(checked, silver_versions(spark, f"{root}/silver", [version]))
+        counts = counts.withColumn("late", late.agg(F.count("*")).scalar())
+        counts.write.mode("overwrite").parquet(f"{root}/metrics/batch_id={version}")
     finally:
         checked.unpersist()
+    newest = max((t for t in (own, before) if t is not None), default=None)
+    log.commit(version, run, batch_id, newest_event_ts=newest)
 
 
-def silver_writer(bronze: DataFrame, root: str, **options) -> DataStreamWriter:
+def silver_checkpoint(root: str) -> str:
+    return f"{root}/checkpoints/silver"
+
+
+def silver_writer(bronze: DataFrame, root: str, checkpoint: str | None = None, **options) -> DataStreamWriter:
     """Conform landed rows batch by batch; ``options`` go to :func:`conform_batch`."""
+    spark, checkpoint = bronze.sparkSession, checkpoint or silver_checkpoint(root)
     return (
-        bronze.writeStream.foreachBatch(lambda df, n: conform_batch(df, n, root, **options))
-        .option("checkpointLocation", f"{root}/checkpoints/silver")
+        bronze.writeStream.foreachBatch(
+            lambda df, n: conform_batch(df, n, root, run=run_id(spark, checkpoint), **options)
+        )
+        .option("checkpointLocation", checkpoint)
         .outputMode("update")
         .queryName("silver_events")
     )
 
 
-def gold_writer(silver: DataFrame, root: str, updated_at: Column | None = None) -> DataStreamWriter:
-    """Turn new silver rows into serving-table deltas. Clicks feed no serving table."""
-    serving = f"{root}/gold"
+def _inside(number: int, ranges: list[list[int]]) -> bool:
+    return any(first <= number <= last for first, last in ranges)
+
+
+def _with(numbers: list[int], ranges: list[list[int]]) -> list[list[int]]:
+    """Ranges that hold the numbers as well."""
+    merged: list[list[int]] = []
+    for first, last in sorted([*ranges, *([n, n] for n in numbers)]):
+        if merged and first <= merged[-1][1] + 1:
+            merged[-1][1] = max(last, merged[-1][1])
+        else:
+            merged.append([first, last])
+    return merged
+
+
+def gold_writer(
+    silver: DataFrame, root: str, updated_at: Column | None = None, checkpoint: str | None = None
+) -> DataStreamWriter:
+    """Turn newly committed silver batches into serving-table deltas. Clicks feed no serving table.
+
+    The gold log remembers which silver versions went into the tables, so neither a replay nor a new checkpoint
+    counts one twice.
+    """
+    spark, serving = silver.sparkSession, f"{root}/gold"
+    checkpoint = checkpoint or f"{root}/checkpoints/gold"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            write_gold_batch(batch, serving, batch_id, updated_at)
-        finally:
-            batch.unpersist()
+        log = CommitLog(spark, f"{serving}/_log")
+        run = run_id(spark, checkpoint)
+        version, complete = log.place(run, batch_id)
+        if complete:
+            return
+        taken = log.content(version - 1).get("silver", [])
+        # As many rows as the batch has files of the log.
+        fresh = [n for n in sorted(r["version"] for r in batch.select("version").collect()) if not _inside(n, taken)]
+        if fresh:
+            rows = silver_versions(spark, f"{root}/silver", fresh).filter(F.col("kind") != "clickstream")
+            write_gold_batch(rows, serving, version, updated_at)
+            log.commit(version, run, batch_id, silver=_with(fresh, taken))
 
     return (
-        silver.filter(F.col("kind") != "clickstream")
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{root}/checkpoints/gold")
+        silver.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
         .outputMode("update")
         .queryName("gold_metrics")
     )

@@ -9,15 +9,15 @@ import __spark_entry__ as entry_module
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
-# These pass through the same stages as stream_gold and are left to the larger check.
-COVERED = {"stream_bronze", "stream_silver", "stream_quarantine", "stream_payment_stats"}
+# The training-data operators have tests of their own, SQL or not.
+OWN = {name for name in QUERIES if name == "pipeline" or name.startswith("op")}
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - OWN == set(ORACLE) - OWN
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - COVERED))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - OWN))
 def test_query(spark, name):
     assert difference(QUERIES[name](spark, SF_DIR), ORACLE[name], SF_DIR) is None
 
