@@ -348,21 +348,46 @@ def quality_report(spark, d):
     )
 
 
-def quality_summary(spark, d):
+def _failing_report(spark, d):
     """Judged on payments that were not deduplicated, so some expectations fail."""
     rows = good(spark, d, "payments_ev")
     facts = metrics.fact_payments(rows)
     progress = stamped(
         metrics.watermark_row(facts, "gold", 0), "pipeline_watermarks", stamp(AS_OF_MS - 3_600_000)
     )
-    report = quality.quality_report(
+    return quality.quality_report(
         facts,
         metrics.gmv_rows(metrics.hourly_gmv(rows)),
         metrics.gmv_rows(metrics.payment_stats(rows)),
         progress,
         stamp(AS_OF_MS),
     )
-    return quality.quality_summary(report).withColumn("failed", F.array_join("failed", ","))
+
+
+def quality_summary(spark, d):
+    summary = quality.quality_summary(_failing_report(spark, d))
+    return summary.select("passed", F.array_join("failed", ",").alias("failed"))
+
+
+def quality_results(spark, d):
+    """The results that the summary carries."""
+    return quality.quality_summary(_failing_report(spark, d)).select(F.inline("results"))
+
+
+def quality_gates(spark, d):
+    """What each gate does: let pass, skip or raise."""
+
+    def outcome(gate, report):
+        try:
+            return "skipped" if gate(report) is False else "passed"
+        except quality.QualityFailure:
+            return "raised"
+
+    rows = [
+        ("quality", outcome(quality.quality_gate, _failing_report(spark, d))),
+        ("reconcile", outcome(quality.reconcile_gate, reconcile(spark, d))),
+    ]
+    return spark.createDataFrame(rows, "gate string, outcome string")
 
 
 def reconcile(spark, d):
@@ -432,6 +457,8 @@ QUERIES = {
     "key_uniqueness": key_uniqueness,
     "quality_report": quality_report,
     "quality_summary": quality_summary,
+    "quality_results": quality_results,
+    "quality_gates": quality_gates,
     "reconcile": reconcile,
     "batch_metrics": batch_metrics,
     "topic_high_water": topic_high_water,

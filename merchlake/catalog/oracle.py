@@ -367,6 +367,21 @@ def _batch_sql() -> dict[str, str]:
         *_counts("dup_payments", _gmv("dup_payments"), _stats("dup_payments"), 3600),
         f"report AS ({_REPORT})",
     )
+    failing = [
+        "dup_payments AS (SELECT * FROM good WHERE kind = 'payments')",
+        *_counts("dup_payments", _gmv("dup_payments"), _stats("dup_payments"), 3600),
+        f"report AS ({_REPORT})",
+    ]
+    out["quality_results"] = static("SELECT name, passed, actual, expected, detail FROM report", *failing)
+    out["quality_gates"] = static(
+        """SELECT 'quality' AS gate, CASE WHEN NOT bool_or(passed) FILTER (WHERE name = 'gold_not_empty') THEN 'skipped'
+            WHEN bool_and(passed) THEN 'passed' ELSE 'raised' END AS outcome FROM report
+        UNION ALL SELECT 'reconcile', CASE WHEN unpaid::DOUBLE / n <= 0.5 THEN 'passed' ELSE 'raised' END
+        FROM (SELECT (SELECT count(*) FROM facts) AS n, (SELECT count(*) FROM facts o
+            LEFT JOIN pay_facts p ON p.order_id = o.order_id
+            WHERE p.event_id IS NULL AND o.status <> 'cancelled') AS unpaid)""",
+        *failing,
+    )
     out["reconcile"] = static(
         """SELECT n AS fact_orders, (SELECT count(*) FROM pay_facts) AS fact_payments,
         unpaid AS unpaid_non_cancelled, (SELECT count(*) FROM checked WHERE reason IS NOT NULL) AS dead_letters,

@@ -83,9 +83,14 @@ def quality_report(
 
 
 def quality_summary(report: DataFrame) -> DataFrame:
-    """One row: did everything pass, and the names of what did not."""
+    """One row: did everything pass, the names of what did not, and every result, by name."""
     failed = F.collect_list(F.when(~F.col("passed"), F.col("name")))
-    return report.agg(F.every("passed").alias("passed"), F.array_sort(failed).alias("failed"))
+    results = F.collect_list(F.struct("name", "passed", "actual", "expected", "detail"))
+    return report.agg(
+        F.every("passed").alias("passed"),
+        F.array_sort(failed).alias("failed"),
+        F.array_sort(results).alias("results"),
+    )
 
 
 def quality_gate(report: DataFrame, skip_empty: bool = True) -> bool:
