@@ -16,13 +16,15 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node moves to the least one around; edges may come out more than once."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """A node and its smaller neighbours move to the least of them."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
@@ -33,10 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     The number of rows never grows beyond that of the edges, and only two sums per round reach the driver.
     """
-    current = saved(_small_star(edges.filter("a <> b")), "components")
+    current = saved(edges.filter("a <> b"), "components")
     print_before = None
     while True:
-        current = saved(_small_star(_large_star(current).distinct()), "components")
+        current = saved(_small_star(_large_star(current)), "components")
         print_now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if print_now == print_before:
             break

@@ -38,8 +38,8 @@ from merchlake.llm.components import components, saved
 
 ROW_BLOCK = 512
 PAIR_GROUP = 16
-#: Times that rows with too few shared block rows are dropped; each drop may uncover others.
-DROP_ROUNDS = 2
+#: Times that rows with too few shared block rows are dropped. A drop may uncover others, but hardly ever many.
+DROP_ROUNDS = 1
 COLUMN_SLICE = 8192
 #: Sizes of a class differ by at most this factor.
 CLASS_RATIO = 1.5
