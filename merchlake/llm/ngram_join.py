@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -61,11 +60,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-@cache
+_known_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
 def _powers(base: int, count: int) -> np.ndarray:
-    steps = np.full(count, base, _U64)
-    steps[0] = 1
-    return np.cumprod(steps, dtype=_U64)
+    if (base, count) not in _known_powers:
+        steps = np.full(count, base, _U64)
+        steps[0] = 1
+        _known_powers[base, count] = np.cumprod(steps, dtype=_U64)
+    return _known_powers[base, count]
 
 
 def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -160,7 +160,7 @@ def _evidence(shared: Broadcast):
     """Votes as bits, and the lexicon entries found, of one text."""
 
     def make():
-        lexicon: Lexicon = shared.value
+        lexicon = Lexicon(shared.value)
         by_head, head = lexicon.index()
         voter = {name: 1 << i for i, name in enumerate(VOTERS)}
         part = [
@@ -319,7 +319,7 @@ def score_toxicity(
     apart = F.pmod(F.xxhash64("id", F.lit("apart")), F.lit(5)) == 0
     lexicon = learn_lexicon(train.filter(~apart))
     texts = documents.select(F.col(id_col), F.col(text_col))
-    find = _evidence(spark.sparkContext.broadcast(lexicon))
+    find = _evidence(spark.sparkContext.broadcast(lexicon.entries))
     shape = "votes int, hits array<int>, matched int, size int"
     evidence = saved(map_rows(texts, find, f"id {kind}, {shape}"), "toxicity-evidence")
     if lexicon.entries:
