@@ -28,14 +28,13 @@ from merchlake.llm.batches import map_rows
 # Function words of the languages covered; density needs only the most frequent ones.
 STOP_WORDS = frozenset(
     (
-        "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the"
-        " their they this to was were which will with you"
-        " au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas"
-        " pour qu que qui sa se ses son sur un une vous"
-        " aber als am auch auf aus bei das dem den der des die ein eine einem einen einer er es für ich ihr im"
-        " ist mit nach nicht noch nur oder sich sie sind und von war was wie wir zu zum zur"
-        " al como con del el ella era es esta este esto fue ha hay las lo los más me mi muy no nos o para pero"
-        " por porque sin sobre su sus también te tiene todo una y ya"
+        "a an and are as at be but by for from had has have he her his in is it not of on or she that the they this to"
+        " was were which will with you"
+        " au aux avec ce dans de des du elle en est et il je la le les mais ne nous on ou par pas pour que qui sur un"
+        " une vous"
+        " aber als am auch auf aus bei das dem den der des die ein eine einen er es für ich im ist mit nach nicht oder"
+        " sich sie sind und von war wie wir zu zum zur"
+        " al como con del el ella es este ha hay las lo los más muy no o para pero por se sin su también una y"
     ).split()
 )
 
