@@ -1,8 +1,8 @@
 """Token-id files with a minimal perfect hash index.
 
 *Format.* A folder with two Parquet tables, written by Spark, so any file system serves and a lost task is redone whole.
-``layout`` holds the shards' id bounds and the number width. ``segments`` holds rows of at most about
-``SEGMENT_BYTES`` of payload, in ascending id order within a shard, shards in ascending order:
+``layout`` holds the shards' id bounds and the number width. ``segments`` holds rows of at most ``SEGMENT_BYTES`` of
+payload (more only for a single document that is longer), in ascending id order within a shard, shards in order:
 
 * ``payload``: token ids of the segment's documents one after the other, little-endian unsigned numbers of ``width``
   bytes, each document closed by the end id;
@@ -22,12 +22,12 @@ share an id are stored side by side under one entry. Other columns are not read.
 from __future__ import annotations
 
 import json
-import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +36,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from merchlake.llm.batches import map_rows
-
-SEGMENT_BYTES = 4 << 20
-SHARD_BYTES = 32 << 20
-MAX_SHARDS = 4096
+from merchlake.llm.components import saved
+from merchlake.session import temporary_conf
+
+SEGMENT_BYTES = 1 << 20
+#: Whole segments are rows; a task holds a few of them at a time.
+READ_CONF = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4",
+    "spark.sql.parquet.columnarReaderBatchSize": "8",
+}
+SHARD_BYTES = 8 << 20
+MAX_SHARDS = 1 << 16
 END_ID = 0
 #: Distinct words whose ids a Python worker remembers (about 200 bytes each).
-WORD_MEMORY = 1_000_000
+WORD_MEMORY = 400_000
 _GAMMA = 1.5
 _MAX_LEVELS = 40
 
-# Space beside other white space, or at an end: there a space may belong to either side.
-_LOOSE_SPACE = re.compile(r" (?=\s)|\A |[ ]\Z")
-
-
 class Encoder:
     """Token ids of whole texts, as the tokenizer gives them.
 
@@ -96,12 +99,15 @@ class Encoder:
         return {piece: packed[a:b] for piece, a, b in zip(new, cuts, cuts[1:])}
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or _LOOSE_SPACE.search(text) or any(s in text for s in self.special):
+        if not self.by_word or any(s in text for s in self.special):
             return self._whole(text)
         first, *pieces = text.split(" ")
         known = self.known
-        new = list(set(pieces).difference(known)) if pieces else []
+        new = list(set(pieces).difference(known))
         if new:
+            # A space before other white space or the end may belong to either side. No such piece is ever known.
+            if not all(new) or any(piece[0].isspace() for piece in new):
+                return self._whole(text)
             found = self._learn(new)
             if len(known) < WORD_MEMORY:
                 known.update(found)
@@ -111,10 +117,17 @@ class Encoder:
         return self._whole(first) + b"".join(map(known.__getitem__, pieces))
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, whatever number of tasks it runs."""
-    return Encoder(path)
+    """One encoder for each Python worker, whatever number of tasks it runs.
+
+    Functions travel to the workers by value, module variables included, so what is to outlast a task is held by a
+    module that each process makes for itself.
+    """
+    held = sys.modules.setdefault("merchlake_encoders", ModuleType("merchlake_encoders"))
+    encoders = held.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -427,11 +440,13 @@ def _digest(shard, segment, width, ids, sizes, payload, index, marks) -> Iterato
 def documents_digest(spark: SparkSession, folder: str) -> DataFrame:
     """Per stored document: ``id``, ``start`` among all token ids, ``n_tokens`` and ``ids_crc32``."""
     columns = ["shard", "segment", "width", "ids", "sizes", "payload", "index", "marks"]
-    found = map_rows(
-        read_segments(spark, folder).select(*columns),
-        lambda: _digest,
-        "shard int, segment int, id long, offset long, n_tokens long, ids_crc32 long",
-    )
+    with temporary_conf(spark, READ_CONF):
+        found = map_rows(
+            read_segments(spark, folder).select(*columns),
+            lambda: _digest,
+            "shard int, segment int, id long, offset long, n_tokens long, ids_crc32 long",
+        )
+        found = saved(found, "token-digest")
     return found.join(segment_starts(spark, folder), ["shard", "segment"]).select(
         "id", (F.col("segment_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
     )
