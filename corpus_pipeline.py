@@ -12,30 +12,44 @@ from merchlake.llm.components import saved
 from merchlake.session import run_folder
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents without those whose id is among the verdicts. Verdicts grow with the input: joined, not broadcast."""
-    rejected = verdicts.select(F.col("id").alias("__rejected")).distinct().hint("merge")
-    return docs.join(rejected, docs[id_col].eqNullSafe(F.col("__rejected")), "left_anti")
+#: Column that tells rows apart; ids may repeat or be null.
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with their place in their file as a key, the same at every reading. Other tables are written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = saved(docs, "rows")
+    place = docs.metadataColumn("_metadata")
+    return docs.withColumn(
+        ROW, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("number"))
+    )
+
+
+def _kept(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows other than the rejected ones. These grow with the input: joined, not broadcast."""
+    rejected = rejected.select(F.col("row").alias("__rejected")).hint("merge")
+    return keyed.join(rejected, keyed[ROW] == F.col("__rejected"), "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are scored toxic."""
+    """Without the rows that are scored toxic."""
     prepare(spark)
-    scored = weak_toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scored.filter("predicted = 1"))
+    keyed = _keyed(docs)
+    scored = weak_toxicity.score_toxicity(keyed, table(spark, sf_dir, "labels"), row_col=ROW)
+    return _kept(keyed, scored.filter("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by five-word shingles at a similarity of 0.8."""
-    prepare(spark)
-    found = ngram_join.ngram_join(docs, n=5, num=80, den=100)
-    kept = _kept(docs, found.filter("id <> component_id"))
-    # Rows that share an id are copies or rivals for it: one stays.
-    return kept.dropDuplicates(["doc_id"]) if _ids_repeat(docs) else kept
-
+    """One row, that of the least id, of each group linked by five-word shingles at a similarity of 0.8.
 
-def _ids_repeat(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    Only texts decide what is linked: other texts under the same id, or under none, stay. Null ids come last.
+    """
+    prepare(spark)
+    keyed = _keyed(docs)
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(ROW).alias("row"))
+    found = ngram_join.ngram_join(keyed.select(own.alias("own"), "text"), id_col="own", n=5, num=80, den=100)
+    return _kept(keyed, found.filter("id <> component_id").select("id.row"))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -311,14 +311,21 @@ def score_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: ``id``, ``held_out``, ``score`` and ``predicted`` (1 from ``THRESHOLD`` on)."""
+    """One row per document: ``id``, ``held_out``, ``score`` and ``predicted`` (1 from ``THRESHOLD`` on).
+
+    Ids need not be unique; where rows must be told apart, ``row_col`` is handed on as ``row``.
+    """
     spark = documents.sparkSession
-    kind = dict(documents.dtypes)[id_col]
+    key, doc_id = F.col(id_col), "id"
+    if row_col is not None:
+        key, doc_id = F.struct(F.col(id_col).alias("doc"), F.col(row_col).alias("row")), "id.doc"
     train = saved(training_rows(documents, labels, id_col, text_col, label_col), "toxicity-train")
     apart = F.pmod(F.xxhash64("id", F.lit("apart")), F.lit(5)) == 0
     lexicon = learn_lexicon(train.filter(~apart))
-    texts = documents.select(F.col(id_col), F.col(text_col))
+    texts = documents.select(key.alias("id"), F.col(text_col))
+    kind = dict(texts.dtypes)["id"]
     find = _evidence(spark.sparkContext.broadcast(lexicon.entries))
     shape = "votes int, hits array<int>, matched int, size int"
     evidence = saved(map_rows(texts, find, f"id {kind}, {shape}"), "toxicity-evidence")
@@ -328,7 +335,7 @@ def score_toxicity(
         model = fit_label_model(votes, counts, vote_bits([r["votes"] for r in anchors]), np.array([r["id"] for r in anchors], float))
         # Documents for the classifier need no labels; held-out ones stay out all the same.
         sample = (
-            evidence.filter(~held_out("id"))
+            evidence.filter(~held_out(doc_id))
             .orderBy(F.xxhash64("id", F.lit("fit")), "id")
             .limit(SAMPLE_ROWS)
             .select("votes", "hits", "matched", "size")
@@ -346,8 +353,9 @@ def score_toxicity(
     else:
         scored = evidence.select("id", F.lit(0.0).alias("score"))
     return scored.select(
-        "id",
-        held_out("id").alias("held_out"),
+        F.col(doc_id).alias("id"),
+        held_out(doc_id).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        *([] if row_col is None else [F.col("id.row").alias("row")]),
     )

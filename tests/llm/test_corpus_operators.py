@@ -293,3 +293,47 @@ def test_pipeline_on_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], shape).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_pipeline_stages_judge_rows_and_not_ids(spark, tmp_path, written):
+    rows, labels = toxic_corpus(5, 700)
+    rng = random.Random(9)
+
+    def prose(size):
+        return " ".join(f"v{rng.randrange(4000)}" for _ in range(size))
+
+    toxic = [t for (i, t, _), (j, _, bad) in zip(rows, labels) if bad and i == j]
+    clean = [prose(90) for _ in range(6)]
+    near = [prose(150) for _ in range(2)]
+    changed = [" ".join(["changed", *t.split()[1:]]) for t in near]
+    shape = "doc_id long, text string"
+    docs = spark.createDataFrame(
+        # Toxic texts and clean ones under one id and under none; a blank text twice.
+        [(i, t) for i, t, _ in rows]
+        + [(3000, t) for t in toxic[:20] + clean[:3]]
+        + [(None, t) for t in toxic[20:40] + clean[3:]]
+        # Near copies under a null id, and one whose id a clean text has as well.
+        + [(None, near[0]), (None, changed[0]), (4000, near[1]), (4001, changed[1]), (4001, clean[0] + " end")]
+        + [(5000, " "), (5000, " ")],
+        shape,
+    )
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    if written:
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    calm = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert calm.columns == docs.columns
+    kept = Counter(r["text"] for r in calm.collect())
+    assert all(kept[t] for t in clean + near + changed) and kept[" "] == 2
+    assert sum(kept[t] for t in toxic[:40]) <= 8
+
+    single = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert single.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in single.collect())
+    assert all(kept[3000, t] == 1 for t in clean[1:3]) and all(kept[None, t] == 1 for t in clean[3:])
+    assert kept[None, near[0]] + kept[None, changed[0]] == 1
+    assert kept[4000, near[1]] == 1 and not kept[4001, changed[1]] and kept[5000, " "] == 2
+    # A text and its near copy under different ids: the least id stays.
+    assert kept[3000, clean[0]] == 1 and not kept[4001, clean[0] + " end"]
