@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.llm.batches import WORD, map_rows, words
+from merchlake.llm.components import saved
 from merchlake.llm.suffix_automaton import SuffixAutomaton
-from merchlake.session import run_folder
 
 WINDOW = 10
 #: Words of one block of test items (about 30 MB as an automaton).
@@ -100,17 +100,24 @@ def _scan(shared: Broadcast, window: int) -> Callable[[], Callable[..., Iterator
     return make
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[Item]]:
-    """Test items in blocks of about ``block_words`` words, each fetched on its own."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter(
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter(
         "text is not null and item is not null"
     )
-    size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    count = max(1, -(-size // (4 * block_words)))
+
+
+def count_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> int:
+    """How many blocks of about ``block_words`` words the test items make."""
+    size = _items(benchmark, id_col, text_col).agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    return max(1, -(-size // (4 * block_words)))
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, count: int) -> Iterator[list[Item]]:
+    """Test items in ``count`` blocks, each fetched when it is asked for."""
+    items = _items(benchmark, id_col, text_col)
     block = F.pmod(F.xxhash64("item", "text"), F.lit(count))
-    return [
-        [(r["item"], words(r["text"])) for r in items.filter(block == i).distinct().collect()] for i in range(count)
-    ]
+    for i in range(count):
+        yield [(r["item"], words(r["text"])) for r in items.filter(block == i).distinct().collect()]
 
 
 def find_contamination(
@@ -133,13 +140,11 @@ def find_contamination(
         F.expr("cast(null as array<struct<first:int,last:int>>)").alias("spans"),
         F.expr("cast(null as array<string>)").alias("items"),
     )
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
-    for number, block in enumerate(blocks):
+    count = count_blocks(benchmark, item_col, item_text_col, block_words)
+    for number, block in enumerate(item_blocks(benchmark, item_col, item_text_col, count)):
+        if number:
+            found = saved(found, "decontaminate")
         found = map_rows(found, _scan(spark.sparkContext.broadcast(block), window), schema)
-        if number + 1 < len(blocks):
-            folder = run_folder(spark, "decontaminate")
-            found.write.parquet(folder)
-            found = spark.read.parquet(folder)
     return found
 
 
@@ -195,6 +200,40 @@ def _clean(shared: Broadcast, window: int, max_span: int, max_coverage: float):
     return make
 
 
+def _cut(max_span: int, max_coverage: float):
+    """Cuts the spans found in all blocks; ``again`` where what is left must be looked through once more."""
+
+    def make() -> Callable[..., Iterator[tuple]]:
+        def row(number, text, total, spans, cut) -> Iterator[tuple]:
+            found = [(s["first"], s["last"]) for s in spans or () if s["last"] - s["first"] + 1 > max_span]
+            cut += sum(last - first + 1 for first, last in found)
+            drop = cut > max_coverage * total
+            yield number, cut_spans(text, found) if found else text, total, cut, drop, bool(found) and not drop
+
+        return row
+
+    return make
+
+
+def _collect(shared: Broadcast, window: int):
+    """Adds the spans of one block of items to those found before; ``total`` is the first count of words."""
+
+    def make() -> Callable[..., Iterator[tuple]]:
+        automaton = item_automaton(shared.value, window)
+        least = _shortest(shared.value, window)
+
+        def row(number, text, total, spans, cut) -> Iterator[tuple]:
+            stream = words(text)
+            found, _ = find_spans(automaton, stream, least)
+            found = merge_spans(found + [(s["first"], s["last"]) for s in spans or ()])
+            spans = [{"first": first, "last": last} for first, last in found]
+            yield number, text, len(stream) if total is None else total, spans, cut
+
+        return row
+
+    return make
+
+
 def remove_contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -213,12 +252,34 @@ def remove_contamination(
     """
     spark = documents.sparkSession
     columns = documents.columns
-    for block in item_blocks(benchmark, item_col, item_text_col, block_words):
+    names = {c: f"c{i}" for i, c in enumerate(columns) if c != text_col}
+    # A field of its own, as there may be no other column.
+    rows = documents.select(
+        F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(name) for c, name in names.items())).alias("row"),
+        F.col(text_col).alias("t"),
+    )
+    kind = dict(rows.dtypes)["row"]
+    count = count_blocks(benchmark, item_col, item_text_col, block_words)
+    if count == 1:
+        (block,) = item_blocks(benchmark, item_col, item_text_col, count)
         shared = spark.sparkContext.broadcast(block)
-        rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(text_col).alias("t"))
-        kind = dict(rows.dtypes)["row"]
-        rows = map_rows(rows, _clean(shared, window, max_span, max_coverage), f"row {kind}, t string, drop boolean, cut long")
-        documents = rows.filter("not drop").select(
-            *(F.col("t").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns)
-        )
-    return documents
+        cleaned = map_rows(rows, _clean(shared, window, max_span, max_coverage), f"row {kind}, t string, drop boolean, cut long")
+    else:
+        # The same in rounds: all blocks see the same text, and only texts that were cut are looked through again.
+        state = f"row {kind}, t string, total long, spans array<struct<first:int,last:int>>, cut long"
+        no_spans = F.expr("cast(null as array<struct<first:int,last:int>>)").alias("spans")
+        live = rows.select("row", "t", F.lit(None).cast("long").alias("total"), no_spans, F.lit(0).cast("long").alias("cut"))
+        cleaned = None
+        while cleaned is None or not live.isEmpty():
+            for number, block in enumerate(item_blocks(benchmark, item_col, item_text_col, count)):
+                if number:
+                    live = saved(live, "decontaminate")
+                live = map_rows(live, _collect(spark.sparkContext.broadcast(block), window), state)
+            result = f"row {kind}, t string, total long, cut long, drop boolean, again boolean"
+            judged = saved(map_rows(live, _cut(max_span, max_coverage), result), "decontaminate")
+            settled = judged.filter("not again").select("row", "t", "drop", "cut")
+            cleaned = settled if cleaned is None else cleaned.union(settled)
+            live = judged.filter("again").select("row", "t", "total", no_spans, "cut")
+    return cleaned.filter("not drop").select(
+        *(F.col("t").alias(c) if c == text_col else F.col(f"row.{names[c]}").alias(c) for c in columns)
+    )

@@ -109,6 +109,39 @@ def test_spans_are_cut_and_clean_texts_stay(spark, documents):
     assert decontaminate.hit_counts(again).filter("contaminated").count() == 0
 
 
+def test_cutting_does_not_depend_on_the_blocks(spark):
+    prepare(spark)
+
+    def run(name, first, last):
+        return " ".join(f"{name}{i}" for i in range(first, last))
+
+    items = [(1, run("a", 0, 30)), (2, run("b", 0, 30)), (3, run("a", 20, 30) + " " + run("c", 0, 20)), (4, run("d", 0, 12))]
+    texts = [
+        # 30 % and 30 %: dropped. 30 % and 10 %: cut.
+        run("a", 0, 30) + " " + run("x", 0, 40) + " " + run("b", 0, 30),
+        run("a", 0, 30) + " " + run("x", 0, 60) + " " + run("b", 0, 10),
+        # Windows of two items that overlap, and one that arises by a cut.
+        run("x", 0, 99) + " " + run("a", 0, 30) + " " + run("c", 0, 20) + " " + run("y", 0, 99),
+        run("x", 0, 90) + " " + run("d", 0, 6) + " " + run("b", 3, 18) + " " + run("d", 6, 12) + " " + run("y", 0, 90),
+        run("x", 0, 50),
+        None,
+        "",
+    ]
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def cleaned(**kw):
+        return sorted(map(tuple, decontaminate.remove_contamination(docs, bench, **kw).collect()), key=key)
+
+    whole = cleaned()
+    assert cleaned(block_words=8) == whole and len(whole) == len(texts) - 1
+    assert (2, run("x", 0, 99) + "\n " + run("y", 0, 99)) in whole
+    assert not any(f"d{i}" in (t or "").split() for _, t in whole for i in range(12))
+    assert cleaned(block_words=8, max_span=11) == cleaned(max_span=11) != whole
+    only = decontaminate.remove_contamination(docs.select("text"), bench, block_words=8)
+    assert sorted([(r["text"],) for r in only.collect()], key=key) == sorted([(t,) for _, t in whole], key=key)
+
+
 def test_cut_spans_keeps_offsets_of_upper_case_words():
     assert decontaminate.cut_spans("Keep ONE Two, three drop", [(1, 2)]) == "Keep\n, three drop"
 
