@@ -52,8 +52,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_NAMING = frozenset("class id role itemprop".split())
+_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
 
 _BLOCK_TAGS = frozenset(
@@ -77,9 +78,15 @@ _BOILER_NAMES = frozenset(
         " replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets"
     ).split()
 )
+# Of these, names of what others wrote or what leads elsewhere: an article in it is not the page's.
+_OTHER_NAMES = frozenset("comment comments discussion disqus related replies reply".split())
+# What follows in a name tells what a layout has or lacks, not what it is: has-sidebar, no-sidebar, with-menu.
+_LAYOUT_WORDS = frozenset("has no with without".split())
 _MAIN_NAMES = frozenset("article articlebody content main post entry story body page wrapper".split())
 
 GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
+#: Not boilerplate; boilerplate by names alone; by names of others' texts; by tag or because it is hidden.
+CLEAR, NAMED, OTHERS, FIXED = range(4)
 
 
 @dataclass(slots=True)
@@ -92,26 +99,51 @@ class Block:
     heading: bool
     list_item: bool
     label: str = OPEN
+    rescued: bool = False
 
 
-def _names(attributes: str) -> set[str]:
-    found: set[str] = set()
+def _attributes(attributes: str) -> dict[str, str]:
+    found: dict[str, str] = {}
     for match in _ATTRIBUTE.finditer(attributes):
-        found.update(_NAME.findall((match[2] or match[3] or match[4] or "").lower()))
+        found.setdefault(match[1].lower(), match[2] or match[3] or match[4] or "")
+    return found
+
+
+def _names(attributes: dict[str, str]) -> set[str]:
+    found: set[str] = set()
+    for attribute in _NAMING & attributes.keys():
+        for name in attributes[attribute].lower().split():
+            for part in _NAME.findall(name):
+                if part in _LAYOUT_WORDS:
+                    break
+                found.add(part)
     return found
 
 
-def _enter(tag: str, attributes: str, boiler: bool, main: bool) -> tuple[bool, bool]:
-    """Whether what stands in this element is boilerplate, and whether it is in the article."""
-    if boiler or tag in _BOILER_TAGS or (tag == "header" and not main):
-        return True, main
-    names = _names(attributes) if attributes else set()
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    return (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or bool(_INVISIBLE.search(attributes.get("style", "")))
+    )
+
+
+def _enter(tag: str, text: str, boiler: int, main: bool, rescued: bool) -> tuple[int, bool, bool]:
+    """How far what stands in this element is boilerplate, whether it is in the article, and whether in an article
+    that undid a label from names."""
+    if boiler == FIXED or tag in _BOILER_TAGS or (tag == "header" and not main):
+        return FIXED, main, rescued
+    attributes = _attributes(text) if text else {}
+    names = _names(attributes)
     if tag not in ("body", "html"):
-        if attributes and _HIDDEN.search(attributes):
-            return True, main
+        if _is_hidden(attributes):
+            return FIXED, main, rescued
         if names & _BOILER_NAMES and not (names & _MAIN_NAMES and not names & {"comment", "comments"}):
-            return True, main
-    return False, main or tag in _MAIN_TAGS or "articlebody" in names
+            return max(boiler, OTHERS if names & _OTHER_NAMES else NAMED), main, rescued
+    article = tag in _MAIN_TAGS or "articlebody" in names
+    if boiler and article and not main and (tag == "main" or boiler == NAMED):
+        return CLEAR, True, tag != "main"
+    return boiler, main or (article and not boiler), rescued
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -119,8 +151,8 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    # Open elements: tag, region, boilerplate, in the article.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # Open elements: tag, region, boilerplate, in the article, in a rescued one.
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, CLEAR, False, False)]
     regions = links = at = 0
     inner = ""
 
@@ -129,9 +161,12 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
                 linked = len(" ".join(html_lib.unescape("".join(link_parts)).split())) if link_parts else 0
-                _, region, boiler, main = stack[-1]
+                _, region, boiler, main, rescued = stack[-1]
                 found.append(
-                    Block(text, linked / len(text), region, boiler, main, inner in _HEADINGS, inner == "li")
+                    Block(
+                        text, linked / len(text), region, boiler != CLEAR, main, inner in _HEADINGS, inner == "li",
+                        rescued=rescued,
+                    )
                 )
             parts.clear()
             link_parts.clear()
@@ -165,12 +200,12 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[depth:]
                         break
             else:
-                _, region, was_boiler, was_main = stack[-1]
-                boiler, main = _enter(tag, token[4] or token[7] or "", was_boiler, was_main)
-                if (boiler, main) != (was_boiler, was_main):
+                _, region, *before = stack[-1]
+                after = _enter(tag, token[4] or token[7] or "", *before)
+                if (after[0] != CLEAR, *after[1:]) != (before[0] != CLEAR, *before[1:]):
                     regions += 1
                     region = regions
-                stack.append((tag, region, boiler, main))
+                stack.append((tag, region, *after))
     if at < len(page):
         add(page[at:])
     flush()
@@ -202,6 +237,10 @@ def _first_pass(block: Block, declared: bool) -> str:
 
 def label_blocks(found: list[Block]) -> list[Block]:
     """Both passes; every block ends as ``good`` or ``bad``."""
+    # Articles in what is named a sidebar or the like are teasers if the page has one elsewhere.
+    if any(block.main and not block.boiler and not block.rescued for block in found):
+        for block in found:
+            block.boiler |= block.rescued
     declared = any(block.main and not block.boiler for block in found)
     for block in found:
         block.label = _first_pass(block, declared)

@@ -249,6 +249,28 @@ def test_main_text_of_broken_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article style="overflow:hidden"><p>x</p></article>', "x"),
+        ('<div style="overflow: hidden;" data-title="The hidden river"><article>x</article></div>', "x"),
+        ('<article data-style="display:none" title="a hidden b">x</article>', "x"),
+        ('<article>x<p>y</p><div style="color:red; Display : none">z</div><div hidden>z</div></article>', "x\ny"),
+        ("<article>x<div style='visibility:hidden'>z</div><div aria-hidden=true>z</div></article>", "x"),
+        ('<div class="layout has-sidebar"><article>x</article></div>', "x"),
+        ('<div class="no-sidebar with-menu"><article>x</article></div>', "x"),
+        ('<div class="sidebar layout"><div>menu</div><article>x</article></div>', "x"),
+        ('<div class="related"><article>y</article></div><article>x</article>', "x"),
+        ('<div class="sidebar"><article>y</article></div><article>x</article>', "x"),
+        ('<article>x<div class="comments"><article>y</article></div></article>', "x"),
+        ('<article>x<div class="sidebar-with-ads">y</div></article>', "x"),
+        ('<div class="comments-open"><main>x</main></div>', "x"),
+    ],
+)
+def test_main_text_in_wrappers(page, text):
+    assert main_text(page) == text
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 6), (None, "w", "<main>x" + " y" * 200_000, 7)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
