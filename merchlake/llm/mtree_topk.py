@@ -12,15 +12,20 @@ distances to the page's centre. The pages are stored as a table.
 score its covering radius cannot reach, and the stored distances to the parent rule out entries by the triangle
 inequality before any distance to them is computed. The best of all trees are merged per query.
 
-Vectors that are null, hold null or non-finite components, or components too large for 32 bits take no part. Shorter
-vectors are padded with zeros. Ties go to the smaller id. Ids name rows: a query never finds a row of its own id, and
+*Long vectors.* Where squared lengths reach ``EXACT``, products are no longer exact in 64 bits. Such vectors stay out of
+the trees: they meet every query, and as queries every vector, in whole numbers of any size, which is slow but meant for
+few. A ranked score beyond 64 bits is an error, as it has no place in the result.
+
+Vectors that are null, hold null or non-finite components take no part. Shorter vectors are padded with zeros. Ties go to the smaller id. Ids name rows: a query never finds a row of its own id, and
 repeated queries give one result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -37,8 +42,8 @@ TREE_ROWS = 4096
 FANOUT = 16
 LEAF_ROWS = 128
 QUERY_BLOCK = 1024
-#: Added to every bound, for rounding; bounds only decide what is left out.
-SLACK = 1e-6
+#: Squared length (after scaling) from which vectors are scored in whole numbers of any size.
+EXACT = 2.0**48
 
 _PAGES = (
     "tree int, page int, leaf boolean, count int, ids array<long>, children array<int>, vectors binary, radius binary,"
@@ -46,19 +51,27 @@ _PAGES = (
 )
 
 
-def quantise(vector: list[float | None] | None) -> bytes | None:
-    """The integer vector as 32-bit numbers, or None if it takes no part."""
-    if vector is None or any(x is None for x in vector):
+def integers(vector: list[float | None] | None) -> list[int] | None:
+    """The integer vector, or None if it takes no part."""
+    if vector is None or any(x is None or not math.isfinite(x) for x in vector):
         return None
-    scaled = np.floor(np.array(vector, np.float64) * 64)
-    return scaled.astype("<i4").tobytes() if np.all(np.abs(scaled) < 2**31) else None
+    # Beyond 2^53 every float is whole.
+    return [int(x) * 64 if abs(x) >= 2**53 else math.floor(x * 64) for x in vector]
 
 
 def _quantised(vec_id, vector) -> Iterator[tuple]:
-    packed = quantise(vector)
-    if packed is not None:
-        own = np.frombuffer(packed, "<i4").astype(np.float64)
-        yield vec_id, packed, float(own @ own)
+    own = integers(vector)
+    if own is not None:
+        squared = sum(x * x for x in own)
+        if squared < EXACT:
+            yield vec_id, np.array(own, "<i4").tobytes(), float(squared), False
+        else:
+            yield vec_id, ",".join(map(str, own)).encode(), None, True
+
+
+def slack(norm: float, width: int) -> float:
+    """Added to every bound, for rounding: what computed distances of lifted points may be off by, with a margin."""
+    return max(1e-6, 4 * math.sqrt((width + 8) * np.finfo(float).eps * norm))
 
 
 def stack(packed: list[bytes], width: int | None = None) -> np.ndarray:
@@ -86,6 +99,7 @@ def distances(a: np.ndarray, b: np.ndarray, squared_a: np.ndarray | float, squar
 def build_pages(points: np.ndarray, norm: float) -> list[dict]:
     """Pages of one tree over lifted points; page 0 is the root. Entries are numbers of points."""
     pages: list[dict] = []
+    least = slack(norm, points.shape[1])
 
     def grow(members: np.ndarray, centre: np.ndarray | None) -> int:
         number = len(pages)
@@ -99,17 +113,19 @@ def build_pages(points: np.ndarray, norm: float) -> list[dict]:
         routers = [first]
         nearest = distances(points[members], points[first][None], norm, norm)[:, 0]
         near = np.zeros(len(members), np.int64)
-        while len(routers) < FANOUT and nearest.max() > SLACK:
+        while len(routers) < FANOUT and nearest.max() > least:
             routers.append(members[nearest.argmax()])
             apart = distances(points[members], points[routers[-1]][None], norm, norm)[:, 0]
             closer = apart < nearest
             near[closer], nearest = len(routers) - 1, np.minimum(nearest, apart)
-        if len(routers) == 1:
+        used = [i for i in range(len(routers)) if (near == i).any()]
+        if len(used) == 1:
             # Equal points: dealt out in order.
             parts = np.array_split(members, min(FANOUT, -(-len(members) // LEAF_ROWS)))
             routers = [part[0] for part in parts]
         else:
-            parts = [members[near == i] for i in range(len(routers))]
+            parts = [members[near == i] for i in used]
+            routers = [routers[i] for i in used]
         radius = [distances(points[part], points[r][None], norm, norm).max() for part, r in zip(parts, routers)]
         to_parent = distances(points[routers], centre[None], norm, norm)[:, 0] if centre is not None else np.zeros(len(routers))
         children = [grow(part, points[router]) for part, router in zip(parts, routers)]
@@ -175,6 +191,7 @@ class Tree:
         """Query numbers, ids and scores of each query's best k rows other than its own."""
         count = len(queries)
         squared = np.einsum("ij,ij->i", queries, queries)
+        spare = slack(max(self.norm, squared.max(initial=0)), queries.shape[1] + 1)
         # Score and smaller id in one number; the rank of an id stands for it.
         scale = len(self.ids) + 1
         none = np.iinfo(np.int64).min // 2
@@ -187,13 +204,13 @@ class Tree:
             _, number, asked, from_parent, bound = heapq.heappop(heap)
             leaf, ids, children, vectors, radius, to_parent = self.pages[number]
             # The k-th scores may have risen since the page was queued.
-            live = bound <= reach[asked] + SLACK
+            live = bound <= reach[asked] + spare
             asked, from_parent = asked[live], from_parent[live]
             if not len(asked):
                 continue
             if number:
                 lower = np.abs(from_parent[:, None] - to_parent[None]) - (0 if leaf else radius[None])
-                entry = np.flatnonzero((lower <= reach[asked][:, None] + SLACK).any(axis=0))
+                entry = np.flatnonzero((lower <= reach[asked][:, None] + spare).any(axis=0))
             else:
                 entry = np.arange(len(ids))
             if not len(entry):
@@ -212,13 +229,13 @@ class Tree:
                 worst = -(-least // scale)
                 full = least > none
                 reach[asked[full]] = (
-                    np.sqrt(np.maximum(squared[asked[full]] + self.norm - 2 * worst[full], 0)) + SLACK
+                    np.sqrt(np.maximum(squared[asked[full]] + self.norm - 2 * worst[full], 0)) + spare
                 )
             else:
                 apart = np.sqrt(np.maximum(squared[asked][:, None] + self.norm - 2 * scores, 0))
                 for column, e in enumerate(entry):
                     lower = np.maximum(apart[:, column] - radius[e], 0)
-                    live = lower <= reach[asked] + SLACK
+                    live = lower <= reach[asked] + spare
                     if live.any():
                         entry_page = (float(lower[live].min()), children[e], asked[live], apart[live, column], lower[live])
                         heapq.heappush(heap, entry_page)
@@ -249,12 +266,48 @@ def _searcher(norm: float, k: int):
     return search
 
 
+def _exact(k: int):
+    """The best k of some vectors for some queries, in whole numbers of any size."""
+
+    def whole(packed: bytes, large: bool) -> list[int]:
+        if large:
+            return [int(x) for x in packed.decode().split(",")]
+        return np.frombuffer(packed, "<i4").tolist()
+
+    def search(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        known = [(i, whole(v, large)) for i, v, large in zip(vectors["id"], vectors["vector"], vectors["large"])]
+        rows = []
+        for query, packed, large in zip(queries["query_id"], queries["vector"], queries["large"]):
+            own = whole(packed, large)
+            scored = [(-sum(a * b for a, b in zip(own, v)), i) for i, v in known if i != query]
+            # Too large for the column: any place outside of 64 bits will do.
+            rows += [(query, i, Decimal(max(-(10**37), min(10**37, -s)))) for s, i in heapq.nsmallest(k, scored)]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+
+    return search
+
+
+def _exact_pairs(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Blocks of queries meet blocks of vectors."""
+    parts = max(1, -(-vectors.count() // TREE_ROWS))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    left = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    )
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(
+        _exact(k), "query_id long, vec_id long, score decimal(38,0)"
+    )
+
+
 def choose_pivots(sample: np.ndarray, count: int, norm: float) -> np.ndarray:
     """Sampled vectors far from each other, in the lifted space."""
     points = lifted(sample, norm)
     taken = [0]
     nearest = distances(points, points[:1], norm, norm)[:, 0]
-    while len(taken) < count and nearest.max() > SLACK:
+    while len(taken) < count and nearest.max() > slack(norm, points.shape[1]):
         taken.append(int(nearest.argmax()))
         nearest = np.minimum(nearest, distances(points, points[taken[-1:]], norm, norm)[:, 0])
     return points[taken]
@@ -301,25 +354,35 @@ def top_k(
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` of each query's best k rows other than itself."""
     asked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
     asked = asked.filter("id is not null and v is not null")
-    whole = map_rows(asked.select("id", "v"), lambda: _quantised, "id long, vector binary, squared double")
+    whole = map_rows(asked.select("id", "v"), lambda: _quantised, "id long, vector binary, squared double, large boolean")
     whole = saved(whole, "mtree-vectors")
-    size = whole.agg(F.count("*").alias("n"), F.max("squared").alias("m")).first()
+    size = whole.agg(F.count("squared").alias("n"), F.max("squared").alias("m"), F.count_if("large").alias("large")).first()
     total, norm = size["n"], size["m"] or 0.0
     empty = "query_id long, vec_id long, score long"
-    if not total:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pages = build_trees(whole, norm, total)
-    trees = pages.agg(F.max("tree")).first()[0] + 1
     queries = whole.join(asked.filter("q").select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    queries = queries.select(
-        F.col("id").alias("query_id"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    )
-    # Every block of queries meets every tree.
-    left = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    found = left.groupBy("tree", "block").cogroup(right.groupBy("tree", "block")).applyInPandas(_searcher(norm, k), empty)
+    found = vectors.sparkSession.createDataFrame([], empty)
+    if total:
+        pages = build_trees(whole.filter("not large"), norm, total)
+        trees = pages.agg(F.max("tree")).first()[0] + 1
+        near = queries.filter("not large")
+        blocks = max(1, -(-near.count() // QUERY_BLOCK))
+        near = near.select(
+            F.col("id").alias("query_id"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+        )
+        # Every block of queries meets every tree.
+        left = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = near.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        found = left.groupBy("tree", "block").cogroup(right.groupBy("tree", "block")).applyInPandas(_searcher(norm, k), empty)
+    if size["large"]:
+        asking = saved(queries.select(F.col("id").alias("query_id"), "vector", "large"), "mtree-queries")
+        held = whole.select("id", "vector", "large")
+        found = found.withColumn("score", F.col("score").cast("decimal(38,0)")).union(
+            _exact_pairs(held.filter("large"), asking, k)
+        ).union(_exact_pairs(held.filter("not large"), asking.filter("large"), k))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    score = F.col("score")
+    if size["large"]:
+        fits = score.between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)"))
+        score = F.when(fits, score.cast("long")).otherwise(F.raise_error(F.lit("a ranked score does not fit 64 bits")).cast("long"))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))

@@ -193,3 +193,29 @@ def test_the_tree_leaves_pages_out():
         every = points @ queries[q]
         every[q * 200] = -np.inf
         assert sorted(scores[who == q].tolist()) == sorted(np.sort(every)[-5:].astype(int).tolist())
+
+
+def test_copies_beside_a_long_vector():
+    for trial in range(60):
+        rng = np.random.default_rng(trial)
+        one = rng.integers(-64, 64, 64).astype(float)
+        vectors = np.concatenate([np.tile(one, (200, 1)), one[None] * (2, 3, 10)[trial % 3]])
+        norm = float((vectors**2).sum(axis=1).max())
+        pages = mtree_topk.build_pages(mtree_topk.lifted(vectors, norm), norm)
+        held = np.concatenate([p["entries"] for p in pages if p["leaf"]])
+        assert sorted(held.tolist()) == list(range(201))
+
+
+def test_top_k_of_large_components(spark):
+    prepare(spark)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    rows += [(100, [4e7, 1.0, 0.0, 0.0]), (101, [-3.5e7, 2.0, 0.5, 1.0]), (102, [4e7, 1.0, 0.0, 0.0]), (103, [3e5, 1.0, 2.0]), (120, [0.0, 1e9])]
+    table = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], VECTORS.replace("float", "double"))
+    good = {i: [int(np.floor(x * 64)) for x in v] for i, v in rows}
+    expected = []
+    for q in (q for q in good if q % 20 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:5]
+        expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    got = mtree_topk.top_k(table, F.col("vec_id") % 20 == 0, k=5).collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
