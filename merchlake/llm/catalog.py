@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import decontaminate, html_main_text, license_scan, mixing, mtree_topk, ngram_join, secret_ledger, slots, token_files, weak_toxicity
+from merchlake.llm import bpe, decontaminate, html_main_text, license_scan, mixing, mtree_topk, ngram_join, secret_ledger, slots, token_files, weak_toxicity
 from merchlake.llm.batches import prepare, table
 from merchlake.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from merchlake.session import run_folder
@@ -67,6 +67,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_counts(found).withColumnRenamed("id", "doc_id")
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.round_trip(table(prepare(spark), sf_dir, "documents"), path)
+    return bpe.tokens_digest(found).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_mixing": op2_mixing,
@@ -78,4 +86,5 @@ QUERIES = {
     "op8_slots": op8_slots,
     "op9_ngram_join": op9_ngram_join,
     "op10_decontaminate": op10_decontaminate,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
 }
