@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import bpe, decontaminate, html_main_text, license_scan, mixing, mtree_topk, ngram_join, secret_ledger, slots, token_files, weak_toxicity
+from merchlake.llm import bpe, decontaminate, html_main_text, license_scan, mixing, mtree_topk, ngram_join, secret_ledger, slots, token_files, weak_toxicity, whitening
 from merchlake.llm.batches import prepare, table
 from merchlake.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from merchlake.session import run_folder
@@ -75,6 +75,12 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokens_digest(found).withColumnRenamed("id", "doc_id")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(prepare(spark), sf_dir, "embeddings"))
+    # The exact deviation has up to 38 digits; null here where it leaves 64 bits.
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_mixing": op2_mixing,
@@ -87,4 +93,5 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_decontaminate": op10_decontaminate,
     "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_whitening": op12_whitening,
 }
