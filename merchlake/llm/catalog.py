@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import bpe, decontaminate, html_main_text, license_scan, mixing, mtree_topk, ngram_join, secret_ledger, slots, token_files, weak_toxicity, whitening
+from merchlake.llm import bpe, collocations, decontaminate, html_main_text, license_scan, mixing, mtree_topk, ngram_join, secret_ledger, slots, token_files, weak_toxicity, whitening
 from merchlake.llm.batches import prepare, table
 from merchlake.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from merchlake.session import run_folder
@@ -81,6 +81,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)")).withColumnRenamed("id", "vec_id")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_mixing": op2_mixing,
@@ -94,4 +98,5 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_bpe_round_trip": op11_bpe_round_trip,
     "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }

@@ -86,8 +86,45 @@ DECONTAMINATE = f"""
     FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN matched ON matched.doc_id = d.doc_id
 """
 
+COLLOCATIONS = rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    f AS MATERIALIZED (
+        SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, any_value(w[i : i + k - 1]) AS p, count(*) AS a
+        FROM w, (VALUES (1), (2), (3), (4)) s(k), unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) t(i)
+        GROUP BY 1, 2, 3
+    ),
+    candidates AS MATERIALIZED (SELECT * FROM f WHERE k >= 2 AND a >= 30),
+    cuts AS (
+        SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, j,
+            CAST(CAST(2000000 AS HUGEINT) * c.a // (x.a + y.a) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
+        JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1 : j], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[j + 1 : c.k], ' ')
+    ),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    inner_phrases AS (
+        SELECT DISTINCT lang, a, array_to_string(p[i : i + s - 1], ' ') AS phrase
+        FROM candidates, (VALUES (2), (3)) t(s), unnest(range(1, CAST(k - s + 2 AS BIGINT))) u(i) WHERE s < k
+    ),
+    most AS (SELECT lang, phrase, max(a) AS most FROM inner_phrases GROUP BY 1, 2),
+    n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+    ranked AS (
+        SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+        FROM best b LEFT JOIN most m ON m.lang = b.lang AND m.phrase = b.phrase
+        WHERE m.most IS NULL OR CAST(100 AS HUGEINT) * m.most < 80 * b.a
+    )
+    SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n.n, score
+    FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+
 ORACLE_SQL = {
     "op3_mtree_topk": TOP_K,
     "op9_ngram_join": NGRAM_JOIN,
     "op10_decontaminate": DECONTAMINATE,
+    "op13_collocations": COLLOCATIONS,
 }
