@@ -9,13 +9,13 @@ one that has at least ``cover`` percent of its occurrences is dropped.
 *Bounds.* No phrase scores more than ``2000000 * f(p) / (f(first word) + f(p))`` for any of its prefixes p, since it occurs
 at most as often as p and the part after its first word at least as often as itself. The same holds for its suffixes.
 
-*Search.* All words, and pairs of frequent words, are counted first. Then the frontier is expanded in waves, best bounds
-first: each language has a threshold, phrases whose bound reaches it are grown by a word, phrases whose score reaches it
+*Search.* Hashes of words and pairs are counted first, then the words and pairs whose hashes are frequent enough: hashes
+may fall together, so they only tell what to count. Then the frontier is expanded in waves, best bounds first: each language has a threshold, phrases whose bound reaches it are grown by a word, phrases whose score reaches it
 get the counts of everything that may cover them. Once ``limit`` candidates at or above the threshold survive, nothing
 left unexpanded can be among the first ``limit``, ties included, and the language is settled. Else its threshold falls,
 down to 0, where everything is expanded.
 
-*Size.* A wave reads the texts once for each length above 2. Tasks count in bounded tables before the shuffle. What they
+*Size.* The texts are read twice, and by a wave once for each length above 2. Tasks count in bounded tables before the shuffle. What they
 look for is told them by bit filters of at most ``FILTER_BITS`` bits, which let through all that is wanted and little
 else; filters only spare shuffling, counts are exact for whatever passes. Tables stay tables, languages included.
 
@@ -46,8 +46,9 @@ MIN_COUNT = 30
 LONGEST = 4
 COVER_PERCENT = 80
 SCALE = 2_000_000
-#: Distinct phrases that a task counts before it hands them on.
+#: Distinct phrases that a task counts before it hands them on, and words of texts that it looks at together.
 HELD_PHRASES = 1 << 18
+BLOCK_WORDS = 1 << 19
 #: Words whose hashes a task remembers.
 HELD_WORDS = 1 << 19
 #: Most bits of a filter, and bits for each phrase below that.
@@ -60,8 +61,20 @@ FIRST_WAVE, WAVE_GROWTH = 2, 8
 _BUCKET = 1000
 
 _END = re.compile(r"[.,;:!?\n-\r]")
-_TOKEN = re.compile(r"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
-_ENDS = frozenset(".,;:!?\n\x0b\x0c\r")
+#: What ends a piece stands as a word of its own.
+_STOP = "\n"
+_ENDS = ".,;:!?\n\x0b\x0c\r"
+
+
+def _tokens(text: str) -> list[str]:
+    """Words and, for each end of a piece, a stop."""
+    text = text.replace(_STOP, " \n ")
+    for end in _ENDS:
+        if end != _STOP and end in text:
+            text = text.replace(end, " \n ")
+    if "\t" in text:
+        text = text.replace("\t", " ")
+    return list(filter(None, text.split(" ")))
 
 
 class _Hashes(dict):
@@ -70,15 +83,15 @@ class _Hashes(dict):
     def __missing__(self, token: str) -> int:
         if len(self) >= HELD_WORDS:
             self.clear()
-        found = 0 if token in _ENDS else xxhash.xxh3_64_intdigest(token.encode()) | 1
+        found = 0 if token == _STOP else xxhash.xxh3_64_intdigest(token.encode()) | 1
         self[token] = found
         return found
 
 
-def phrase_hashes(language: int, words: np.ndarray, size: int) -> np.ndarray:
+def phrase_hashes(languages: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
     """Hash of the phrase of ``size`` words at every place, 0 where a piece ends inside."""
     places = max(len(words) - size + 1, 0)
-    out = np.full(places, language, np.uint64)
+    out = languages[:places].copy()
     whole = np.ones(places, bool)
     for j in range(size):
         own = words[j : j + places]
@@ -105,8 +118,28 @@ class Sieve:
         return found
 
 
-def sieves(phrases: DataFrame, size: int, flags: list[str]) -> list[Sieve]:
-    """A sieve for each flag, of the phrases of ``size`` words for which it holds."""
+def hashed(phrases: DataFrame, size: int) -> DataFrame:
+    """With the ``hash`` of each phrase of ``size`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            texts = zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
+            found = [
+                phrase_hashes(np.array([hashes[g]], np.uint64), np.array([hashes[w] for w in p.split(" ")], np.uint64), size)
+                for g, p in texts
+            ]
+            found = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "hash"]
+            )
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in phrases.schema)
+    return phrases.mapInArrow(run, f"{fields}, hash long")
+
+
+def sieves(phrases: DataFrame, flags: list[str]) -> list[Sieve]:
+    """A sieve for each flag, of the ``hash`` of the rows for which it holds."""
     counts = phrases.agg(*[F.count_if(F.col(flag)).alias(flag) for flag in flags]).first()
     made = []
     for flag in flags:
@@ -114,26 +147,18 @@ def sieves(phrases: DataFrame, size: int, flags: list[str]) -> list[Sieve]:
         made.append(Sieve(min(FILTER_BITS, 1 << (wanted - 1).bit_length())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            languages, words = (c.to_pylist() for c in batch.columns[:2])
-            found = np.array(
-                [
-                    phrase_hashes(hashes[g], np.fromiter(map(hashes.__getitem__, p.split(" ")), np.uint64, size), size)[0]
-                    for g, p in zip(languages, words)
-                ],
-                np.uint64,
-            )
+            found = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for number, sieve in enumerate(made):
-                chosen = found[np.array(batch.column(2 + number).to_pylist(), bool)]
+                chosen = found[batch.column(1 + number).to_numpy(zero_copy_only=False)]
                 at = np.unique(np.concatenate(sieve.places(chosen)))
-                blocks, first = np.unique(at >> np.uint64(6), return_index=True)
                 if len(at):
+                    blocks, first = np.unique(at >> np.uint64(6), return_index=True)
                     bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
                     columns = [pa.array(np.full(len(blocks), number, np.int32)), pa.array(blocks.astype(np.int64)), pa.array(bits.view(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, names=["sieve", "block", "bits"])
 
-    blocks = phrases.select("lang", "phrase", *flags).mapInArrow(run, "sieve int, block long, bits long")
+    blocks = phrases.select("hash", *flags).mapInArrow(run, "sieve int, block long, bits long")
     # At most FILTER_BITS / 64 rows for each flag.
     found = blocks.groupBy("sieve", "block").agg(F.bit_or("bits").alias("bits")).toArrow()
     number, block = found.column("sieve").to_numpy(), found.column("block").to_numpy()
@@ -154,19 +179,86 @@ def _parts(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-#: From the hashes of a text's words and of its language: the places at which a phrase is to be counted.
-Gate = Callable[[np.ndarray, int], np.ndarray]
+class _Block:
+    """Words of some texts one after the other, a stop after each text."""
 
+    def __init__(self):
+        self.tokens: list[str] = []
+        self.names: list[str] = []
+        self.lengths: list[int] = []
 
-def count_phrases(texts: DataFrame, size: int, gate: Gate | None, min_count: int) -> DataFrame:
-    """``lang``, ``phrase`` and ``a`` of phrases of ``size`` words that the gate admits and that are frequent enough.
+    def add(self, language: str, text: str) -> None:
+        own = _tokens(text)
+        own.append(_STOP)
+        self.tokens += own
+        self.names.append(language)
+        self.lengths.append(len(own))
 
-    Single words are not gated; with them, a null phrase carries the number of all words of a language.
-    """
+    def arrays(self, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the language and of the word at every place."""
+        languages = np.repeat(np.array([hashes[g] for g in self.names], np.uint64), self.lengths)
+        return languages, np.fromiter(map(hashes.__getitem__, self.tokens), np.uint64, len(self.tokens))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    block = _Block()
+    for batch in batches:
+        for language, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for part in _parts(ascii_lower(text)):
+                block.add(language, part)
+                if len(block.tokens) >= BLOCK_WORDS:
+                    yield block
+                    block = _Block()
+    if block.tokens:
+        yield block
+
+
+def count_hashes(texts: DataFrame, min_count: int) -> DataFrame:
+    """``size``, ``hash`` and ``a`` of hashes of words and pairs that are frequent enough, and by ``lang``, with size 0,
+    the number of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        totals: Counter = Counter()
+        for block in _blocks(batches):
+            languages, words = block.arrays(hashes)
+            ends = np.cumsum(block.lengths)
+            spoken = np.concatenate(([0], np.cumsum(words != 0)))
+            for name, n in zip(block.names, (spoken[ends] - spoken[ends - block.lengths]).tolist()):
+                totals[name] += n
+            for size in (1, 2):
+                found = phrase_hashes(languages, words, size)
+                values, a = np.unique(found[found != 0], return_counts=True)
+                columns = [
+                    pa.array(np.full(len(values), size, np.int32)),
+                    pa.array(values.view(np.int64)),
+                    pa.nulls(len(values), pa.string()),
+                    pa.array(a.astype(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["size", "hash", "lang", "a"])
+        names = list(totals)
+        columns = [
+            pa.array([0] * len(names), pa.int32()),
+            pa.nulls(len(names), pa.int64()),
+            pa.array(names, pa.string()),
+            pa.array([totals[g] for g in names], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["size", "hash", "lang", "a"])
+
+    found = texts.select("lang", "text").mapInArrow(run, "size int, hash long, lang string, a long")
+    return found.groupBy("size", "hash", "lang").agg(F.sum("a").alias("a")).filter((F.col("a") >= min_count) | (F.col("size") == 0))
+
+
+#: From the hashes of languages and words: the places at which a phrase is to be counted.
+Gate = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def count_phrases(texts: DataFrame, gates: dict[int, Gate], min_count: int) -> DataFrame:
+    """``lang``, ``phrase`` and ``a`` of frequent phrases of the given numbers of words that their gates admit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
         hashes = _Hashes()
+        counts: dict[str, Counter] = {}
 
         def handed_on() -> pa.RecordBatch:
             columns = [
@@ -177,26 +269,27 @@ def count_phrases(texts: DataFrame, size: int, gate: Gate | None, min_count: int
             counts.clear()
             return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
 
-        for batch in batches:
-            for language, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for part in _parts(ascii_lower(text)):
-                    tokens = _TOKEN.findall(part)
-                    own = counts.setdefault(language, Counter())
-                    if gate is None:
-                        words = [t for t in tokens if t not in _ENDS]
-                        own.update(words)
-                        own[None] += len(words)
-                    elif len(tokens) >= size:
-                        words = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-                        at = np.flatnonzero(gate(words, hashes[language])).tolist()
-                        own.update([" ".join(tokens[i : i + size]) for i in at])
+        for block in _blocks(batches):
+            tokens = block.tokens
+            languages, words = block.arrays(hashes)
+            for size, gate in gates.items():
+                at = np.flatnonzero(gate(languages, words))
+                # Places of one text after the other, so that each is counted in its language.
+                texts_of = np.searchsorted(np.cumsum(block.lengths), at, side="right")
+                cuts = np.flatnonzero(np.diff(texts_of)) + 1
+                for places, text in zip(np.split(at, cuts), texts_of[np.concatenate(([0], cuts))] if len(at) else ()):
+                    own = counts.setdefault(block.names[text], Counter())
+                    if size == 1:
+                        own.update([tokens[i] for i in places.tolist()])
+                    else:
+                        own.update([" ".join(tokens[i : i + size]) for i in places.tolist()])
                     if sum(map(len, counts.values())) > HELD_PHRASES:
                         yield handed_on()
         if counts:
             yield handed_on()
 
     found = texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, a long")
-    return found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter((F.col("a") >= min_count) | F.col("phrase").isNull())
+    return found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count)
 
 
 def _ratio(part: Column, whole: list[Column]) -> Column:
@@ -273,29 +366,27 @@ def _survivors(chosen: DataFrame, longer: DataFrame | None, size: int, cover: in
     return chosen.join(most, ["lang", "phrase"], "left").filter(~F.coalesce(covered, F.lit(False))).drop("most")
 
 
-def _pair_gate(frequent: Sieve) -> Gate:
-    def gate(words: np.ndarray, language: int) -> np.ndarray:
-        known = frequent(phrase_hashes(language, words, 1))
-        return known[:-1] & known[1:]
-
-    return gate
+def _frequent_gate(frequent: Sieve, size: int) -> Gate:
+    return lambda languages, words: frequent(phrase_hashes(languages, words, size))
 
 
 def _growth_gate(size: int, pairs: Sieve, grown: list[Sieve], last: bool) -> Gate:
     heads, tails, chosen = grown
 
-    def gate(words: np.ndarray, language: int) -> np.ndarray:
-        shorter = phrase_hashes(language, words, size - 1)
-        front, back = shorter[:-1], shorter[1:]
-        if last:
-            # Not grown any more: what may reach the threshold itself, and what may cover what does.
-            found = (heads(front) & tails(back)) | chosen(front) | chosen(back)
-        else:
-            found = heads(front) | tails(back)
-        found &= (front != 0) & (back != 0)
-        frequent = pairs(phrase_hashes(language, words, 2))
-        for j in range(size - 1):
-            found &= frequent[j : j + len(found)]
+    def gate(languages: np.ndarray, words: np.ndarray) -> np.ndarray:
+        places = len(words) - size + 1
+        frequent = pairs(phrase_hashes(languages, words, 2))
+        # Few places have frequent pairs only, so the rest is looked up there alone.
+        at = np.flatnonzero(np.logical_and.reduce([frequent[j : j + places] for j in range(size - 1)])) if places > 0 else []
+        found = np.zeros(max(places, 0), bool)
+        if len(at):
+            shorter = phrase_hashes(languages, words, size - 1)
+            front, back = shorter[at], shorter[at + 1]
+            if last:
+                # Not grown any more: what may reach the threshold itself, and what may cover what does.
+                found[at] = (heads(front) & tails(back)) | chosen(front) | chosen(back)
+            else:
+                found[at] = heads(front) | tails(back)
         return found
 
     return gate
@@ -317,9 +408,10 @@ def _wave(
         )
         longer = None
         if size < longest:
-            grown = sieves(flagged, size, ["grow_head", "grow_tail", "chosen"])
+            flags = ["grow_head", "grow_tail", "chosen"]
+            grown = sieves(hashed(flagged.select("lang", "phrase", *flags), size), flags)
             gate = _growth_gate(size + 1, known, grown, size + 1 == longest)
-            counted = saved(count_phrases(own, size + 1, gate, min_count), "phrases")
+            counted = saved(count_phrases(own, {size + 1: gate}, min_count), "phrases")
             longer = saved(_bounded(_joined(counted, shorter, size + 1), size + 1), "candidates")
         levels.append(_survivors(flagged.filter("chosen").select(*kept), longer, size, cover))
         shorter = longer
@@ -337,13 +429,16 @@ def mine_collocations(
 ) -> DataFrame:
     """The first ``limit`` collocations of each language: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``."""
     texts = documents.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-    words = saved(count_phrases(texts, 1, None, min_count), "words")
+    hashes = saved(count_hashes(texts, min_count), "hashes")
+    sizes = hashes.select("hash", (F.col("size") == 1).alias("words"), (F.col("size") == 2).alias("pairs"))
+    frequent = sieves(sizes.na.drop(), ["words", "pairs"])
+    gates = {size: _frequent_gate(sieve, size) for size, sieve in enumerate(frequent, 1)}
+    counted = saved(count_phrases(texts, gates, min_count), "phrases")
     none = F.array().cast("array<bigint>")
-    singles = words.filter("phrase IS NOT NULL").select("lang", "phrase", "a", none.alias("heads"), none.alias("tails"))
-    (frequent,) = sieves(singles.withColumn("any", F.lit(True)), 1, ["any"])
-    counted = saved(count_phrases(texts, 2, _pair_gate(frequent), min_count), "phrases")
-    pairs = saved(_bounded(_joined(counted, singles, 2), 2), "candidates")
-    (known,) = sieves(pairs.withColumn("any", F.lit(True)), 2, ["any"])
+    single = F.instr("phrase", " ") == 0
+    singles = counted.filter(single).select("lang", "phrase", "a", none.alias("heads"), none.alias("tails"))
+    pairs = saved(_bounded(_joined(counted.filter(~single), singles, 2), 2), "candidates")
+    known = frequent[1]
 
     settled: list[DataFrame] = []
     target, open_pairs = FIRST_WAVE * limit, pairs
@@ -359,7 +454,7 @@ def mine_collocations(
             break
         target *= WAVE_GROWTH
         open_pairs = pairs.join(left, "lang", "left_semi")
-    totals = words.filter("phrase IS NULL").select("lang", F.col("a").alias("n"))
+    totals = hashes.filter("size = 0").select("lang", F.col("a").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return (
         reduce(DataFrame.unionByName, settled)

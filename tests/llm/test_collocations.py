@@ -80,6 +80,7 @@ def test_filters_that_let_everything_through_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(collocations, "FILTER_BITS", 64)
     monkeypatch.setattr(collocations, "HELD_PHRASES", 10)
     monkeypatch.setattr(collocations, "HELD_WORDS", 5)
+    monkeypatch.setattr(collocations, "BLOCK_WORDS", 20)
     monkeypatch.setattr(collocations, "PART_CHARS", 40)
     assert mined(spark, rows, **options) == plain(rows, **options)
 
