@@ -38,7 +38,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from merchlake.llm.batches import ascii_lower
 from merchlake.llm.components import saved
 
 LIMIT = 2000
@@ -46,61 +45,90 @@ MIN_COUNT = 30
 LONGEST = 4
 COVER_PERCENT = 80
 SCALE = 2_000_000
-#: Distinct phrases that a task counts before it hands them on, and words of texts that it looks at together.
+#: Distinct phrases that a task counts before it hands them on, and bytes of texts that it looks at together.
 HELD_PHRASES = 1 << 18
-BLOCK_WORDS = 1 << 19
-#: Words whose hashes a task remembers.
-HELD_WORDS = 1 << 19
+BLOCK_BYTES = 2 << 20
 #: Most bits of a filter, and bits for each phrase below that.
 FILTER_BITS = 1 << 27
 BITS_PER_PHRASE = 24
-#: Characters after which a text is parted at the next end of a piece.
-PART_CHARS = 1 << 20
+#: Bytes after which a text is parted at the next end of a piece.
+PART_BYTES = 1 << 20
 #: Candidates at or above the first threshold, as a multiple of the limit, and the growth of that number by wave.
 FIRST_WAVE, WAVE_GROWTH = 2, 8
 _BUCKET = 1000
 
-_END = re.compile(r"[.,;:!?\n-\r]")
-#: What ends a piece stands as a word of its own.
-_STOP = "\n"
-_ENDS = ".,;:!?\n\x0b\x0c\r"
-
-
-def _tokens(text: str) -> list[str]:
-    """Words and, for each end of a piece, a stop."""
-    text = text.replace(_STOP, " \n ")
-    for end in _ENDS:
-        if end != _STOP and end in text:
-            text = text.replace(end, " \n ")
-    if "\t" in text:
-        text = text.replace("\t", " ")
-    return list(filter(None, text.split(" ")))
-
-
-class _Hashes(dict):
-    """Hashes of words, 0 for what ends a piece."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        found = 0 if token == _STOP else xxhash.xxh3_64_intdigest(token.encode()) | 1
-        self[token] = found
+_END = re.compile(rb"[.,;:!?\n-\r]")
+_BLANKS = re.compile(rb"[ \t]+")
+
+# What a byte is: part of a word, a blank, or the end of a piece.
+_WORD, _BLANK, _STOP = 0, 1, 2
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b" \t")] = _BLANK
+_KIND[list(b".,;:!?\n\x0b\x0c\r")] = _STOP
+
+_MIX = np.uint64(0x9FB21C651E98DF25)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+_BYTE_HASH = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64)))
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode())
+
+
+class Block:
+    """Some texts, A-Z in lower case, as UTF-8 bytes one after the other, and where their words are."""
+
+    def __init__(self, languages: list[str], texts: list[bytes]):
+        self.languages = languages
+        self.data = b"\n".join(texts).lower()
+        codes = np.frombuffer(self.data, np.uint8)
+        kind = _KIND[codes]
+        inside = kind == _WORD
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.piece = np.searchsorted(np.flatnonzero(kind == _STOP), self.starts)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        self.text = np.searchsorted(begins, self.starts, side="right") - 1
+        # Whether something else than one space stands between a word and the next.
+        gap = codes[self.ends[:-1]] if len(self.ends) else codes[:0]
+        self.odd = (self.starts[1:] - self.ends[:-1] != 1) | (gap != ord(" "))
+
+        lengths = self.ends - self.starts
+        firsts = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+        powers = np.full(int(lengths.max(initial=0)) + 1, _MIX)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        parts = _BYTE_HASH[codes[inside]] * powers[place]
+        self.words = _mixed(np.add.reduceat(parts, firsts)) if len(firsts) else np.zeros(0, np.uint64)
+        self.own = np.array([text_hash(g) for g in languages], np.uint64)[self.text]
+
+    def hashes(self, size: int) -> np.ndarray:
+        """Hash of the phrase of ``size`` words at every place, 0 where a piece ends inside. Never misses an equal phrase."""
+        places = max(len(self.words) - size + 1, 0)
+        out = self.own[:places]
+        for j in range(size):
+            out = _mixed(out ^ self.words[j : j + places])
+        whole = self.piece[:places] == self.piece[size - 1 :][:places]
+        return np.where(whole, out | np.uint64(1), np.uint64(0))
+
+    def phrases(self, at: np.ndarray, size: int) -> list[bytes]:
+        """The phrases of ``size`` words at the given places, single spaces between their words."""
+        data = self.data
+        found = [data[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at + size - 1].tolist())]
+        if size > 1:
+            odd = np.logical_or.reduce([self.odd[at + j] for j in range(size - 1)])
+            for i in np.flatnonzero(odd).tolist():
+                found[i] = _BLANKS.sub(b" ", found[i])
         return found
 
 
-def phrase_hashes(languages: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the phrase of ``size`` words at every place, 0 where a piece ends inside."""
-    places = max(len(words) - size + 1, 0)
-    out = languages[:places].copy()
-    whole = np.ones(places, bool)
-    for j in range(size):
-        own = words[j : j + places]
-        whole &= own != 0
-        out = (out ^ own) * np.uint64(0x9FB21C651E98DF25)
-        out ^= out >> np.uint64(32)
-    return np.where(whole, out | np.uint64(1), np.uint64(0))
-
-
 class Sieve:
     """A bit filter of phrases: says yes for every phrase put in, and for a few others."""
 
@@ -122,17 +150,12 @@ def hashed(phrases: DataFrame, size: int) -> DataFrame:
     """With the ``hash`` of each phrase of ``size`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            texts = zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
-            found = [
-                phrase_hashes(np.array([hashes[g]], np.uint64), np.array([hashes[w] for w in p.split(" ")], np.uint64), size)
-                for g, p in texts
-            ]
-            found = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "hash"]
-            )
+            texts = batch.column("phrase").cast(pa.binary()).to_pylist()
+            if texts:
+                found = Block(batch.column("lang").to_pylist(), texts).hashes(size)
+                found = pa.array(found[found != 0].view(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "hash"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in phrases.schema)
     return phrases.mapInArrow(run, f"{fields}, hash long")
@@ -168,49 +191,30 @@ def sieves(phrases: DataFrame, flags: list[str]) -> list[Sieve]:
     return made
 
 
-def _parts(text: str) -> Iterator[str]:
+def _parts(text: bytes) -> Iterator[bytes]:
     start = 0
-    while len(text) - start > PART_CHARS:
-        end = _END.search(text, start + PART_CHARS)
+    while len(text) - start > PART_BYTES:
+        end = _END.search(text, start + PART_BYTES)
         if not end:
             break
         yield text[start : end.end()]
         start = end.end()
-    yield text[start:]
-
-
-class _Block:
-    """Words of some texts one after the other, a stop after each text."""
-
-    def __init__(self):
-        self.tokens: list[str] = []
-        self.names: list[str] = []
-        self.lengths: list[int] = []
+    yield text[start:] if start else text
 
-    def add(self, language: str, text: str) -> None:
-        own = _tokens(text)
-        own.append(_STOP)
-        self.tokens += own
-        self.names.append(language)
-        self.lengths.append(len(own))
 
-    def arrays(self, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the language and of the word at every place."""
-        languages = np.repeat(np.array([hashes[g] for g in self.names], np.uint64), self.lengths)
-        return languages, np.fromiter(map(hashes.__getitem__, self.tokens), np.uint64, len(self.tokens))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
-    block = _Block()
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    languages, texts, size = [], [], 0
     for batch in batches:
-        for language, text in zip(*(c.to_pylist() for c in batch.columns)):
-            for part in _parts(ascii_lower(text)):
-                block.add(language, part)
-                if len(block.tokens) >= BLOCK_WORDS:
-                    yield block
-                    block = _Block()
-    if block.tokens:
-        yield block
+        for language, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            for part in _parts(text):
+                languages.append(language)
+                texts.append(part)
+                size += len(part)
+                if size >= BLOCK_BYTES:
+                    yield Block(languages, texts)
+                    languages, texts, size = [], [], 0
+    if texts:
+        yield Block(languages, texts)
 
 
 def count_hashes(texts: DataFrame, min_count: int) -> DataFrame:
@@ -218,16 +222,12 @@ def count_hashes(texts: DataFrame, min_count: int) -> DataFrame:
     the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         totals: Counter = Counter()
         for block in _blocks(batches):
-            languages, words = block.arrays(hashes)
-            ends = np.cumsum(block.lengths)
-            spoken = np.concatenate(([0], np.cumsum(words != 0)))
-            for name, n in zip(block.names, (spoken[ends] - spoken[ends - block.lengths]).tolist()):
+            for name, n in zip(block.languages, np.bincount(block.text, minlength=len(block.languages)).tolist()):
                 totals[name] += n
             for size in (1, 2):
-                found = phrase_hashes(languages, words, size)
+                found = block.hashes(size)
                 values, a = np.unique(found[found != 0], return_counts=True)
                 columns = [
                     pa.array(np.full(len(values), size, np.int32)),
@@ -249,42 +249,34 @@ def count_hashes(texts: DataFrame, min_count: int) -> DataFrame:
     return found.groupBy("size", "hash", "lang").agg(F.sum("a").alias("a")).filter((F.col("a") >= min_count) | (F.col("size") == 0))
 
 
-#: From the hashes of languages and words: the places at which a phrase is to be counted.
-Gate = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: The places of a block at which a phrase is to be counted.
+Gate = Callable[[Block], np.ndarray]
 
 
 def count_phrases(texts: DataFrame, gates: dict[int, Gate], min_count: int) -> DataFrame:
     """``lang``, ``phrase`` and ``a`` of frequent phrases of the given numbers of words that their gates admit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         counts: dict[str, Counter] = {}
 
         def handed_on() -> pa.RecordBatch:
             columns = [
                 pa.array([g for g, own in counts.items() for _ in own], pa.string()),
-                pa.array([p for own in counts.values() for p in own], pa.string()),
+                pa.array([p for own in counts.values() for p in own], pa.binary()).cast(pa.string()),
                 pa.array([n for own in counts.values() for n in own.values()], pa.int64()),
             ]
             counts.clear()
             return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
 
         for block in _blocks(batches):
-            tokens = block.tokens
-            languages, words = block.arrays(hashes)
+            codes = {name: number for number, name in enumerate(dict.fromkeys(block.languages))}
+            language = np.array([codes[name] for name in block.languages])[block.text]
             for size, gate in gates.items():
-                at = np.flatnonzero(gate(languages, words))
-                # Places of one text after the other, so that each is counted in its language.
-                texts_of = np.searchsorted(np.cumsum(block.lengths), at, side="right")
-                cuts = np.flatnonzero(np.diff(texts_of)) + 1
-                for places, text in zip(np.split(at, cuts), texts_of[np.concatenate(([0], cuts))] if len(at) else ()):
-                    own = counts.setdefault(block.names[text], Counter())
-                    if size == 1:
-                        own.update([tokens[i] for i in places.tolist()])
-                    else:
-                        own.update([" ".join(tokens[i : i + size]) for i in places.tolist()])
-                    if sum(map(len, counts.values())) > HELD_PHRASES:
-                        yield handed_on()
+                at = gate(block)
+                for name, code in codes.items():
+                    counts.setdefault(name, Counter()).update(block.phrases(at[language[at] == code], size))
+            if sum(map(len, counts.values())) > HELD_PHRASES:
+                yield handed_on()
         if counts:
             yield handed_on()
 
@@ -367,27 +359,23 @@ def _survivors(chosen: DataFrame, longer: DataFrame | None, size: int, cover: in
 
 
 def _frequent_gate(frequent: Sieve, size: int) -> Gate:
-    return lambda languages, words: frequent(phrase_hashes(languages, words, size))
+    return lambda block: np.flatnonzero(frequent(block.hashes(size)))
 
 
 def _growth_gate(size: int, pairs: Sieve, grown: list[Sieve], last: bool) -> Gate:
     heads, tails, chosen = grown
 
-    def gate(languages: np.ndarray, words: np.ndarray) -> np.ndarray:
-        places = len(words) - size + 1
-        frequent = pairs(phrase_hashes(languages, words, 2))
+    def gate(block: Block) -> np.ndarray:
+        frequent = pairs(block.hashes(2))
+        places = max(len(block.words) - size + 1, 0)
         # Few places have frequent pairs only, so the rest is looked up there alone.
-        at = np.flatnonzero(np.logical_and.reduce([frequent[j : j + places] for j in range(size - 1)])) if places > 0 else []
-        found = np.zeros(max(places, 0), bool)
-        if len(at):
-            shorter = phrase_hashes(languages, words, size - 1)
-            front, back = shorter[at], shorter[at + 1]
-            if last:
-                # Not grown any more: what may reach the threshold itself, and what may cover what does.
-                found[at] = (heads(front) & tails(back)) | chosen(front) | chosen(back)
-            else:
-                found[at] = heads(front) | tails(back)
-        return found
+        at = np.flatnonzero(np.logical_and.reduce([frequent[j : j + places] for j in range(size - 1)]))
+        shorter = block.hashes(size - 1)
+        front, back = shorter[at], shorter[at + 1]
+        if last:
+            # Not grown any more: what may reach the threshold itself, and what may cover what does.
+            return at[(heads(front) & tails(back)) | chosen(front) | chosen(back)]
+        return at[heads(front) | tails(back)]
 
     return gate
 

@@ -79,9 +79,8 @@ def test_filters_that_let_everything_through_change_nothing(spark, monkeypatch):
     options = {"limit": 10, "min_count": 5, "longest": 4, "cover": 80}
     monkeypatch.setattr(collocations, "FILTER_BITS", 64)
     monkeypatch.setattr(collocations, "HELD_PHRASES", 10)
-    monkeypatch.setattr(collocations, "HELD_WORDS", 5)
-    monkeypatch.setattr(collocations, "BLOCK_WORDS", 20)
-    monkeypatch.setattr(collocations, "PART_CHARS", 40)
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(collocations, "PART_BYTES", 40)
     assert mined(spark, rows, **options) == plain(rows, **options)
 
 
