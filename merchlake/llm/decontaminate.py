@@ -8,8 +8,8 @@ than the window counts when it occurs as a whole. Hit words join into spans.
 The test set is read in blocks of at most ``BLOCK_WORDS`` words, the only data sent to every task; a larger
 set takes several passes over the documents with the same result.
 
-Null and empty texts have no words. Items that are null or have no words match nothing; an item id that occurs
-twice counts once. Repeated rows are each judged. Other columns are kept as they are, whatever their names.
+Null and empty texts have no words. Items of a null text or without words match nothing; an item id that occurs
+twice counts once. A null item id is an id like another, counted among a document's items and left out of the digest. Repeated rows are each judged. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,22 +31,25 @@ BLOCK_WORDS = 200_000
 MAX_COVERAGE = 0.5
 
 Span = tuple[int, int]
-Item = tuple[str, list[str]]
+Item = tuple[str | None, list[str]]
 
 _FOUND = "id {id}, text string, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 
 
 def item_automaton(items: list[Item], window: int) -> SuffixAutomaton:
-    """Automaton of the items with each of their windows marked by item."""
+    """Automaton of the items with each distinct window marked once; ``holders`` has the items of every mark."""
     automaton = SuffixAutomaton(item for _, item in items)
-    marked: set[tuple[str, tuple[str, ...]]] = set()
+    numbers: dict[tuple[str, ...], int] = {}
+    automaton.holders = []
     for item_id, item in items:
         size = min(window, len(item))
-        for start in range(len(item) - size + 1):
-            run = item[start : start + size]
-            if size and (item_id, tuple(run)) not in marked:
-                marked.add((item_id, tuple(run)))
-                automaton.mark(run, item_id)
+        for start in range(len(item) - size + 1 if size else 0):
+            run = tuple(item[start : start + size])
+            if run not in numbers:
+                numbers[run] = len(numbers)
+                automaton.holders.append(set())
+                automaton.mark(list(run), numbers[run])
+            automaton.holders[numbers[run]].add(item_id)
     automaton.settle()
     return automaton
 
@@ -63,19 +66,19 @@ def merge_spans(spans: list[Span]) -> list[Span]:
     return merged
 
 
-def find_spans(automaton: SuffixAutomaton, stream: list[str], least: int) -> tuple[list[Span], set[str]]:
+def find_spans(automaton: SuffixAutomaton, stream: list[str], least: int) -> tuple[list[Span], set[str | None]]:
     """Hit spans of a word stream and the items whose windows they hold."""
     spans: list[Span] = []
-    items: set[str] = set()
+    marks: set[int] = set()
     for position, state, matched in automaton.matching(stream, least):
-        for length, item_id in automaton.marks_at(state, matched):
+        for length, mark in automaton.marks_at(state, matched):
             first = position - length + 1
             if spans and spans[-1][0] <= first <= spans[-1][1] + 1:
                 spans[-1] = spans[-1][0], max(position, spans[-1][1])
             else:
                 spans.append((first, position))
-            items.add(item_id)
-    return merge_spans(spans), items
+            marks.add(mark)
+    return merge_spans(spans), set().union(*(automaton.holders[mark] for mark in marks))
 
 
 def _shortest(items: list[Item], window: int) -> int:
@@ -93,7 +96,7 @@ def _scan(shared: Broadcast, window: int) -> Callable[[], Callable[..., Iterator
             if spans:
                 found = merge_spans(found + [(s["first"], s["last"]) for s in spans])
             spans = [{"first": first, "last": last} for first, last in found]
-            yield doc_id, text, len(stream), spans, sorted(hit.union(items or ()))
+            yield doc_id, text, len(stream), spans, sorted(hit.union(items or ()), key=lambda i: (i is None, i or ""))
 
         return row
 
@@ -102,7 +105,7 @@ def _scan(shared: Broadcast, window: int) -> Callable[[], Callable[..., Iterator
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter(
-        "text is not null and item is not null"
+        "text is not null"
     )
 
 
