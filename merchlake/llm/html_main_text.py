@@ -44,7 +44,7 @@ LENGTH_LONG = 200
 STOP_DENSITY_LOW = 0.2
 STOP_DENSITY_HIGH = 0.3
 
-_RAW = "script|style|noscript|template|textarea|iframe|title|svg|math|object|canvas|select|option|datalist|audio|video"
+_RAW = "script|style|noscript|template|textarea|iframe|title|svg|canvas|select|option|datalist|audio|video"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
@@ -52,6 +52,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.DOTALL | re.IGNORECASE,
 )
+_OPEN_TAG = re.compile(r"<(?![!?])")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _NAMING = frozenset("class id role itemprop".split())
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.IGNORECASE)
@@ -65,8 +66,21 @@ _BLOCK_TAGS = frozenset(
     ).split()
 )
 _VOID_TAGS = frozenset("hr".split())
-_SELF_CLOSING = frozenset("p li dd dt td th tr tbody thead tfoot caption".split())
+_EMPTY_TAGS = frozenset("area base br col embed img input link meta param source track wbr".split())
+# Without attributes these change nothing for what stands in them.
+_PLAIN_TAGS = frozenset("p li dd dt td th tr tbody thead tfoot h1 h2 h3 h4 h5 h6 div section table ul ol".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# What an opening tag closes without a closing tag, looked for up to the nearest of the elements that hold such tags.
+_LIST, _CELLS = frozenset("ul ol menu dir".split()), frozenset("td th".split())
+_CLOSES = {
+    "li": (frozenset(["li"]), _LIST),
+    "dd": (frozenset("dd dt".split()), frozenset(["dl"])),
+    "dt": (frozenset("dd dt".split()), frozenset(["dl"])),
+    "td": (_CELLS, frozenset("tr table".split())),
+    "th": (_CELLS, frozenset("tr table".split())),
+    "tr": (frozenset(["tr"]), frozenset(["table"])),
+    **{t: (frozenset("tbody thead tfoot".split()), frozenset(["table"])) for t in ("tbody", "thead", "tfoot")},
+}
 _BOILER_TAGS = frozenset("nav footer aside form menu dialog button search head fieldset".split())
 _MAIN_TAGS = frozenset("article main".split())
 # Parts of class, id and role names.
@@ -82,6 +96,20 @@ _BOILER_NAMES = frozenset(
 _OTHER_NAMES = frozenset("comment comments discussion disqus related replies reply".split())
 # What follows in a name tells what a layout has or lacks, not what it is: has-sidebar, no-sidebar, with-menu.
 _LAYOUT_WORDS = frozenset("has no with without".split())
+# Names that mean boilerplate only as the last part of a name, or before parts that tell its place or shape.
+_AMBIGUOUS_NAMES = frozenset(
+    (
+        "banner complementary copyright disclaimer discussion menu navigation notice notification promotion related replies"
+        " reply search share sharing social sponsor subscribe"
+    ).split()
+)
+_SHAPES = frozenset(
+    (
+        "area bar block body bottom box btn button buttons col column container content footer form group header heading"
+        " icon icons inner item items left link links list main mobile nav outer panel posts primary right row secondary"
+        " section site slot text title top unit widget wrap wrapper"
+    ).split()
+)
 _MAIN_NAMES = frozenset("article articlebody content main post entry story body page wrapper".split())
 
 GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
@@ -113,10 +141,12 @@ def _names(attributes: dict[str, str]) -> set[str]:
     found: set[str] = set()
     for attribute in _NAMING & attributes.keys():
         for name in attributes[attribute].lower().split():
-            for part in _NAME.findall(name):
+            parts = _NAME.findall(name)
+            for place, part in enumerate(parts):
                 if part in _LAYOUT_WORDS:
                     break
-                found.add(part)
+                if part not in _AMBIGUOUS_NAMES or _SHAPES.issuperset(parts[place + 1 :]):
+                    found.add(part)
     return found
 
 
@@ -146,6 +176,26 @@ def _enter(tag: str, text: str, boiler: int, main: bool, rescued: bool) -> tuple
     return boiler, main or (article and not boiler), rescued
 
 
+def _closed(page: str) -> str:
+    """The page with what follows its last ``>`` made text, as no tag can end there; scanning is linear then."""
+    last = page.rfind(">") + 1
+    return page[:last] + _OPEN_TAG.sub("&lt;", page[last:])
+
+
+def _implied(stack: list[tuple], tag: str) -> None:
+    """Drop the open elements that an opening block tag closes."""
+    if stack[-1][0] == "p" or (tag in _HEADINGS and stack[-1][0] in _HEADINGS):
+        stack.pop()
+    kinds, holders = _CLOSES.get(tag, ((), ()))
+    if kinds:
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth][0] in holders:
+                break
+            if stack[depth][0] in kinds:
+                del stack[depth:]
+                break
+
+
 def blocks_of(page: str) -> list[Block]:
     """The non-empty blocks of a page, in order, not yet labelled."""
     found: list[Block] = []
@@ -155,6 +205,9 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, int, int, bool, bool]] = [("", 0, CLEAR, False, False)]
     regions = links = at = 0
     inner = ""
+    # An inline element that does not show, and how many of its name are open.
+    unseen, depth_unseen = "", 0
+    page = _closed(page)
 
     def flush() -> None:
         if parts:
@@ -172,6 +225,8 @@ def blocks_of(page: str) -> list[Block]:
             link_parts.clear()
 
     def add(text: str) -> None:
+        if unseen:
+            return
         parts.append(text)
         if links:
             link_parts.append(text)
@@ -184,35 +239,58 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         tag, closing = name.lower(), bool(token[2] or token[5])
-        if tag == "a":
-            links = 0 if closing else 1
-        elif tag == "br":
-            add(" ")
-        elif tag in _BLOCK_TAGS:
-            flush()
-            links = 0
-            inner = "" if closing else tag
-            if tag in _SELF_CLOSING or tag in _VOID_TAGS or tag in _HEADINGS:
-                continue
-            if closing:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        del stack[depth:]
-                        break
-            else:
-                _, region, *before = stack[-1]
-                after = _enter(tag, token[4] or token[7] or "", *before)
-                if (after[0] != CLEAR, *after[1:]) != (before[0] != CLEAR, *before[1:]):
-                    regions += 1
-                    region = regions
-                stack.append((tag, region, *after))
+        attributes = token[4] or token[7] or ""
+        if tag not in _BLOCK_TAGS:
+            if tag == "a":
+                links = 0 if closing else 1
+            elif tag == "br":
+                add(" ")
+            if unseen:
+                if tag == unseen and tag not in _EMPTY_TAGS:
+                    depth_unseen += -1 if closing else 1
+                    unseen = unseen if depth_unseen else ""
+            elif attributes and not closing and tag not in _EMPTY_TAGS and _is_hidden(_attributes(attributes)):
+                unseen, depth_unseen = tag, 1
+            continue
+        flush()
+        links, unseen = 0, ""
+        inner = "" if closing else tag
+        if tag in _VOID_TAGS:
+            continue
+        if closing:
+            # What a cell or an item holds is closed with it; nothing outside its list or table is.
+            _, holders = _CLOSES.get(tag, ((), ()))
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] == tag:
+                    del stack[depth:]
+                    break
+                if stack[depth][0] in holders:
+                    break
+        else:
+            _implied(stack, tag)
+            _, region, *before = stack[-1]
+            after = _enter(tag, attributes, *before) if attributes or tag not in _PLAIN_TAGS else before
+            if (after[0] != CLEAR, *after[1:]) != (before[0] != CLEAR, *before[1:]):
+                regions += 1
+                region = regions
+            stack.append((tag, region, *after))
     if at < len(page):
         add(page[at:])
     flush()
     return found
 
 
+# Characters that do the work of function words where words are not set apart.
+_STOP_CHARACTERS = re.compile("[\u7684\u4e86\u662f\u5728\u4e0d\u6709\u548c\u4e5f\u5c31\u8fd9\u3092\u306b\u306f\u304c\u3067\u3068\u3082\u306e\u305f\u3066]")
+_IDEOGRAPHS = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]")
+# Characters of such scripts that make as much as a word of others.
+_CHARACTERS_A_WORD = 4
+
+
 def _stop_density(text: str) -> float:
+    dense = len(_IDEOGRAPHS.findall(text)) if not text.isascii() else 0
+    if dense * 2 > len(text):
+        return min(1.0, _CHARACTERS_A_WORD * len(_STOP_CHARACTERS.findall(text)) / dense)
     tokens = text.lower().split()
     return sum(t.strip(".,;:!?\"'()") in STOP_WORDS for t in tokens) / len(tokens)
 
@@ -268,6 +346,9 @@ def label_blocks(found: list[Block]) -> list[Block]:
                 label = below if not declared else GOOD if GOOD in (above, below) else below
             elif above and below and above != below:
                 label = default
+            elif declared and not block.list_item and not block.link_share and not (above and below):
+                # A list of links beside it says nothing about a paragraph of an article.
+                label = default
             else:
                 label = above or below or default
         final.append(label)
