@@ -8,12 +8,14 @@
 3. *Label model.* Expectation maximisation over those counts estimates, without labels, how often each voter fires on
    toxic and on other texts (its accuracy), and how strongly voters agree beyond what the label explains (their
    correlation). Correlated voters share their weight. The labelled rows kept apart anchor the two classes.
-4. *Classifier.* Logistic regression on lexicon entries and their density, fitted on the posterior labels of a bounded
-   sample of documents, scores every whole text.
+4. *Classifier.* Logistic regression on lexicon entries and their density, fitted on the posterior labels of the
+   sampled labelled rows, scores every whole text.
 
 Rows whose ``crc32(id) mod 3`` is 1 are held out: their labels are never read. Source, language, id and labels are
 never inputs of a score. Null and empty texts have no evidence and get the score of the bias. Without any toxic
-training row every score is 0. Repeated rows are scored alike; other columns are not read.
+training row every score is 0. Repeated rows are scored alike, and rows that tie in id or text are each scored; texts of
+any length are read whole, and words of any length are entries. An empty table gives an empty result. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -29,13 +31,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.llm.batches import map_rows
+from merchlake.llm.batches import least_hashed, map_rows
 from merchlake.llm.components import saved
 
 #: Labelled rows that the lexicon and the classifier are fitted on, at most.
 SAMPLE_ROWS = 12_000
-#: Entries of the lexicon, at most.
-LEXICON_SIZE = 1_024
 LEAST_SUPPORT = 3
 LEAST_ODDS = 40.0
 PREFIXES = (4, 5, 6, 7, 8)
@@ -82,8 +82,7 @@ def features(text: str | None) -> set[str]:
     """Distinct words and word beginnings of a text."""
     found: set[str] = set()
     for word in set(_WORD.findall(text.lower())) if text else ():
-        if len(word) <= 40:
-            found.add(word + "$")
+        found.add(word + "$")
         found.update(word[:k] for k in PREFIXES if k <= len(word))
     return found
 
@@ -115,9 +114,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col
         .filter(F.col("toxic").isin(0, 1) & ~held_out("id"))
         .groupBy("id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(SAMPLE_ROWS)
     )
+    known = least_hashed(known, F.xxhash64("id"), SAMPLE_ROWS)
     # The broadcast side is bounded by SAMPLE_ROWS.
     return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
 
@@ -148,11 +146,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         F.col("pos") * F.log(F.col("pos") / (seen * share))
         + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (seen * (1 - share)))).otherwise(0.0)
     )
-    best = (
-        counted.filter((odds >= LEAST_ODDS) & (gain >= 2 * math.log(max(tested, 2))))
-        .orderBy(gain.desc(), "feature")
-        .limit(LEXICON_SIZE)
-    )
+    # Entries pass a test against chance on at most SAMPLE_ROWS rows, so their number is bounded by those rows' words.
+    best = counted.filter((odds >= LEAST_ODDS) & (gain >= 2 * math.log(max(tested, 2)))).select("feature")
     return Lexicon(tuple(sorted(r["feature"] for r in best.collect())))
 
 
@@ -333,14 +328,8 @@ def score_toxicity(
         votes, counts = vote_patterns(evidence)
         anchors = map_rows(train.filter(apart).select("toxic", "text"), find, f"id int, {shape}").select("id", "votes").collect()
         model = fit_label_model(votes, counts, vote_bits([r["votes"] for r in anchors]), np.array([r["id"] for r in anchors], float))
-        # Documents for the classifier need no labels; held-out ones stay out all the same.
-        sample = (
-            evidence.filter(~held_out(doc_id))
-            .orderBy(F.xxhash64("id", F.lit("fit")), "id")
-            .limit(SAMPLE_ROWS)
-            .select("votes", "hits", "matched", "size")
-            .toPandas()
-        )
+        # At most SAMPLE_ROWS labelled rows (more only where documents share an id).
+        sample = map_rows(train.select(F.lit(0).alias("id"), "text"), find, f"id int, {shape}").toPandas()
         inputs = classifier_inputs(
             sample["hits"].tolist(), sample["matched"].to_numpy(), sample["size"].to_numpy(), len(lexicon.entries)
         )
