@@ -14,10 +14,11 @@ inequality before any distance to them is computed. The best of all trees are me
 
 *Long vectors.* Where squared lengths reach ``EXACT``, products are no longer exact in 64 bits. Such vectors stay out of
 the trees: they meet every query, and as queries every vector, in whole numbers of any size, which is slow but meant for
-few. A ranked score beyond 64 bits is an error, as it has no place in the result.
+few. A score beyond 64 bits is ranked by its exact value and comes out null, as it has no place in the result.
 
 Vectors that are null, hold null or non-finite components take no part. Shorter vectors are padded with zeros. Ties go to the smaller id. Ids name rows: a query never finds a row of its own id, and
-repeated queries give one result. Other columns are not read.
+repeated queries give one result. Long texts and other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from merchlake.llm.batches import map_rows
+from merchlake.llm.batches import least_hashed, map_rows
 from merchlake.llm.components import saved
 
 SAMPLE = 1024
@@ -316,7 +317,7 @@ def choose_pivots(sample: np.ndarray, count: int, norm: float) -> np.ndarray:
 def build_trees(vectors: DataFrame, norm: float, total: int) -> DataFrame:
     """The pages of all trees over ``id`` and ``vector``."""
     spark = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = least_hashed(vectors, F.xxhash64("id"), SAMPLE).collect()
     pivots = choose_pivots(stack([r["vector"] for r in sample]), min(PIVOTS, -(-total // TREE_ROWS)), norm)
     shared = spark.sparkContext.broadcast(pivots)
 
@@ -384,5 +385,5 @@ def top_k(
     score = F.col("score")
     if size["large"]:
         fits = score.between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)"))
-        score = F.when(fits, score.cast("long")).otherwise(F.raise_error(F.lit("a ranked score does not fit 64 bits")).cast("long"))
+        score = F.when(fits, score.cast("long"))
     return best.select("query_id", "rank", "vec_id", score.alias("score"))
