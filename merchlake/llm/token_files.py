@@ -48,8 +48,10 @@ READ_CONF = {
 SHARD_BYTES = 8 << 20
 MAX_SHARDS = 1 << 16
 END_ID = 0
-#: Distinct words whose ids a Python worker remembers (about 200 bytes each).
-WORD_MEMORY = 400_000
+#: Distinct pieces of each of the two generations that a Python worker remembers (about 200 bytes each).
+WORD_MEMORY = 250_000
+#: Marks that end words.
+ENDINGS = ".,;:!?"
 _GAMMA = 1.5
 _MAX_LEVELS = 40
 
@@ -57,8 +59,9 @@ class Encoder:
     """Token ids of whole texts, as the tokenizer gives them.
 
     A byte-level BPE cuts text into words before it merges, and always cuts before a space that stands alone. So what
-    stands between spaces can be encoded by itself, once, and remembered; what is new in a text goes to the tokenizer
-    in one call. Where the tokenizer works differently, or a text has other spacing or a special token in it, the
+    stands between spaces can be encoded by itself and remembered, as can a word without the mark after it; what is new in
+    a text goes to the tokenizer in one call. Memory has two generations: what is in use moves to the younger one, the
+    older one is let go when that is full. Where the tokenizer works differently, or a text has other spacing or a special token in it, the
     tokenizer gets the whole text.
     """
 
@@ -84,37 +87,48 @@ class Encoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.opens[number] = token.startswith("\u0120")
-        # What follows a space, and the ids of both.
+        self.marks = {m: self._whole(m) for m in ENDINGS} if self.by_word else {}
+        # What follows a space, and the ids of both, in two generations.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that each follow a space, by one call."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(new), add_special_tokens=False).ids, self.dtype)
-        # The only spaces are those before the pieces, so a token that begins with one begins a piece.
-        cuts = [*(np.flatnonzero(self.opens[ids]) * self.width).tolist(), len(ids) * self.width]
-        packed = ids.tobytes()
-        return {piece: packed[a:b] for piece, a, b in zip(new, cuts, cuts[1:])}
+    def _whole(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember pieces that each follow a space, by one call for those that are no known word with a mark after it."""
+        known, older, marks = self.known, self.older, self.marks
+        known.update((piece, older[piece]) for piece in new if piece in older)
+        # A letter or digit and a mark never share a token.
+        marked = [piece for piece in new if piece[-1] in marks and piece[-2:-1].isalnum() and piece[-2] < "\u0558"]
+        asked = new.difference(marked)
+        asked.update([piece[:-1] for piece in marked])
+        asked = [piece for piece in asked if piece not in known]
+        if asked:
+            ids = self._ids(" " + " ".join(asked))
+            # The only spaces are those before the pieces, so a token that begins with one begins a piece.
+            cuts = [*(np.flatnonzero(self.opens[ids]) * self.width).tolist(), len(ids) * self.width]
+            packed = ids.tobytes()
+            known.update([(piece, packed[a:b]) for piece, a, b in zip(asked, cuts, cuts[1:])])
+        known.update([(piece, known[piece[:-1]] + marks[piece[-1]]) for piece in marked])
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or any(s in text for s in self.special):
             return self._whole(text)
         first, *pieces = text.split(" ")
-        known = self.known
-        new = list(set(pieces).difference(known))
+        new = set(pieces).difference(self.known)
         if new:
             # A space before other white space or the end may belong to either side. No such piece is ever known.
             if not all(new) or any(piece[0].isspace() for piece in new):
                 return self._whole(text)
-            found = self._learn(new)
-            if len(known) < WORD_MEMORY:
-                known.update(found)
-            else:
-                # What is remembered stays: the most frequent pieces came first.
-                known = {**{p: known[p] for p in set(pieces).difference(found)}, **found}
-        return self._whole(first) + b"".join(map(known.__getitem__, pieces))
+            if len(self.known) >= WORD_MEMORY:
+                self.older, self.known = self.known, {}
+                new = set(pieces)
+            self._learn(new)
+        return self._whole(first) + b"".join(map(self.known.__getitem__, pieces))
 
 
 def encoder(path: str) -> Encoder:
@@ -361,7 +375,7 @@ def write_token_files(
     ).write.parquet(f"{folder}/layout")
     tokens = map_rows(texts, _tokenise(tokenizer_path, bounds, end_id), "shard int, id long, data binary")
     (
-        tokens.repartition("shard")
+        tokens.repartition(shards, "shard")
         .sortWithinPartitions("shard", "id", "data")
         .mapInArrow(_pack(width), _SEGMENTS)
         .write.parquet(f"{folder}/segments")
