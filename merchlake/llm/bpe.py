@@ -36,7 +36,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 #: Characters on whose classes (letter, number, space) all versions of Unicode in use agree. Texts with others are split
 #: by the tokenizer itself, so that its version decides.
-_SETTLED = re.compile(
+SETTLED = re.compile(
     "[\x00-\u0557\u0590-\u085f\u0900-\u0b7f\u0d00-\u1fff\u2000-\u205f\u20a0-\u20bf\u2100-\u218b\u2190-\u23ff\u2500-\u2b73"
     "\u3000-\u312f\u3400-\u4db5\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uffef\U0001f300-\U0001f64f]*"
 )
@@ -178,7 +178,7 @@ class Codec:
         return np.array(self.merger.merge([first[b] for b in word.encode()]), "<u4").tobytes()
 
     def _split(self, text: str) -> list[str]:
-        if _SETTLED.fullmatch(text):
+        if SETTLED.fullmatch(text):
             return self.find(text)
         return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
 

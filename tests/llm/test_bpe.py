@@ -32,7 +32,7 @@ def test_every_character_is_split_as_the_library_splits(library, own):
     for start in range(0, len(points), 256):
         # Runs of like characters hide nothing: each stands among letters, digits, marks and spaces.
         text = "".join(f"a{chr(p)}a 1{chr(p)}1 !{chr(p)}! {chr(p)} x" for p in points[start : start + 256])
-        if bpe._SETTLED.fullmatch(text):
+        if bpe.SETTLED.fullmatch(text):
             assert own._split(text) == [text[a:b] for _, (a, b) in own.splitter.pre_tokenize_str(text)], hex(points[start])
         elif start % 8192 == 0:
             assert ids_of(own.encode(text)) == library.encode(text, add_special_tokens=False).ids

@@ -172,9 +172,42 @@ def test_shards_are_even_and_places_gapless(spark, tmp_path):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
     stored = spark.read.parquet(folder)
     assert sorted(r[0] for r in stored.select("version").distinct().collect()) == [0, 1]
+    carried = slots.shard_records(frame(spark, rows), str(tmp_path / "other"), carry=True).collect()
+    assert Counter((r["record"]["doc_id"], r["record"]["text"], r["id"]) for r in carried) == Counter((i, t, i) for i, t, _ in rows)
     assert slots.shard_records(frame(spark, []), str(tmp_path / "none")).count() == 0
 
 
+def test_a_later_run_edits_the_stored_map(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randint(0, 300), "s") for i in range(2500)]
+    folder = str(tmp_path / "map")
+
+    def run(rows, shards=slots.SHARDS):
+        got = slots.shard_records(frame(spark, rows), folder, shards=shards).collect()
+        assert Counter(r["id"] for r in got) == Counter(i for i, _, _ in rows)
+        load = Counter()
+        for r in got:
+            load[r["shard"]] += r["size"]
+        assert len(load) == shards and max(load.values()) - min(load.values()) <= 8
+        newest = slots.read_map(spark, folder)
+        assert newest.count() == slots.SLOTS
+        return {r["vslot"]: r["shard"] for r in newest.collect()}, newest.first()["version"]
+
+    first, version = run(rows)
+    assert version == 1 and run(rows) == (first, 1)
+    more = rows + [(i, "y" * rng.randint(0, 300), "s") for i in range(2500, 3400)]
+    second, version = run(more)
+    assert version == 2 and sum(first[v] != second[v] for v in first) < 0.1 * slots.SLOTS
+    # A plain rebalance of the stored map gives the same map.
+    weight = np.zeros(slots.SLOTS)
+    for r in slots.slot_records(frame(spark, more), "doc_id", "text").collect():
+        weight[r["vslot"]] += r["size"]
+    plain = slots.rebalance(np.array([first[v] for v in range(slots.SLOTS)]), weight)
+    assert [second[v] for v in range(slots.SLOTS)] == plain.tolist()
+    fewer, version = run(more, slots.SHARDS - 4)
+    assert version == 3 and {v for v in second if fewer[v] != second[v]} >= {v for v in second if second[v] >= slots.SHARDS - 4}
+
+
 def test_rebalancing_edits_little():
     rng = np.random.default_rng(1)
     weight = rng.integers(1, 1000, slots.SLOTS).astype(float)
@@ -285,6 +318,19 @@ def test_pipeline_stages_decide_and_keep_columns(spark, tmp_path):
     assert ids["mixing"] == ids["decontamination"] and ids["sharding"] == ids["mixing"]
     assert ids["sharding"] >= {2004, 2005, 2006}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept["sharding"].count()
+    drawn = Counter(tuple(r) for r in kept["mixing"].collect())
+    assert Counter(tuple(r["record"]) for r in kept["sharding"].collect()) == drawn
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    shape = "doc_id long, text string, `__row` string, `__ROW_` int, size long, record string, row int, tau int"
+    docs = spark.createDataFrame([(i, f"a text of its own number {i}", "r", 1, 2, "z", 3, 4) for i in range(5)], shape)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_duplicates):
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(docs.collect())
+    placed = corpus_pipeline.shard(spark, docs, str(tmp_path))
+    assert sorted(tuple(r["record"]) for r in placed.collect()) == sorted(map(tuple, docs.collect()))
 
 
 def test_pipeline_on_empty_documents(spark, tmp_path):
