@@ -17,7 +17,6 @@ from merchlake.operators.envelope import envelope, kind_of_topic
 from merchlake.operators.joins import join_latest_payment, unpaid_orders
 from merchlake.operators.late import drop_late
 from merchlake.operators.merge import merge, stamped
-from merchlake.operators.skew import hot_keys
 from merchlake.operators.silver import flatten, silver_batch
 from merchlake.operators.validate import accepted, quarantine_rows, with_reason
 from merchlake.operators.wire_codec import (
@@ -95,7 +94,7 @@ def delivered_records(spark: SparkSession, d: str) -> DataFrame:
 def _latest_joined(spark: SparkSession, d: str) -> DataFrame:
     orders = good(spark, d, "orders_ev")
     payments = good_unique(spark, d, "payments_ev")
-    return join_latest_payment(dedupe_events(orders), payments, ["offset"], hot_keys(orders, "order_id"))
+    return join_latest_payment(dedupe_events(orders), payments, ["offset"])
 
 
 def order_facts(spark: SparkSession, d: str) -> DataFrame:

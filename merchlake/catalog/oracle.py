@@ -101,6 +101,8 @@ def _needed(ctes: list[str], select: str) -> str:
             waiting.extend(uses[name])
     readers = [select, *(texts[n] for n in wanted)]
     shared = {n for n in wanted if sum(len(re.findall(rf"\b{n}\b", t)) for t in readers) > 2}
+    # Both sides of the join by order id, which else would be planned anew inside it.
+    shared |= wanted & {"good_orders", "good_payments", "latest", "facts"}
     parts = [re.sub(r"^(\w+) AS \(", r"\1 AS MATERIALIZED (", c) if n in shared else c for n, c in texts.items() if n in wanted]
     return "WITH " + ",\n".join(parts) + "\n" + select if parts else select
 
