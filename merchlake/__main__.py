@@ -30,9 +30,10 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument(
         "--late-after",
         choices=["batch", "completed"],
-        default="batch",
+        default="completed",
         help="whose newest event makes a row late: its own batch's, or that of completed batches",
     )
+    parser.add_argument("--allow-data-loss", action="store_true", help="go on where the broker has dropped offsets")
     parser.add_argument("--once", action="store_true", help="drain what is there and stop")
     args = parser.parse_args(argv)
 
@@ -45,7 +46,7 @@ def main(argv: list[str] | None = None) -> None:
         source = (
             landing.record_files(spark, args.records, args.max_files)
             if args.records
-            else kafka.kafka_stream(spark, args.kafka)
+            else kafka.kafka_stream(spark, args.kafka, fail_on_loss=not args.allow_data_loss)
         )
         query = jobs.run(jobs.bronze_writer(source, lake), args.once, jobs.BRONZE_INTERVAL)
     elif args.job == "silver":

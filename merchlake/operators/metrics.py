@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from merchlake.functions.scalars import (
@@ -135,26 +135,48 @@ def watermark_row(facts: DataFrame, job_name: str, batch_id: int) -> DataFrame:
     )
 
 
-def batch_metrics(checked: DataFrame, silver: DataFrame) -> DataFrame:
-    """Counts a batch reports: accepted, quarantined, newest event, facts, hour buckets, stockouts."""
-    intake = checked.agg(
-        F.struct(
-            F.count_if(F.col("reason").isNotNull()).alias("quarantined"),
-            F.max(F.when(F.col("reason").isNull(), F.col("event_ts"))).alias("max_event_ts"),
-        )
-    ).scalar()
+def intake_numbers() -> dict[str, Column]:
+    """What a checked batch reports: rejected rows and the newest accepted event."""
+    return {
+        "quarantined": F.count_if(F.col("reason").isNotNull()),
+        "max_event_ts": F.max(F.when(F.col("reason").isNull(), F.col("event_ts"))),
+    }
+
+
+def silver_numbers() -> dict[str, Column]:
+    """What conformed rows report: all, order facts, hour buckets, stockouts.
+
+    Buckets are a set of as many entries as a batch has hours and currencies, so the numbers can be observed while the
+    rows are written.
+    """
     order = F.col("kind") == "orders"
     bucket = F.when(
         order & not_cancelled(),
         F.struct(hour_bucket_ms(F.col("event_ts")), currency_or_default(F.col("currency"))),
     )
     empty = (F.col("kind") == "inventory") & (F.coalesce("quantity", F.lit(0)) <= 0)
-    return silver.agg(
-        F.count("*").alias("valid"),
-        F.count_if(order).alias("orders"),
-        F.count_distinct(bucket).alias("gmv_buckets"),
-        F.count_if(empty).alias("stockouts"),
-    ).select(
+    return {
+        "valid": F.count(F.lit(1)),
+        "orders": F.count_if(order),
+        "gmv_buckets": F.size(F.collect_set(bucket)).cast("bigint"),
+        "stockouts": F.count_if(empty),
+    }
+
+
+def _named(numbers: dict[str, Column]) -> list[Column]:
+    return [number.alias(name) for name, number in numbers.items()]
+
+
+def observed(rows: DataFrame, numbers: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """The rows, and an observation that has the numbers once they have been written."""
+    watch = Observation()
+    return rows.observe(watch, *_named(numbers)), watch
+
+
+def batch_metrics(checked: DataFrame, silver: DataFrame) -> DataFrame:
+    """Counts a batch reports: accepted, quarantined, newest event, facts, hour buckets, stockouts."""
+    intake = checked.agg(F.struct(*_named(intake_numbers()))).scalar()
+    return silver.agg(*_named(silver_numbers())).select(
         "valid",
         intake["quarantined"].alias("quarantined"),
         intake["max_event_ts"].alias("max_event_ts"),

@@ -73,6 +73,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
+def holds_data(spark: SparkSession, path: str) -> bool:
+    """Whether a table written partitioned has any partition, that is any row."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jpath)
+    return any("=" in status.getPath().getName() for status in found)
+
+
 def together(spark: SparkSession, *writes: Callable[[], None]) -> None:
     """Run independent writes at the same time, so small ones fill the gaps large ones leave.
 

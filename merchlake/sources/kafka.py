@@ -10,23 +10,26 @@ from merchlake.contracts import TOPICS
 RECORD_COLUMNS = ("topic", "partition", "offset", "timestamp", "key", "value")
 
 
-def _options(reader: DataStreamReader, servers: str, topics, max_offsets: int) -> DataStreamReader:
+def _options(reader: DataStreamReader, servers: str, topics, max_offsets: int, fail_on_loss: bool) -> DataStreamReader:
     return (
         reader.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", ",".join(topics))
         .option("startingOffsets", "earliest")
-        .option("failOnDataLoss", "false")
+        .option("failOnDataLoss", str(fail_on_loss).lower())
         .option("maxOffsetsPerTrigger", max_offsets)
     )
 
 
 def kafka_stream(
-    spark: SparkSession, servers: str, topics=None, max_offsets: int = 50_000_000
+    spark: SparkSession, servers: str, topics=None, max_offsets: int = 50_000_000, fail_on_loss: bool = True
 ) -> DataFrame:
-    """All topics from their beginning, at most ``max_offsets`` records per batch."""
+    """All topics from their beginning, at most ``max_offsets`` records per batch.
+
+    Offsets that the brokers no longer hold end the stream, unless ``fail_on_loss`` is false.
+    """
     topics = list(TOPICS.values()) if topics is None else topics
-    return _options(spark.readStream, servers, topics, max_offsets).load().select(*RECORD_COLUMNS)
+    return _options(spark.readStream, servers, topics, max_offsets, fail_on_loss).load().select(*RECORD_COLUMNS)
 
 
 def write_kafka(records: DataFrame, servers: str) -> None:

@@ -6,21 +6,21 @@ root as the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from merchlake.contracts import WATERMARK_LAG_MS
 from merchlake.functions.scalars import day_string
 from merchlake.operators.dead_letters import dlq_records
 from merchlake.operators.envelope import envelope
-from merchlake.operators.metrics import batch_metrics
+from merchlake.operators.metrics import intake_numbers, observed, silver_numbers
 from merchlake.operators.silver import conformed, flatten, split_late
 from merchlake.operators.validate import accepted, quarantine_rows, with_reason
 from merchlake.operators.wire_codec import decode_wire
 from merchlake.plans.commit_log import CommitLog, run_id
 from merchlake.plans.gold import write_gold_batch
-from merchlake.session import together
+from merchlake.session import holds_data, together
 from merchlake.sources.kafka import write_kafka
 from merchlake.sources.landing import silver_log, silver_versions
 
@@ -40,9 +40,11 @@ def run(writer: DataStreamWriter, once: bool, interval: str = BRONZE_INTERVAL) -
 
 
 def bronze_writer(records: DataFrame, root: str, ingest_ts: Column | None = None) -> DataStreamWriter:
-    """Append raw records to the landing table."""
+    """Append raw records to the landing table. Its progress reports the ``landed`` rows and the newest record."""
+    landed = [F.count(F.lit(1)).alias("rows"), F.max("kafka_ts").alias("newest")]
     return (
         envelope(records, ingest_ts)
+        .observe("landed", *landed)
         .writeStream.format("parquet")
         .option("path", f"{root}/bronze")
         .option("checkpointLocation", f"{root}/checkpoints/bronze")
@@ -70,7 +72,7 @@ def conform_batch(
     lag_ms: int = WATERMARK_LAG_MS,
     dlq_servers: str | None = None,
     redo: bool = False,
-    late_after: str = "batch",
+    late_after: str = "completed",
     run: str | None = None,
 ) -> None:
     """Write silver rows, quarantine, late rows, dead letters and metrics of one batch of envelopes.
@@ -90,10 +92,12 @@ def conform_batch(
     try:
         good = accepted(checked)
         # One action fills the cache before several jobs share it.
-        own = good.agg(F.max("event_ts")).first()[0]
+        intake = checked.agg(*[n.alias(name) for name, n in intake_numbers().items()]).first()
+        own = intake["max_event_ts"]
         before = log.content(version - 1).get("newest_event_ts")
         kept, late = split_late(good, lag_ms, own if late_after == "batch" else before)
-        silver = conformed(kept, extra=True)
+        silver, seen = observed(conformed(kept, extra=True), silver_numbers())
+        late, seen_late = observed(flatten(late, extra=True).withColumn("reason", F.lit(LATE)), {"late": F.count(F.lit(1))})
         rejects = quarantine_rows(checked)
 
         def dead_letters() -> None:
@@ -107,20 +111,63 @@ def conform_batch(
             spark,
             lambda: _write_batch(silver, f"{root}/silver", version, "kind"),
             lambda: _write_batch(rejects, f"{root}/quarantine", version, "topic"),
-            lambda: _write_batch(
-                flatten(late, extra=True).withColumn("reason", F.lit(LATE)), f"{root}/late", version, "kind"
-            ),
+            lambda: _write_batch(late, f"{root}/late", version, "kind"),
             dead_letters,
         )
-        counts = batch_metrics(checked, silver_versions(spark, f"{root}/silver", [version]))
-        counts = counts.withColumn("late", late.agg(F.count("*")).scalar())
-        counts.write.mode("overwrite").parquet(f"{root}/metrics/batch_id={version}")
+        # Observed while the rows were written, so nothing is read back. A plan found to be empty observes nothing.
+        numbers = intake.asDict()
+        for name, watch, names in (("silver", seen, silver_numbers()), ("late", seen_late, ["late"])):
+            written = holds_data(spark, f"{root}/{name}/batch_id={version}")
+            numbers |= watch.get if written else dict.fromkeys(names, 0)
+        write_metrics(spark, f"{root}/metrics/batch_id={version}", numbers)
     finally:
         checked.unpersist()
     newest = max((t for t in (own, before) if t is not None), default=None)
     log.commit(version, run, batch_id, newest_event_ts=newest)
 
 
+def write_metrics(spark: SparkSession, path: str, numbers: dict[str, int | None]) -> None:
+    """One row of numbers of a batch."""
+    names = "valid quarantined max_event_ts orders gmv_buckets stockouts late".split()
+    schema = ", ".join(f"{name} bigint" for name in names)
+    rows = spark.createDataFrame([tuple(numbers[name] for name in names)], schema)
+    rows.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+class BatchProgress(StreamingQueryListener):
+    """Live numbers of running streams: per query the latest batch, its rows, and the source offsets it has reached.
+
+    Spark commits no offsets to consumer groups, so the lag of a query is told from these. Add it to a session with
+    ``spark.streams.addListener``.
+    """
+
+    def __init__(self):
+        self.latest: dict[str, dict] = {}
+        self.failed: dict[str, str] = {}
+        self._names: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._names[str(event.id)] = event.name or str(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        numbers = {name: row.asDict() for name, row in progress.observedMetrics.items()}
+        self.latest[progress.name or str(progress.id)] = {
+            "batch_id": progress.batchId,
+            "input_rows": progress.numInputRows,
+            "offsets": [(source.description, source.endOffset) for source in progress.sources],
+            "state_rows": sum(op.numRowsTotal for op in progress.stateOperators),
+            "observed": numbers,
+        }
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.failed[self._names.get(str(event.id), str(event.id))] = event.exception
+
+
 def silver_checkpoint(root: str) -> str:
     return f"{root}/checkpoints/silver"
 

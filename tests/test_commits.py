@@ -20,7 +20,8 @@ def bronze(spark, root):
     jobs.run(jobs.bronze_writer(landing.record_files(spark, f"{root}/records"), root, F.col("timestamp")), True)
 
 
-def silver(spark, root, **options):
+def silver(spark, root, late_after="batch", **options):
+    options["late_after"] = late_after
     jobs.run(jobs.silver_writer(landing.bronze_stream(spark, f"{root}/bronze"), root, **options), True)
 
 
@@ -54,7 +55,7 @@ def test_crash_between_silver_and_metrics(spark, undisturbed, monkeypatch):
         raise RuntimeError("executor lost")
 
     with monkeypatch.context() as broken:
-        broken.setattr(jobs, "batch_metrics", crash)
+        broken.setattr(jobs, "write_metrics", crash)
         with pytest.raises(Exception, match="executor lost"):
             silver(spark, root)
     # Silver rows are there, but nobody sees them.
@@ -73,7 +74,7 @@ def test_redone_batch_is_not_counted_again(spark, undisturbed):
     for number, events in enumerate((FIRST, SECOND)):
         land(spark, root, number, events)
         drain(spark, root)
-    jobs.conform_batch(landing.bronze_table(spark, f"{root}/bronze").filter("offset < 100"), 0, root, redo=True)
+    jobs.conform_batch(landing.bronze_table(spark, f"{root}/bronze").filter("offset < 100"), 0, root, redo=True, late_after="batch")
     gold(spark, root)
     assert state(spark, root) == undisturbed
 

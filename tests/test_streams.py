@@ -1,11 +1,14 @@
 """Streams end to end: restart, replay, late data, serving tables, command line."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merchlake.__main__ import main
 from merchlake.contracts import EVENT_FIELDS, TOPICS
+from merchlake.operators import metrics
 from merchlake.operators.wire_codec import encode_events
 from merchlake.plans import serving
 from merchlake.plans.gold import order_facts, write_gold_batch
@@ -82,7 +85,7 @@ def land(spark, root, batch, events, poison=False):
 def drain(spark, root):
     stamp = F.timestamp_millis(F.lit(BASE))
     jobs.run(jobs.bronze_writer(landing.record_files(spark, f"{root}/records"), root, F.col("timestamp")), True)
-    jobs.run(jobs.silver_writer(landing.bronze_stream(spark, f"{root}/bronze"), root), True)
+    jobs.run(jobs.silver_writer(landing.bronze_stream(spark, f"{root}/bronze"), root, late_after="batch"), True)
     jobs.run(jobs.gold_writer(landing.silver_stream(spark, f"{root}/silver"), root, stamp), True)
 
 
@@ -135,9 +138,9 @@ def test_replayed_batches_change_nothing(spark, lake):
     ids, value = silver_ids(spark, lake), gmv(spark, lake)
     bronze = landing.bronze_table(spark, f"{lake}/bronze").filter("offset < 100")
     before = landing.silver_table(spark, f"{lake}/silver").inputFiles()
-    jobs.conform_batch(bronze, 0, lake)
+    jobs.conform_batch(bronze, 0, lake, late_after="batch")
     assert sorted(landing.silver_table(spark, f"{lake}/silver").inputFiles()) == sorted(before)
-    jobs.conform_batch(bronze, 0, lake, redo=True)
+    jobs.conform_batch(bronze, 0, lake, redo=True, late_after="batch")
     assert silver_ids(spark, lake) == ids
     assert landing.quarantine_table(spark, f"{lake}/quarantine").count() == 2
     batch = landing.silver_table(spark, f"{lake}/silver").filter("batch_id = 1")
@@ -149,7 +152,7 @@ def test_command_line(spark):
     root = run_folder(spark, "cli")
     land(spark, root, 0, FIRST)
     for job in ("bronze", "silver", "gold", "rebuild", "compact", "last24h", "quality", "reconcile"):
-        main([job, "--lake", root, "--records", f"{root}/records", "--once"])
+        main([job, "--lake", root, "--records", f"{root}/records", "--late-after", "batch", "--once"])
     assert serving.read_table(spark, f"{root}/gold", "fact_orders").count() == 2
     assert gmv(spark, root) == [(BASE / 1000, "USD", 100, 1)]
 
@@ -179,3 +182,28 @@ def test_salted_stream_join_equals_plain(spark):
     want = [(f"o{n}", f"p{p}") for n in range(20) for p in (0, 1, 2)]
     want += [(f"o{n}", "p9") for n in range(20) if 31 * 60 - n <= 30 * 60]
     assert results == [sorted(want)] * 2
+
+
+def test_progress_is_observed_without_reading_tables_back(spark):
+    root = run_folder(spark, "progress")
+    seen = jobs.BatchProgress()
+    spark.streams.addListener(seen)
+    try:
+        land(spark, root, 0, FIRST, poison=True)
+        drain(spark, root)
+        deadline = time.time() + 30
+        while not {"bronze_events", "silver_events"} <= seen.latest.keys() and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(seen)
+    assert seen.failed == {}
+    assert seen.latest["bronze_events"]["observed"]["landed"]["rows"] == len(FIRST) + 1
+    assert seen.latest["silver_events"]["input_rows"] == len(FIRST) + 1
+    assert seen.latest["silver_events"]["offsets"][0][1] is not None
+    # The stored numbers are those of a second look at the tables.
+    stored = spark.read.parquet(f"{root}/metrics").first()
+    silver = landing.silver_table(spark, f"{root}/silver")
+    again = silver.agg(*[n.alias(name) for name, n in metrics.silver_numbers().items()]).first()
+    assert {k: stored[k] for k in again.asDict()} == again.asDict()
+    assert stored["quarantined"] == landing.quarantine_table(spark, f"{root}/quarantine").count()
+    assert stored["late"] == landing.late_table(spark, f"{root}/late").count()
