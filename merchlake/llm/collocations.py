@@ -46,8 +46,8 @@ LONGEST = 4
 COVER_PERCENT = 80
 SCALE = 2_000_000
 #: Distinct phrases that a task counts before it hands them on, and bytes of texts that it looks at together.
-HELD_PHRASES = 1 << 18
-BLOCK_BYTES = 2 << 20
+HELD_PHRASES = 1 << 19
+BLOCK_BYTES = 1 << 20
 #: Most bits of a filter, and bits for each phrase below that.
 FILTER_BITS = 1 << 27
 BITS_PER_PHRASE = 24
