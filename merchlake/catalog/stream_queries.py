@@ -16,7 +16,6 @@ from merchlake import fixtures as fx
 from merchlake.catalog.batch_queries import AS_OF_MS, checked_deliveries, stamp
 from merchlake.contracts import EVENT_FIELDS
 from merchlake.operators.dedupe import first_per_key
-from merchlake.operators.skew import hot_keys
 from merchlake.operators.validate import accepted
 from merchlake.plans import serving
 from merchlake.plans.gold import order_facts
@@ -243,12 +242,10 @@ def stream_payment_stats(spark, d):
 
 
 def stream_orders_payments(spark, d):
-    """Deduplicated orders joined to payments at most 30 minutes away; the newest one is kept."""
+    """Deduplicated orders with the newest payment at most 30 minutes away."""
     root = run_folder(spark, "stream-join")
-    path, hot_path = f"{root}/events", f"{root}/hot_orders"
+    path = f"{root}/events"
     arrivals = _typed(_on_time(accepted(checked_deliveries(spark, d)).filter(F.col("kind").isin("orders", "payments"))))
-    # The list is taken from history and bounded, see hot_keys.
-    hot_keys(arrivals, "order_id").write.parquet(hot_path)
 
     # One order and one payment two days after everything else let the last open rows out.
     newest = arrivals.agg(F.max("event_ts").alias("event_ts"))
@@ -266,17 +263,12 @@ def stream_orders_payments(spark, d):
         source = _typed_stream(spark, path)
         orders = source.filter(F.col("topic") == fx.TOPICS["orders"])
         payments = source.filter(F.col("topic") == fx.TOPICS["payments"])
-        joined = stateful.join_orders_payments_stream(
-            stateful.dedupe_stream(orders), payments, hot=spark.read.parquet(hot_path)
-        )
-        return stateful.append_writer(joined, f"{root}/out", f"{root}/checkpoint")
+        latest = stateful.latest_payment_stream(orders, payments)
+        return stateful.append_writer(latest, f"{root}/out", f"{root}/checkpoint")
 
     _run_waves(spark, arrivals, path, [writer], extra=extra)
-    pairs = spark.read.parquet(f"{root}/out").filter(F.col("order_id") != "tick")
-    newest_first = [F.col("payment_time").desc_nulls_last(), F.col("payment_event_id").asc()]
-    return first_per_key(pairs, ["order_event_id"], newest_first).select(
-        "order_event_id", "order_id", "order_status", "payment_event_id", "payment_status"
-    )
+    latest = spark.read.parquet(f"{root}/out").filter(F.col("order_id") != "tick")
+    return latest.select("order_event_id", "order_id", "order_status", "payment_event_id", "payment_status")
 
 
 QUERIES = {

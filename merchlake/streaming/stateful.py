@@ -5,10 +5,13 @@ State is bounded by the watermark and lives in the state store of the session.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from merchlake.contracts import WATERMARK_LAG_MS
 from merchlake.functions.scalars import (
@@ -20,6 +23,7 @@ from merchlake.functions.scalars import (
 from merchlake.operators.metrics import not_cancelled
 
 DEDUPE_SALTS = 256
+SLICE_MS = 3_600_000
 
 
 def with_event_time(events: DataFrame, lag_ms: int = WATERMARK_LAG_MS) -> DataFrame:
@@ -115,6 +119,92 @@ def join_orders_payments_stream(
     return left.join(right, same & near, "left_outer").drop("_order_id", "_salt", "_right_salt")
 
 
+class LatestPayment(StatefulProcessor):
+    """Orders of one id and one slice of time, and the payments near that slice.
+
+    Both are kept by event id, so copies take no room. Once the watermark has passed every payment that could count, one
+    timer lets all orders out, each with its newest payment, and empties the state.
+    """
+
+    def __init__(self, lag_ms: int, slice_ms: int):
+        self._lag_ms, self._slice_ms = lag_ms, slice_ms
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._orders = handle.getMapState("orders", "event_id string", "status string, at bigint")
+        self._payments = handle.getMapState("payments", "at bigint, event_id string", "status string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            for is_order, event_id, status, at in zip(
+                frame["is_order"], frame["event_id"], frame["status"], frame["at"], strict=True
+            ):
+                if not is_order:
+                    self._payments.updateValue((int(at), event_id), (status,))
+                elif not self._orders.containsKey((event_id,)):
+                    self._orders.updateValue((event_id,), (status, int(at)))
+        self._handle.registerTimer(int(key[1]) + self._slice_ms + self._lag_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        newest: dict[int, tuple[str, str]] = {}
+        for (at, event_id), (status,) in self._payments.iterator():
+            newest[at] = min(newest.get(at, (event_id, status)), (event_id, status), key=lambda p: p[0])
+        times = sorted(newest)
+        found = []
+        for (event_id,), (status, at) in self._orders.iterator():
+            place = bisect_right(times, at + self._lag_ms) - 1
+            paid = place >= 0 and times[place] >= at - self._lag_ms
+            payment = (*newest[times[place]], times[place]) if paid else (None, None, None)
+            found.append((key[0], event_id, status, at, *payment))
+        self._orders.clear()
+        self._payments.clear()
+        if found:
+            names = ["order_id", "order_event_id", "order_status", "order_ms"]
+            frame = pd.DataFrame(found, columns=[*names, "payment_event_id", "payment_status", "payment_ms"])
+            yield frame.astype({"payment_ms": "Int64"})
+
+
+def latest_payment_stream(
+    orders: DataFrame, payments: DataFrame, lag_ms: int = WATERMARK_LAG_MS, slice_ms: int = SLICE_MS
+) -> DataFrame:
+    """Every order event once, with the newest payment of its order within ``lag_ms`` of it, if any.
+
+    Unlike :func:`join_orders_payments_stream` it forms no pairs: state and output are linear in the events. State is
+    kept per order id and slice of time, so an id that is never quiet is spread over its slices; a payment goes to each
+    slice that it can reach (two at most, if a slice is no shorter than twice ``lag_ms``). Of payments at the same time
+    the least event id counts. Copies of an order event are dropped, as are events without id or time and late ones. An
+    order comes out once the watermark is ``lag_ms`` past its slice. Needs the RocksDB state store.
+    """
+
+    def start(at: Column) -> Column:
+        return at - F.pmod(at, F.lit(slice_ms))
+
+    def side(events: DataFrame, is_order: bool, slices: Column) -> DataFrame:
+        known = events.filter(~is_missing(F.col("event_id")) & F.col("event_ts").isNotNull())
+        return with_event_time(known, lag_ms).select(
+            "order_id", F.lit(is_order).alias("is_order"), "event_id", "status",
+            F.col("event_ts").cast("bigint").alias("at"), "event_time", slices.alias("slice"),
+        )
+
+    at, lag = F.col("event_ts").cast("bigint"), F.lit(lag_ms)
+    reached = F.explode(F.sequence(start(at - lag), start(at + lag), F.lit(slice_ms).cast("bigint")))
+    both = side(orders, True, start(at)).unionByName(
+        side(payments.filter(F.col("order_id").isNotNull()), False, reached)
+    )
+    found = both.groupBy("order_id", "slice").transformWithStateInPandas(
+        LatestPayment(lag_ms, slice_ms),
+        outputStructType="order_id string, order_event_id string, order_status string, order_ms bigint, "
+        "payment_event_id string, payment_status string, payment_ms bigint",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    return found.select(
+        "order_id", "order_event_id", "order_status", F.timestamp_millis("order_ms").alias("order_time"),
+        "payment_event_id", "payment_status", F.timestamp_millis("payment_ms").alias("payment_time"),
+    )
+
+
 def window_updates_writer(updates: DataFrame, path: str, checkpoint: str):
     """Write window rows in update mode: each batch holds the new values of the hours it touched."""
 

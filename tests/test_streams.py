@@ -12,7 +12,7 @@ from merchlake.operators import metrics
 from merchlake.operators.wire_codec import encode_events
 from merchlake.plans import serving
 from merchlake.plans.gold import order_facts, write_gold_batch
-from merchlake.session import run_folder, temporary_conf
+from merchlake.session import ROCKSDB, run_folder, temporary_conf
 from merchlake.sources import landing
 from merchlake.streaming import jobs, stateful
 
@@ -184,6 +184,40 @@ def test_salted_stream_join_equals_plain(spark):
     assert results == [sorted(want)] * 2
 
 
+def test_latest_payment_has_linear_state_and_output(spark):
+    """A thousand orders and a thousand payments of one id, twice each, in one hour."""
+    schema = T.StructType([*EVENT_FIELDS])
+    orders = [order(n, n * 3000) | {"order_id": "hot"} for n in range(1000)]
+    pays = [payment(n, 0, n * 3500 - 20 * 60_000, f"s{n}") | {"order_id": "hot"} for n in range(1000)]
+    pays.append(payment(0, 0, pays[-1]["event_ts"] - BASE, "tie") | {"order_id": "hot", "event_id": "a"})
+    alone = order(5000, 10) | {"order_id": None}
+    lost = payment(5000, 0, 10, "captured") | {"order_id": None}
+    flush = [order(9000, 9 * HOUR)], [payment(9000, 9000, 9 * HOUR, "captured")]
+    root = run_folder(spark, "latest")
+    conf = {"spark.sql.shuffle.partitions": "2", "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    states = []
+    with temporary_conf(spark, conf):
+        for step in ((orders + [alone], pays + [lost]), (orders[::-1], pays), flush, ([], [])):
+            for side, rows in zip(("o", "p"), step):
+                frame = spark.createDataFrame([{f: r.get(f) for f in EVENT_FIELDS.names} for r in rows], schema)
+                frame.write.mode("append").parquet(f"{root}/{side}")
+            latest = stateful.latest_payment_stream(
+                spark.readStream.schema(schema).parquet(f"{root}/o"),
+                spark.readStream.schema(schema).parquet(f"{root}/p"),
+            )
+            query = jobs.run(stateful.append_writer(latest, f"{root}/out", f"{root}/ck"), True)
+            states.append(max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators))
+    rows = spark.read.parquet(f"{root}/out").filter("order_event_id <> 'o9000'").collect()
+    assert len(rows) == 1001
+    want = {"o5000": None}
+    for o in orders:
+        near = [p for p in pays if abs(p["event_ts"] - o["event_ts"]) <= 30 * 60_000]
+        want[o["event_id"]] = min(near, key=lambda p: (-p["event_ts"], p["event_id"]))["event_id"] if near else None
+    assert {r.order_event_id: r.payment_event_id for r in rows} == want
+    # Orders once, payments in two slices at most, and the timers of a few slices; nothing is left of them at the end.
+    assert states[0] <= 3 * 1002 + 20 and states[1] == states[0] and states[-1] <= 10
+
+
 def test_progress_is_observed_without_reading_tables_back(spark):
     root = run_folder(spark, "progress")
     seen = jobs.BatchProgress()
