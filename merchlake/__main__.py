@@ -7,7 +7,7 @@ import json
 
 from merchlake.operators import quality
 from merchlake.operators.dead_letters import dead_letter_rows
-from merchlake.plans import gold, serving
+from merchlake.plans import gold, hours, serving
 from merchlake.session import ROCKSDB, build_session
 from merchlake.sources import kafka, landing
 from merchlake.streaming import jobs
@@ -20,7 +20,7 @@ def _schema_ids(text: str) -> dict[int, str]:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="merchlake")
     parser.add_argument(
-        "job", choices=["bronze", "silver", "gold", "compact", "rebuild", "quality", "reconcile", "last24h"]
+        "job", choices=["bronze", "silver", "gold", "compact", "rebuild", "refresh", "quality", "reconcile", "last24h"]
     )
     parser.add_argument("--lake", required=True, help="root folder of all tables")
     parser.add_argument("--kafka", help="bootstrap servers, for bronze and for dead letters")
@@ -61,6 +61,9 @@ def main(argv: list[str] | None = None) -> None:
             serving.compact(spark, serve, table)
     elif args.job == "rebuild":
         gold.rebuild_gold(spark, serve)
+    elif args.job == "refresh":
+        for table in hours.SOURCES:
+            hours.refresh_hours(spark, serve, table)
     elif args.job == "last24h":
         # 25 hour marks at most, times the currencies.
         report = gold.gmv_last_24h(spark, serve).persist()

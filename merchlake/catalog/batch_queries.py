@@ -26,6 +26,7 @@ from merchlake.operators.wire_codec import (
     decode_wire,
     encode_events,
 )
+from merchlake.plans import hours, serving
 from merchlake.session import run_folder
 from merchlake.sources.landing import bronze_table
 
@@ -256,7 +257,8 @@ def rebuild_payment_stats(spark, d):
     return metrics.rebuild_payment_stats(payment_facts(spark, d))
 
 
-def upsert_fact_orders(spark, d):
+def _order_batches(spark, d):
+    """Stored order facts, and facts sent again with other values."""
     facts = order_facts(spark, d)
     stored = facts.filter(F.col("event_ts") < stamp(ORDERS_STORED_BEFORE_MS))
     resent = facts.filter(F.col("event_ts") >= stamp(ORDERS_RESENT_SINCE_MS)).withColumns(
@@ -269,11 +271,20 @@ def upsert_fact_orders(spark, d):
             "kafka_offset": F.col("kafka_offset") + 1,
         }
     )
-    return merge(
-        stamped(stored, "fact_orders", stamp(MERGED_AT_MS)),
-        stamped(resent, "fact_orders", stamp(AS_OF_MS)),
-        "fact_orders",
-    )
+    return stamped(stored, "fact_orders", stamp(MERGED_AT_MS)), stamped(resent, "fact_orders", stamp(AS_OF_MS))
+
+
+def upsert_fact_orders(spark, d):
+    return merge(*_order_batches(spark, d), "fact_orders")
+
+
+def refresh_gmv(spark, d):
+    """Hourly order value kept as a view: stored facts first, then only the days of facts sent again."""
+    root = run_folder(spark, "refresh-gmv")
+    for version, (facts, at_ms) in enumerate(zip(_order_batches(spark, d), (MERGED_AT_MS, AS_OF_MS))):
+        serving.write_delta(facts, root, "fact_orders", version)
+        hours.refresh_hours(spark, root, "gold_hourly_gmv", stamp(at_ms))
+    return hours.read_hours(spark, root, "gold_hourly_gmv")
 
 
 def upsert_fact_payments(spark, d):
@@ -446,6 +457,7 @@ QUERIES = {
     "fact_payments": payment_facts,
     "gmv_last_24h": gmv_last_24h,
     "rebuild_gmv": rebuild_gmv,
+    "refresh_gmv": refresh_gmv,
     "rebuild_payment_stats": rebuild_payment_stats,
     "upsert_fact_orders": upsert_fact_orders,
     "upsert_fact_payments": upsert_fact_payments,

@@ -321,6 +321,15 @@ def _batch_sql() -> dict[str, str]:
         FROM stored s FULL JOIN resent r ON s.event_id = r.event_id""",
         *_FACT_BATCHES,
     )
+    out["refresh_gmv"] = static(
+        f"""SELECT {HOUR} AS hour_ts, currency, sum(amount_cents)::BIGINT AS gmv_cents, count(*) AS order_count,
+        CASE WHEN {HOUR} >= {bq.ORDERS_RESENT_SINCE_MS} THEN {bq.AS_OF_MS} ELSE {bq.MERGED_AT_MS} END::BIGINT AS updated_at
+        FROM (SELECT coalesce(s.event_ts, r.event_ts) AS event_ts, coalesce(s.currency, r.currency) AS currency,
+            coalesce(r.status, s.status) AS status, coalesce(r.amount_cents, s.amount_cents) AS amount_cents
+            FROM stored s FULL JOIN resent r ON s.event_id = r.event_id)
+        WHERE status <> 'cancelled' GROUP BY ALL""",
+        *_FACT_BATCHES,
+    )
     first = ("payment_id", "order_id", "amount_cents", "currency", "event_ts")
     out["upsert_fact_payments"] = static(
         "SELECT coalesce(s.event_id, r.event_id) AS event_id, "
@@ -472,13 +481,22 @@ def _stream_sql() -> dict[str, str]:
             WHERE i.wave < w.wave AND i.event_id <> '') AS newest
             FROM (SELECT DISTINCT wave FROM orders_in) w)""",
     )
+    # A row is late when the mark of the waves before has passed the end of its hour.
+    in_time = [
+        """marks AS (SELECT w.wave, (SELECT max(s.event_ts) FROM sent s WHERE s.wave < w.wave) AS newest
+            FROM (SELECT DISTINCT wave FROM sent) w)""",
+        f"""rows_in AS (SELECT s.* FROM sent s JOIN marks m ON s.wave = m.wave WHERE m.newest IS NULL
+            OR floor(s.event_ts / {H}.0) * {H} + {H} >= m.newest - {WATERMARK_LAG_MS})""",
+    ]
     out["stream_hourly_gmv"] = delivered(
         f"SELECT hour_ts_ms AS hour_ts, currency, gmv_cents, order_count FROM ({_gmv('rows_in')})",
-        "rows_in AS (SELECT * FROM good WHERE kind = 'orders')",
+        "sent AS (SELECT * FROM good WHERE kind = 'orders' AND status <> 'cancelled')",
+        *in_time,
     )
     out["stream_payment_stats"] = delivered(
         f"SELECT hour_ts_ms AS hour_ts, paid_count, failed_count, failure_rate FROM ({_stats('rows_in')})",
-        "rows_in AS (SELECT * FROM good WHERE kind = 'payments')",
+        "sent AS (SELECT * FROM good WHERE kind = 'payments')",
+        *in_time,
     )
     out["stream_orders_payments"] = delivered(
         f"""SELECT o.event_id AS order_event_id, o.order_id, o.status AS order_status,

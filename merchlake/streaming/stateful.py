@@ -55,10 +55,9 @@ def dedupe_stream(events: DataFrame, salts: int = DEDUPE_SALTS, lag_ms: int = WA
 
 
 def windowed_gmv(orders: DataFrame, lag_ms: int = WATERMARK_LAG_MS) -> DataFrame:
-    """Order value per hour and currency."""
+    """Order value per hour and currency. Only orders that count move the watermark."""
     return (
-        with_event_time(orders, lag_ms)
-        .filter(not_cancelled())
+        with_event_time(orders.filter(not_cancelled()), lag_ms)
         .groupBy(F.window("event_time", "1 hour").alias("w"), currency_or_default(F.col("currency")).alias("currency"))
         .agg(F.sum("amount_cents").alias("gmv_cents"), F.count("*").alias("order_count"))
         .select(F.col("w.start").alias("hour_ts"), "currency", "gmv_cents", "order_count")
