@@ -279,11 +279,11 @@ def upsert_fact_orders(spark, d):
 
 
 def refresh_gmv(spark, d):
-    """Hourly order value kept as a view: stored facts first, then only the days of facts sent again."""
+    """Hourly order value kept as a view: stored facts first, then only the months of facts sent again."""
     root = run_folder(spark, "refresh-gmv")
     for version, (facts, at_ms) in enumerate(zip(_order_batches(spark, d), (MERGED_AT_MS, AS_OF_MS))):
         serving.write_delta(facts, root, "fact_orders", version)
-        hours.refresh_hours(spark, root, "gold_hourly_gmv", stamp(at_ms))
+        hours.refresh_hours(spark, root, "gold_hourly_gmv", stamp(at_ms), grain="month")
     return hours.read_hours(spark, root, "gold_hourly_gmv")
 
 

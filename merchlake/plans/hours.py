@@ -1,7 +1,8 @@
 """Hourly tables as a view of the facts: only days whose facts have changed are computed again.
 
 Each table is plain Parquet with a partition per day, written by dynamic partition overwrite, so days without changed
-facts are not touched. A run that fails between two days is taken up by the next, as its progress is noted last.
+facts are not touched. A run that fails between two days is taken up by the next, as its progress is noted last. Facts
+that are thin over a long time take a coarser ``grain`` (``week``, ``month``), as every partition is a file of its own.
 """
 
 from __future__ import annotations
@@ -32,39 +33,47 @@ def _log(spark: SparkSession, root: str, table: str) -> CommitLog:
     return CommitLog(spark, f"{root}/hours/_log/{table}")
 
 
-def overwrite_days(rows: DataFrame, days: DataFrame, path: str) -> None:
+def _partition(at: str, grain: str) -> Column:
+    return F.date_trunc(grain, at).cast("date")
+
+
+def overwrite_days(rows: DataFrame, days: DataFrame, path: str, grain: str = "day") -> None:
     """Replace the partitions of ``days`` by ``rows``, all of these days. A day left without rows becomes empty."""
     # A row without an hour marks a day as written; otherwise a day that has lost its rows would keep the old ones.
-    written = rows.withColumn("dt", F.to_date("hour_ts")).unionByName(days.select("dt"), allowMissingColumns=True)
+    written = rows.withColumn("dt", _partition("hour_ts", grain)).unionByName(days.select("dt"), allowMissingColumns=True)
     gathered = written.hint("rebalance", "dt")
     gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
 
 
-def refresh_hours(spark: SparkSession, root: str, table: str, updated_at: Column | None = None) -> int:
+def refresh_hours(
+    spark: SparkSession, root: str, table: str, updated_at: Column | None = None, grain: str = "day"
+) -> int:
     """Bring one hourly table up to the newest facts and return their version.
 
     Days are taken from facts that later versions have added or changed. Of the facts, only the span between the first
     and the last of these days is read, as a copy of an event carries its event time. After a compaction all facts
-    count as changed once.
+    count as changed once. The first refresh settles the ``grain`` of the table; later ones keep it.
     """
     stamp = F.current_timestamp() if updated_at is None else updated_at
     source, build = SOURCES[table]
     log = _log(spark, root, table)
     newest = log.newest()
-    since = log.content(newest).get("version", -1)
+    noted = log.content(newest)
+    since, grain = noted.get("version", -1), noted.get("grain", "day" if noted else grain)
     version = serving.last_batch(spark, root, source)
     if version <= since:
         return since
     facts = serving.read_versions(spark, root, source, version)
-    days = facts.filter(F.col("version") > since).select(F.to_date("event_ts").alias("dt")).distinct()
+    days = facts.filter(F.col("version") > since).select(_partition("event_ts", grain).alias("dt")).distinct()
     first, last = days.agg(F.min("dt"), F.max("dt")).first()
     if first is not None:
-        span = (F.col("event_ts") >= F.lit(first)) & (F.col("event_ts") < F.date_add(F.lit(last), 1))
-        inside = facts.filter(span).withColumn("dt", F.to_date("event_ts"))
+        after = F.lit(last).cast("timestamp") + F.expr(f"interval 1 {grain}")
+        span = (F.col("event_ts") >= F.lit(first)) & (F.col("event_ts") < after)
+        inside = facts.filter(span).withColumn("dt", _partition("event_ts", grain))
         changed = inside.join(days, "dt", "left_semi").drop("dt")
         rows = stamped(build(fold(changed, source)), table, stamp)
-        overwrite_days(rows, days, _path(root, table))
-    log.commit(newest + 1, "hours", newest + 1, version=version)
+        overwrite_days(rows, days, _path(root, table), grain)
+    log.commit(newest + 1, "hours", newest + 1, version=version, grain=grain)
     return version
 
 

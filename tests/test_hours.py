@@ -101,3 +101,16 @@ def test_compacted_facts_and_payments(spark):
     hours.refresh_hours(spark, root, "gold_payment_stats")
     row = hours.read_hours(spark, root, "gold_payment_stats").first()
     assert (row.paid_count, row.failed_count, round(row.failure_rate, 6)) == (2, 1, 0.333333)
+
+
+def test_the_first_refresh_settles_the_grain(spark):
+    root = run_folder(spark, "months")
+    rows = [(f"o{day}", "created", "USD", day, at(day)) for day in (1, 15, 31)]
+    serving.write_delta(facts(spark, *rows), root, "fact_orders", 0)
+    hours.refresh_hours(spark, root, "gold_hourly_gmv", grain="month")
+    assert refreshed(spark, root) == rebuilt(spark, root) and list(files(spark, root)) == ["2024-03-01"]
+    # A later one keeps it, and one changed day brings all days of its month along.
+    serving.write_delta(facts(spark, ("o15", "created", "USD", 99, at(15))), root, "fact_orders", 1)
+    refresh(spark, root)
+    assert refreshed(spark, root) == rebuilt(spark, root) and list(files(spark, root)) == ["2024-03-01"]
+    assert sorted(r[2] for r in refreshed(spark, root)) == [1, 31, 99]
