@@ -481,6 +481,20 @@ def _stream_sql() -> dict[str, str]:
             WHERE i.wave < w.wave AND i.event_id <> '') AS newest
             FROM (SELECT DISTINCT wave FROM orders_in) w)""",
     )
+    # A wave moves the mark to the slowest or fastest of the four kinds it brings; a kind it does not bring holds still.
+    out["stream_marks"] = delivered(
+        f"""SELECT DISTINCT policy, kind, event_id, event_ts FROM arrived JOIN marks USING (wave)
+        WHERE newest IS NULL OR event_ts >= newest - {WATERMARK_LAG_MS}""",
+        f"""arrived AS (SELECT kind, event_id, event_ts,
+            CASE WHEN kind = 'clickstream' THEN least({fx.WAVES - 1}, wave + 1) ELSE wave END AS wave
+            FROM good WHERE event_id <> '')""",
+        "ends AS (SELECT wave, kind, max(event_ts) AS ts FROM arrived GROUP BY ALL)",
+        """moved AS (SELECT 'max' AS policy, wave, max(ts) AS ts FROM ends GROUP BY wave
+            UNION ALL SELECT 'min', wave, min(ts) FROM ends GROUP BY wave HAVING count(*) = 4)""",
+        """marks AS (SELECT policy, w.wave,
+            (SELECT max(m.ts) FROM moved m WHERE m.policy = p.policy AND m.wave < w.wave) AS newest
+            FROM (SELECT DISTINCT wave FROM arrived) w, (VALUES ('min'), ('max')) AS p(policy))""",
+    )
     # A row is late when the mark of the waves before has passed the end of its hour.
     in_time = [
         """marks AS (SELECT w.wave, (SELECT max(s.event_ts) FROM sent s WHERE s.wave < w.wave) AS newest

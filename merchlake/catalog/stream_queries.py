@@ -42,9 +42,10 @@ def _run_waves(
     writers: list[Callable[[], object]],
     prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     extra: DataFrame | None = None,
+    conf: dict[str, str] | None = None,
 ) -> None:
     """Land the rows of each wave, then drain every stream."""
-    with temporary_conf(spark, _stream_conf(spark)):
+    with temporary_conf(spark, _stream_conf(spark) | (conf or {})):
         waves = [prepare(arrivals.filter(F.col("wave") == k)).drop("wave") for k in range(fx.WAVES)]
         for rows in [*waves, *([extra] if extra is not None else [])]:
             rows.write.mode("append").parquet(path)
@@ -218,6 +219,26 @@ def stream_drop_late(spark, d):
     return _dedupe_run(spark, d, "stream-late", orders, 1)
 
 
+def stream_marks(spark, d):
+    """Each event once, unless late by the common mark of four kinds; clicks come a wave after all others."""
+    rows = accepted(checked_deliveries(spark, d))
+    behind = F.least(F.lit(fx.WAVES - 1), F.col("wave") + (F.col("kind") == "clickstream").cast("int"))
+    arrivals = _typed(rows.withColumn("wave", behind))
+    kept = []
+    for policy in ("min", "max"):
+        root = run_folder(spark, f"stream-marks-{policy}")
+
+        def writer(root=root):
+            source = _typed_stream(spark, f"{root}/events")
+            kinds = {kind: source.filter(F.col("topic") == topic) for kind, topic in fx.TOPICS.items()}
+            events = stateful.dedupe_kinds_stream(kinds).select("kind", "event_id", "event_ts")
+            return stateful.append_writer(events, f"{root}/out", f"{root}/checkpoint")
+
+        _run_waves(spark, arrivals, f"{root}/events", [writer], conf={stateful.MARK_POLICY: policy})
+        kept.append(spark.read.parquet(f"{root}/out").withColumn("policy", F.lit(policy)))
+    return kept[0].unionByName(kept[1])
+
+
 def _window_run(spark, label, arrivals, aggregate, keys):
     root = run_folder(spark, label)
     path = f"{root}/events"
@@ -281,6 +302,7 @@ QUERIES = {
     "stream_late_rows": stream_late_rows,
     "stream_dedupe": stream_dedupe,
     "stream_drop_late": stream_drop_late,
+    "stream_marks": stream_marks,
     "stream_hourly_gmv": stream_hourly_gmv,
     "stream_payment_stats": stream_payment_stats,
     "stream_orders_payments": stream_orders_payments,

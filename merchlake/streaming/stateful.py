@@ -5,11 +5,14 @@ State is bounded by the watermark and lives in the state store of the session.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
+from collections.abc import Mapping
 from datetime import timedelta
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -24,6 +27,8 @@ from merchlake.operators.metrics import not_cancelled
 
 DEDUPE_SALTS = 256
 SLICE_MS = 3_600_000
+# The slowest of several watermarks counts, or the fastest. A query keeps what it was first started with.
+MARK_POLICY = "spark.sql.streaming.multipleWatermarkPolicy"
 
 
 def with_event_time(events: DataFrame, lag_ms: int = WATERMARK_LAG_MS) -> DataFrame:
@@ -54,6 +59,23 @@ def dedupe_stream(events: DataFrame, salts: int = DEDUPE_SALTS, lag_ms: int = WA
     return timed.dropDuplicatesWithinWatermark(["event_id"])
 
 
+def dedupe_kinds_stream(
+    kinds: Mapping[str, DataFrame], salts: int = DEDUPE_SALTS, lag_ms: int = WATERMARK_LAG_MS
+) -> DataFrame:
+    """Events of several kinds, each kind with a watermark of its own; repeated ids and late events are dropped.
+
+    What is late follows from the marks of all kinds under ``MARK_POLICY``: with ``min`` a kind that comes slowly, or not
+    at all, holds the common mark back, and nothing of it is lost; with ``max`` the fastest kind sets the mark and state
+    is let go soonest. An id is an id within its kind.
+    """
+    named = [with_event_time(events, lag_ms).withColumn("kind", F.lit(kind)) for kind, events in kinds.items()]
+    every = reduce(DataFrame.unionByName, named).filter(~is_missing(F.col("event_id")))
+    if salts > 1:
+        salt = F.pmod(F.xxhash64("partition", "offset"), F.lit(salts)).cast("int")
+        every = every.withColumn("_salt", salt).dropDuplicatesWithinWatermark(["kind", "event_id", "_salt"]).drop("_salt")
+    return every.dropDuplicatesWithinWatermark(["kind", "event_id"])
+
+
 def windowed_gmv(orders: DataFrame, lag_ms: int = WATERMARK_LAG_MS) -> DataFrame:
     """Order value per hour and currency. Only orders that count move the watermark."""
     return (
@@ -204,6 +226,28 @@ def latest_payment_stream(
     )
 
 
+def state_sizes(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """Rows that each store of a stopped query holds after ``batch_id`` (its newest batch, if None).
+
+    Returns ``operator_id, operator, store, rows``. State variables of a processor are counted one by one, a map by its
+    entries. One job per store; a query has a handful.
+    """
+    counts = []
+    for op in spark.read.format("state-metadata").load(checkpoint).collect():
+        named = json.loads(op.operatorProperties or "{}").get("stateVariables", [])
+        named = json.loads(named) if isinstance(named, str) else named
+        variables = [v["stateName"] for v in named if not v["stateName"].startswith("$")]
+        for name in variables or [None]:
+            reader = spark.read.format("statestore").option("operatorId", op.operatorId)
+            reader = reader.option("stateVarName", name) if name else reader.option("storeName", op.stateStoreName)
+            if batch_id is not None:
+                reader = reader.option("batchId", batch_id)
+            labels = [F.lit(v).alias(n) for n, v in
+                      (("operator_id", op.operatorId), ("operator", op.operatorName), ("store", name or op.stateStoreName))]
+            counts.append(reader.load(checkpoint).groupBy().count().select(*labels, F.col("count").alias("rows")))
+    return reduce(DataFrame.unionByName, counts)
+
+
 def window_updates_writer(updates: DataFrame, path: str, checkpoint: str):
     """Write window rows in update mode: each batch holds the new values of the hours it touched."""
 
