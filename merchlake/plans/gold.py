@@ -2,39 +2,66 @@
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Iterable
+from functools import partial, reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.operators import metrics
+from merchlake.operators.bloom import block_count, bloom_filter, maybe_in
 from merchlake.operators.dedupe import dedupe_events
 from merchlake.operators.merge import stamped
 from merchlake.plans import serving
 from merchlake.session import together
 
 JOB_NAME = "gold"
-
-
-def new_rows(silver: DataFrame, root: str, batch_id: int) -> DataFrame:
-    """Silver rows whose events no earlier gold batch has counted, each event once.
-
-    Copies inside the batch are cut to the first that arrived. Orders and payments are then compared with the ids of
-    stored facts. A copy of an event carries its event time, so only facts as young as the oldest row are read.
+EVENT_KEY = ("kind", "event_id")
+FACT_TABLES = {"orders": "fact_orders", "payments": "fact_payments"}
+DAY_MS = 86_400_000
+MAX_RANGES = 64
+
+
+def day_ranges(days: Iterable[int], limit: int = MAX_RANGES) -> list[tuple[int, int]]:
+    """Closed ranges that hold all ``days``: at most ``limit``, parted at the widest gaps."""
+    days = sorted(set(days))
+    gaps = sorted((a - b, i) for i, (a, b) in enumerate(pairwise(days)) if b - a > 1)[: limit - 1]
+    cuts = [0, *sorted(i + 1 for _, i in gaps), len(days)]
+    return [(days[first], days[end - 1]) for first, end in pairwise(cuts) if first < end]
+
+
+def stored_ids(spark: SparkSession, root: str, upto: int, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Kind and id of the facts stored up to a batch whose event time lies in one of the ranges of days."""
+    parts = []
+    for kind, table in FACT_TABLES.items():
+        inside = F.lit(False)
+        for first, last in ranges:
+            start, end = (F.timestamp_millis(F.lit(day * DAY_MS)) for day in (first, last + 1))
+            inside = inside | ((F.col("event_ts") >= start) & (F.col("event_ts") < end))
+        stored = serving.read_versions(spark, root, table, upto).filter(inside)
+        parts.append(stored.select(F.lit(kind).alias("kind"), "event_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def new_rows(unique: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """Rows of a batch, one per event (and persisted), whose orders and payments no earlier gold batch has counted.
+
+    A copy of an event carries its event time, so of the stored facts only the days are read that the batch has events
+    of; one very old event adds its own day. Of these facts, those pass that a Bloom filter of the batch's ids finds, so
+    stored facts are scanned and not shuffled, and the exact join sees copies and one other id in a hundred.
     """
-    spark = silver.sparkSession
-    unique = dedupe_events(silver, keys=("kind", "event_id"), arrival=("topic", "kafka_partition", "kafka_offset"))
-    oldest = silver.agg(F.min("event_ts")).first()[0]
-    if oldest is None:
+    if serving.last_batch(unique.sparkSession, root, "fact_orders") < 0:
         return unique
-    seen = None
-    for kind, table in (("orders", "fact_orders"), ("payments", "fact_payments")):
-        stored = serving.read_versions(spark, root, table, batch_id - 1)
-        ids = stored.filter(F.col("event_ts") >= F.timestamp_millis(F.lit(oldest))).select(
-            F.lit(kind).alias("kind"), "event_id"
-        )
-        seen = ids if seen is None else seen.unionByName(ids)
-    return unique.join(seen.distinct(), ["kind", "event_id"], "left_anti").select(*silver.columns)
+    facts = unique.filter(F.col("kind").isin(*FACT_TABLES))
+    # One row per day of the batch.
+    per_day = facts.groupBy(F.floor(F.col("event_ts") / F.lit(DAY_MS)).alias("day")).count().collect()
+    if not per_day:
+        return unique
+    stored = stored_ids(unique.sparkSession, root, batch_id - 1, day_ranges(row["day"] for row in per_day))
+    blocks = block_count(sum(row["count"] for row in per_day))
+    copies = maybe_in(stored, bloom_filter(facts, EVENT_KEY, blocks), EVENT_KEY, blocks).distinct()
+    return unique.join(copies, list(EVENT_KEY), "left_anti").select(*unique.columns)
 
 
 def gold_deltas(silver: DataFrame, batch_id: int, updated_at: Column) -> dict[str, DataFrame]:
@@ -44,8 +71,9 @@ def gold_deltas(silver: DataFrame, batch_id: int, updated_at: Column) -> dict[st
     inventory = silver.filter(F.col("kind") == "inventory")
     facts = metrics.fact_orders(orders, F.col("ingest_ts"))
     rows = {
-        "fact_orders": facts,
-        "fact_payments": metrics.fact_payments(payments),
+        # In order of time, so that readers of some days pass over most of a file.
+        "fact_orders": facts.sortWithinPartitions("event_ts"),
+        "fact_payments": metrics.fact_payments(payments).sortWithinPartitions("event_ts"),
         "gold_hourly_gmv": metrics.gmv_rows(metrics.hourly_gmv(orders)),
         "gold_payment_stats": metrics.gmv_rows(metrics.payment_stats(payments)),
         "gold_stockouts": metrics.stockout_rows(inventory),
@@ -57,7 +85,9 @@ def gold_deltas(silver: DataFrame, batch_id: int, updated_at: Column) -> dict[st
 def write_gold_batch(silver: DataFrame, root: str, batch_id: int, updated_at: Column | None = None) -> None:
     """Write every delta of a batch. The progress row goes last and marks the batch as complete."""
     stamp = F.current_timestamp() if updated_at is None else updated_at
-    fresh = new_rows(silver, root, batch_id).persist()
+    # Copies inside the batch are cut to the first that arrived.
+    unique = dedupe_events(silver, keys=EVENT_KEY, arrival=("topic", "kafka_partition", "kafka_offset")).persist()
+    fresh = new_rows(unique, root, batch_id).persist()
     try:
         # Filled before the writes share it.
         fresh.count()
@@ -70,6 +100,7 @@ def write_gold_batch(silver: DataFrame, root: str, batch_id: int, updated_at: Co
         serving.write_delta(progress, root, "pipeline_watermarks", batch_id)
     finally:
         fresh.unpersist()
+        unique.unpersist()
 
 
 def order_facts(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
