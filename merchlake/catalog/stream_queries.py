@@ -25,6 +25,8 @@ from merchlake.streaming import jobs, stateful
 
 # One wave is six days long, so a batch keeps what is at most a wave older than its newest event.
 SILVER_LAG_MS = fx.WAVE_DAYS * fx.DAY_MS
+# Late is told within each wave here; stream_late_rows takes the rule that jobs have by default.
+CONFORM = {"writers": fx.SCHEMA_IDS, "lag_ms": SILVER_LAG_MS, "late_after": "batch"}
 
 
 def _stream_conf(spark: SparkSession) -> dict[str, str]:
@@ -59,9 +61,7 @@ def _record_stream(spark: SparkSession, d: str, stages: tuple[str, ...]) -> str:
     path = f"{root}/records"
     writers = {
         "bronze": lambda: jobs.bronze_writer(landing.record_files(spark, path), root, F.col("timestamp")),
-        "silver": lambda: jobs.silver_writer(
-            landing.bronze_stream(spark, f"{root}/bronze"), root, writers=fx.SCHEMA_IDS, lag_ms=SILVER_LAG_MS
-        ),
+        "silver": lambda: jobs.silver_writer(landing.bronze_stream(spark, f"{root}/bronze"), root, **CONFORM),
         "gold": lambda: jobs.gold_writer(
             landing.silver_stream(spark, f"{root}/silver"), root, stamp(AS_OF_MS)
         ),
@@ -98,7 +98,7 @@ def stream_gold_backlog(spark, d):
     with temporary_conf(spark, _stream_conf(spark)):
         jobs.run(jobs.bronze_writer(landing.record_files(spark, f"{root}/records"), root, F.col("timestamp")), True)
         bronze = landing.bronze_stream(spark, f"{root}/bronze")
-        jobs.run(jobs.silver_writer(bronze, root, writers=fx.SCHEMA_IDS, lag_ms=SILVER_LAG_MS), True)
+        jobs.run(jobs.silver_writer(bronze, root, **CONFORM), True)
         jobs.run(jobs.gold_writer(silver, root, stamp(AS_OF_MS)), True)
     return _serving_rows(spark, f"{root}/gold")
 
@@ -109,8 +109,7 @@ def stream_gold_replayed(spark, d):
     bronze = landing.bronze_stream(spark, f"{root}/bronze")
     silver = landing.silver_stream(spark, f"{root}/silver")
     with temporary_conf(spark, _stream_conf(spark)):
-        options = {"writers": fx.SCHEMA_IDS, "lag_ms": SILVER_LAG_MS}
-        jobs.run(jobs.silver_writer(bronze, root, checkpoint=f"{root}/checkpoints/silver-2", **options), True)
+        jobs.run(jobs.silver_writer(bronze, root, checkpoint=f"{root}/checkpoints/silver-2", **CONFORM), True)
         jobs.run(jobs.gold_writer(silver, root, stamp(AS_OF_MS), checkpoint=f"{root}/checkpoints/gold-2"), True)
     return _serving_rows(spark, f"{root}/gold")
 
