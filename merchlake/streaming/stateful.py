@@ -27,6 +27,11 @@ from merchlake.operators.metrics import not_cancelled
 
 DEDUPE_SALTS = 256
 SLICE_MS = 3_600_000
+# Order ids of one slice of time are held in this many groups.
+ORDER_BUCKETS = 16
+# Rows handed to the state store at once.
+STATE_ROWS = 5_000
+_STATE_COLUMNS = ["order_id", "event_id", "status", "at"]
 # The slowest of several watermarks counts, or the fastest. A query keeps what it was first started with.
 MARK_POLICY = "spark.sql.streaming.multipleWatermarkPolicy"
 
@@ -141,10 +146,12 @@ def join_orders_payments_stream(
 
 
 class LatestPayment(StatefulProcessor):
-    """Orders of one id and one slice of time, and the payments near that slice.
+    """Orders of one slice of time and one bucket of order ids, and the payments near that slice.
 
-    Both are kept by event id, so copies take no room. Once the watermark has passed every payment that could count, one
-    timer lets all orders out, each with its newest payment, and empties the state.
+    Both are lists in state, read and written by whole batches of rows, since every call to the state store from Python is
+    a message of its own. Copies inside a batch are not stored; copies that come with later batches rest in state until
+    the slice ends. Once the watermark has passed every payment that could count, one timer lets all orders out, each with
+    its newest payment, and empties the state.
     """
 
     def __init__(self, lag_ms: int, slice_ms: int):
@@ -152,48 +159,66 @@ class LatestPayment(StatefulProcessor):
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._orders = handle.getMapState("orders", "event_id string", "status string, at bigint")
-        self._payments = handle.getMapState("payments", "at bigint, event_id string", "status string")
+        self._orders = handle.getListState("orders", "order_id string, event_id string, status string, at bigint")
+        self._payments = handle.getListState("payments", "order_id string, event_id string, status string, at bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         for frame in rows:
-            for is_order, event_id, status, at in zip(
-                frame["is_order"], frame["event_id"], frame["status"], frame["at"], strict=True
-            ):
-                if not is_order:
-                    self._payments.updateValue((int(at), event_id), (status,))
-                elif not self._orders.containsKey((event_id,)):
-                    self._orders.updateValue((event_id,), (status, int(at)))
-        self._handle.registerTimer(int(key[1]) + self._slice_ms + self._lag_ms)
+            orders, payments = frame[frame["is_order"]], frame[~frame["is_order"]]
+            self._append(self._orders, orders.drop_duplicates(["order_id", "event_id"]))
+            self._append(self._payments, payments.drop_duplicates(["order_id", "at", "event_id"], keep="last"))
+        self._handle.registerTimer(int(key[0]) + self._slice_ms + self._lag_ms)
         return iter(())
 
+    @staticmethod
+    def _append(state, frame: pd.DataFrame) -> None:
+        for start in range(0, len(frame), STATE_ROWS):
+            part = frame.iloc[start : start + STATE_ROWS]
+            state.appendList(list(zip(*[part[name].tolist() for name in _STATE_COLUMNS], strict=True)))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        newest: dict[int, tuple[str, str]] = {}
-        for (at, event_id), (status,) in self._payments.iterator():
-            newest[at] = min(newest.get(at, (event_id, status)), (event_id, status), key=lambda p: p[0])
-        times = sorted(newest)
-        found = []
-        for (event_id,), (status, at) in self._orders.iterator():
-            place = bisect_right(times, at + self._lag_ms) - 1
-            paid = place >= 0 and times[place] >= at - self._lag_ms
-            payment = (*newest[times[place]], times[place]) if paid else (None, None, None)
-            found.append((key[0], event_id, status, at, *payment))
+        orders, payments = (
+            pd.DataFrame(list(state.get()), columns=_STATE_COLUMNS).astype({"at": "int64"})
+            for state in (self._orders, self._payments)
+        )
         self._orders.clear()
         self._payments.clear()
-        if found:
-            names = ["order_id", "order_event_id", "order_status", "order_ms"]
-            frame = pd.DataFrame(found, columns=[*names, "payment_event_id", "payment_status", "payment_ms"])
-            yield frame.astype({"payment_ms": "Int64"})
+        if len(orders):
+            yield newest_payments(orders, payments, self._lag_ms)
+
+
+def newest_payments(orders: pd.DataFrame, payments: pd.DataFrame, lag_ms: int) -> pd.DataFrame:
+    """The orders of a slice, one row per order event, with the newest payment of their order at most ``lag_ms`` away."""
+    orders = orders.drop_duplicates(["order_id", "event_id"]).copy()
+    orders["upto"] = orders["at"] + lag_ms
+    # Of an event delivered again the last status counts, of payments at one time the least event id.
+    payments = payments.drop_duplicates(["order_id", "at", "event_id"], keep="last")
+    payments = payments.sort_values(["at", "event_id"]).drop_duplicates(["order_id", "at"])
+    payments = payments.rename(columns={"event_id": "payment_event_id", "status": "payment_status"})
+    payments["payment_ms"] = payments["at"].astype("Int64")
+    found = pd.merge_asof(
+        orders.sort_values("upto"), payments.rename(columns={"at": "upto"}), on="upto", by="order_id", tolerance=2 * lag_ms
+    )
+    found = found.rename(columns={"event_id": "order_event_id", "status": "order_status", "at": "order_ms"})
+    names = ["order_id", "order_event_id", "order_status", "order_ms"]
+    found = found[[*names, "payment_event_id", "payment_status", "payment_ms"]]
+    texts = ["payment_event_id", "payment_status"]
+    return found.assign(**{name: found[name].astype(object).where(found[name].notna(), None) for name in texts})
 
 
 def latest_payment_stream(
-    orders: DataFrame, payments: DataFrame, lag_ms: int = WATERMARK_LAG_MS, slice_ms: int = SLICE_MS
+    orders: DataFrame,
+    payments: DataFrame,
+    lag_ms: int = WATERMARK_LAG_MS,
+    slice_ms: int = SLICE_MS,
+    buckets: int = ORDER_BUCKETS,
 ) -> DataFrame:
     """Every order event once, with the newest payment of its order within ``lag_ms`` of it, if any.
 
     Unlike :func:`join_orders_payments_stream` it forms no pairs: state and output are linear in the events. State is
-    kept per order id and slice of time, so an id that is never quiet is spread over its slices; a payment goes to each
-    slice that it can reach (two at most, if a slice is no shorter than twice ``lag_ms``). Of payments at the same time
+    kept per slice of time and bucket of order ids (by hash; ``buckets`` is fixed with the first start of a stream), so
+    that rows pass Python and the state store in bulk: a task holds the events of one bucket and slice, and more buckets
+    make that less. An id that is never quiet is spread over its slices; a payment goes to each slice that it can reach (two at most, if a slice is no shorter than twice ``lag_ms``). Of payments at the same time
     the least event id counts. Copies of an order event are dropped, as are events without id or time and late ones. An
     order comes out once the watermark is ``lag_ms`` past its slice. Needs the RocksDB state store.
     """
@@ -213,7 +238,7 @@ def latest_payment_stream(
     both = side(orders, True, start(at)).unionByName(
         side(payments.filter(F.col("order_id").isNotNull()), False, reached)
     )
-    found = both.groupBy("order_id", "slice").transformWithStateInPandas(
+    found = both.withColumn("bucket", F.pmod(F.xxhash64("order_id"), F.lit(buckets))).groupBy("slice", "bucket").transformWithStateInPandas(
         LatestPayment(lag_ms, slice_ms),
         outputStructType="order_id string, order_event_id string, order_status string, order_ms bigint, "
         "payment_event_id string, payment_status string, payment_ms bigint",

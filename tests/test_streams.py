@@ -218,6 +218,40 @@ def test_latest_payment_has_linear_state_and_output(spark):
     assert states[0] <= 3 * 1002 + 20 and states[1] == states[0] and states[-1] <= 10
 
 
+def test_latest_payment_of_many_orders_is_held_in_few_groups(spark):
+    """Six hundred orders of one hour, copies in two batches: groups of state follow slices and buckets, not order ids."""
+    schema = T.StructType([*EVENT_FIELDS])
+    orders = [order(n, n * 5000) for n in range(600)]
+    pays = [payment(n, k, n * 5000 + (k * 23 - 20) * 60_000, f"s{k}") for n in range(600) if n % 3 for k in range(3)]
+    flush = [order(9000, 9 * HOUR)], [payment(9000, 9000, 9 * HOUR, "captured")]
+    root = run_folder(spark, "latest-many")
+    conf = {"spark.sql.shuffle.partitions": "2", "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    states = []
+    with temporary_conf(spark, conf):
+        for step in ((orders + orders[:50], pays), (orders[:50], pays[:50]), flush):
+            for side, rows in zip(("o", "p"), step):
+                frame = spark.createDataFrame([{f: r.get(f) for f in EVENT_FIELDS.names} for r in rows], schema)
+                frame.write.mode("append").parquet(f"{root}/{side}")
+            latest = stateful.latest_payment_stream(
+                spark.readStream.schema(schema).parquet(f"{root}/o"),
+                spark.readStream.schema(schema).parquet(f"{root}/p"),
+                buckets=4,
+            )
+            query = jobs.run(stateful.append_writer(latest, f"{root}/out", f"{root}/ck"), True)
+            states.append(max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators))
+    rows = spark.read.parquet(f"{root}/out").filter("order_event_id <> 'o9000'").collect()
+    want = {}
+    for o in orders:
+        near = [p for p in pays if p["order_id"] == o["order_id"] and abs(p["event_ts"] - o["event_ts"]) <= 30 * 60_000]
+        best = min(near, key=lambda p: (-p["event_ts"], p["event_id"])) if near else {}
+        want[o["event_id"]] = (best.get("event_id"), best.get("status"))
+    assert sorted((r.order_event_id, r.payment_event_id, r.payment_status) for r in rows) == sorted(
+        (event, *paid) for event, paid in want.items()
+    )
+    # Three slices of four buckets, each with two lists and a timer in both of its indexes.
+    assert states[0] <= 3 * 4 * 4
+
+
 def test_progress_is_observed_without_reading_tables_back(spark):
     root = run_folder(spark, "progress")
     seen = jobs.BatchProgress()
