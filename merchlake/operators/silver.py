@@ -33,9 +33,15 @@ def dedupe_and_drop_late(accepted: DataFrame, lag_ms: int = WATERMARK_LAG_MS) ->
     return drop_late(unique, max_event_ts(accepted), lag_ms)
 
 
-def split_late(accepted: DataFrame, lag_ms: int, newest_ms: int | None) -> tuple[DataFrame, DataFrame]:
-    """Unique rows on time, and those older than ``lag_ms`` before ``newest_ms``; None makes no row late."""
+def unique_events(accepted: DataFrame) -> DataFrame:
+    """Keep-first per kind and event id, with no more columns than silver rows come from."""
     unique = dedupe_events(accepted, keys=("kind", "event_id"))
+    names = [_RENAMED.get(field.name, field.name) for field in (*SILVER_SCHEMA, *SILVER_EXTRA)]
+    return unique.select(*[name for name in unique.columns if name in names])
+
+
+def split_late(unique: DataFrame, lag_ms: int, newest_ms: int | None) -> tuple[DataFrame, DataFrame]:
+    """Unique rows on time, and those older than ``lag_ms`` before ``newest_ms``; None makes no row late."""
     late = F.lit(False) if newest_ms is None else F.coalesce(F.col("event_ts") < newest_ms - lag_ms, F.lit(True))
     return unique.filter(~late), unique.filter(late)
 

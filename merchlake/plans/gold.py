@@ -14,7 +14,7 @@ from merchlake.operators.bloom import block_count, bloom_filter, maybe_in
 from merchlake.operators.dedupe import dedupe_events
 from merchlake.operators.merge import stamped
 from merchlake.plans import serving
-from merchlake.session import together
+from merchlake.session import keep, together
 
 JOB_NAME = "gold"
 EVENT_KEY = ("kind", "event_id")
@@ -86,8 +86,9 @@ def write_gold_batch(silver: DataFrame, root: str, batch_id: int, updated_at: Co
     """Write every delta of a batch. The progress row goes last and marks the batch as complete."""
     stamp = F.current_timestamp() if updated_at is None else updated_at
     # Copies inside the batch are cut to the first that arrived.
-    unique = dedupe_events(silver, keys=EVENT_KEY, arrival=("topic", "kafka_partition", "kafka_offset")).persist()
-    fresh = new_rows(unique, root, batch_id).persist()
+    unique = dedupe_events(silver, keys=EVENT_KEY, arrival=("topic", "kafka_partition", "kafka_offset"))
+    unique = keep(unique)
+    fresh = keep(new_rows(unique, root, batch_id))
     try:
         # Filled before the writes share it.
         fresh.count()

@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -80,6 +80,12 @@ def holds_data(spark: SparkSession, path: str) -> bool:
     return any("=" in status.getPath().getName() for status in found)
 
 
+def keep(rows: DataFrame) -> DataFrame:
+    """Persist rows that are read a few times and let go soon: looking for a compression of each column costs more."""
+    with temporary_conf(rows.sparkSession, {"spark.sql.inMemoryColumnarStorage.compressed": "false"}):
+        return rows.persist()
+
+
 def together(spark: SparkSession, *writes: Callable[[], None]) -> None:
     """Run independent writes at the same time, so small ones fill the gaps large ones leave.
 

@@ -15,12 +15,12 @@ from merchlake.functions.scalars import day_string
 from merchlake.operators.dead_letters import dlq_records
 from merchlake.operators.envelope import envelope
 from merchlake.operators.metrics import intake_numbers, observed, silver_numbers
-from merchlake.operators.silver import conformed, flatten, split_late
+from merchlake.operators.silver import conformed, flatten, split_late, unique_events
 from merchlake.operators.validate import accepted, quarantine_rows, with_reason
 from merchlake.operators.wire_codec import decode_wire
 from merchlake.plans.commit_log import CommitLog, run_id
 from merchlake.plans.gold import write_gold_batch
-from merchlake.session import holds_data, together
+from merchlake.session import holds_data, keep, together
 from merchlake.sources.kafka import write_kafka
 from merchlake.sources.landing import silver_log, silver_versions
 
@@ -88,14 +88,18 @@ def conform_batch(
     version, complete = log.place(run, batch_id)
     if complete and not redo:
         return
-    checked = with_reason(decode_wire(batch, writers)).persist()
+    checked = with_reason(decode_wire(batch, writers))
+    # Only rejected rows are kept with their bytes.
+    checked = keep(checked.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value"))))
+    unique = None
     try:
-        good = accepted(checked)
         # One action fills the cache before several jobs share it.
         intake = checked.agg(*[n.alias(name) for name, n in intake_numbers().items()]).first()
         own = intake["max_event_ts"]
         before = log.content(version - 1).get("newest_event_ts")
-        kept, late = split_late(good, lag_ms, own if late_after == "batch" else before)
+        # Reduced once for silver rows, their payments and late rows.
+        unique = keep(unique_events(accepted(checked)))
+        kept, late = split_late(unique, lag_ms, own if late_after == "batch" else before)
         silver, seen = observed(conformed(kept, extra=True), silver_numbers())
         late, seen_late = observed(flatten(late, extra=True).withColumn("reason", F.lit(LATE)), {"late": F.count(F.lit(1))})
         rejects = quarantine_rows(checked)
@@ -122,6 +126,8 @@ def conform_batch(
         write_metrics(spark, f"{root}/metrics/batch_id={version}", numbers)
     finally:
         checked.unpersist()
+        if unique is not None:
+            unique.unpersist()
     newest = max((t for t in (own, before) if t is not None), default=None)
     log.commit(version, run, batch_id, newest_event_ts=newest)
 

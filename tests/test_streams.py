@@ -252,6 +252,18 @@ def test_latest_payment_of_many_orders_is_held_in_few_groups(spark):
     assert states[0] <= 3 * 4 * 4
 
 
+def test_unique_rows_of_a_batch_are_made_once_and_kept_narrow(spark, monkeypatch):
+    root, seen = run_folder(spark, "unique"), []
+    split = jobs.split_late
+    monkeypatch.setattr(jobs, "split_late", lambda rows, *args: seen.append((rows, rows.is_cached)) or split(rows, *args))
+    land(spark, root, 0, FIRST, poison=True)
+    drain(spark, root)
+    assert [cached for _, cached in seen] == [True] and not {"value", "key"} & set(seen[0][0].columns)
+    # Rejected rows have their bytes all the same.
+    rejects = landing.quarantine_table(spark, f"{root}/quarantine")
+    assert rejects.count() and not rejects.filter("value IS NULL").count()
+
+
 def test_progress_is_observed_without_reading_tables_back(spark):
     root = run_folder(spark, "progress")
     seen = jobs.BatchProgress()
