@@ -7,6 +7,7 @@ restarts. The result is read back from the tables the streams wrote.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ def _stream_conf(spark: SparkSession) -> dict[str, str]:
     return {
         "spark.sql.shuffle.partitions": str(max(8, spark.sparkContext.defaultParallelism)),
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        # Counting the rows of a store costs a look-up per write; ``stateful.state_sizes`` counts them when asked.
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     }
 
 
@@ -44,15 +47,16 @@ def _run_waves(
     writers: list[Callable[[], object]],
     prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     extra: DataFrame | None = None,
-    conf: dict[str, str] | None = None,
+    confs: list[dict[str, str]] | None = None,
 ) -> None:
-    """Land the rows of each wave, then drain every stream."""
-    with temporary_conf(spark, _stream_conf(spark) | (conf or {})):
+    """Land the rows of each wave, then drain every stream; ``confs`` are settings of each writer."""
+    with temporary_conf(spark, _stream_conf(spark)):
         waves = [prepare(arrivals.filter(F.col("wave") == k)).drop("wave") for k in range(fx.WAVES)]
         for rows in [*waves, *([extra] if extra is not None else [])]:
             rows.write.mode("append").parquet(path)
-            for writer in writers:
-                jobs.run(writer(), once=True)
+            for writer, conf in zip(writers, confs or [{}] * len(writers), strict=True):
+                with temporary_conf(spark, conf):
+                    jobs.run(writer(), once=True)
 
 
 def _record_stream(spark: SparkSession, d: str, stages: tuple[str, ...]) -> str:
@@ -223,18 +227,22 @@ def stream_marks(spark, d):
     rows = accepted(checked_deliveries(spark, d))
     behind = F.least(F.lit(fx.WAVES - 1), F.col("wave") + (F.col("kind") == "clickstream").cast("int"))
     arrivals = _typed(rows.withColumn("wave", behind))
-    kept = []
-    for policy in ("min", "max"):
-        root = run_folder(spark, f"stream-marks-{policy}")
-
-        def writer(root=root):
-            source = _typed_stream(spark, f"{root}/events")
-            kinds = {kind: source.filter(F.col("topic") == topic) for kind, topic in fx.TOPICS.items()}
-            events = stateful.dedupe_kinds_stream(kinds).select("kind", "event_id", "event_ts")
-            return stateful.append_writer(events, f"{root}/out", f"{root}/checkpoint")
-
-        _run_waves(spark, arrivals, f"{root}/events", [writer], conf={stateful.MARK_POLICY: policy})
-        kept.append(spark.read.parquet(f"{root}/out").withColumn("policy", F.lit(policy)))
+    path = f"{run_folder(spark, 'stream-marks')}/events"
+    roots = {policy: run_folder(spark, f"stream-marks-{policy}") for policy in ("min", "max")}
+
+    def writer(root):
+        source = _typed_stream(spark, path)
+        kinds = {kind: source.filter(F.col("topic") == topic) for kind, topic in fx.TOPICS.items()}
+        events = stateful.dedupe_kinds_stream(kinds).select("kind", "event_id", "event_ts")
+        return stateful.append_writer(events, f"{root}/out", f"{root}/checkpoint")
+
+    # Rows are landed once for both policies, those of one topic together: a stream of one topic passes over the others.
+    _run_waves(
+        spark, arrivals, path, [partial(writer, root) for root in roots.values()],
+        prepare=lambda rows: rows.sortWithinPartitions("topic"),
+        confs=[{stateful.MARK_POLICY: policy} for policy in roots],
+    )
+    kept = [spark.read.parquet(f"{root}/out").withColumn("policy", F.lit(policy)) for policy, root in roots.items()]
     return kept[0].unionByName(kept[1])
 
 

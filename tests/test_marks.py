@@ -1,8 +1,10 @@
 """Watermarks of several kinds under both policies, and what the state stores hold after each wave."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
+from merchlake.catalog import stream_queries
 from merchlake.contracts import EVENT_FIELDS
 from merchlake.session import ROCKSDB, run_folder, temporary_conf
 from merchlake.streaming import jobs, stateful
@@ -13,6 +15,9 @@ SCHEMA = T.StructType(
     [T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), *EVENT_FIELDS]
 )
 
+EMPTY = T.StructType([*SCHEMA, *[T.StructField(name, T.StringType()) for name in ("kind", "topic", "reason")],
+                      T.StructField("wave", T.IntegerType())])
+
 
 def conf(policy="min", partitions=2):
     return {
@@ -96,3 +101,15 @@ def test_state_of_a_processor_is_counted_by_variable(spark):
     held = {r.store: r.rows for r in stateful.state_sizes(spark, f"{root}/ck").collect()}
     # The payment is near the end of a slice or not: one slice or two.
     assert held["orders"] == 2 and held["payments"] in (1, 2) and set(held) == {"orders", "payments"}
+
+
+def test_both_policies_read_one_landing(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(stream_queries, "_run_waves", lambda *args, **options: calls.append((args, options)))
+    monkeypatch.setattr(stream_queries, "checked_deliveries", lambda s, d: s.createDataFrame([], EMPTY))
+    with pytest.raises(AnalysisException):
+        stream_queries.stream_marks(spark, "")
+    ((args, options),) = calls
+    assert len(args[3]) == 2
+    assert options["confs"] == [{stateful.MARK_POLICY: "min"}, {stateful.MARK_POLICY: "max"}]
+    assert stream_queries._stream_conf(spark)["spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"] == "false"
