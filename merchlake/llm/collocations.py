@@ -30,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ SCALE = 2_000_000
 #: Distinct phrases that a task counts before it hands them on, and bytes of texts that it looks at together.
 HELD_PHRASES = 1 << 19
 BLOCK_BYTES = 1 << 20
+#: Phrases of one batch that a task hands on, so that neither side holds all of them a second time.
+HANDED_ROWS = 1 << 14
 #: Most bits of a filter, and bits for each phrase below that.
 FILTER_BITS = 1 << 27
 BITS_PER_PHRASE = 24
@@ -259,14 +262,18 @@ def count_phrases(texts: DataFrame, gates: dict[int, Gate], min_count: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
 
-        def handed_on() -> pa.RecordBatch:
-            columns = [
-                pa.array([g for g, own in counts.items() for _ in own], pa.string()),
-                pa.array([p for own in counts.values() for p in own], pa.binary()).cast(pa.string()),
-                pa.array([n for own in counts.values() for n in own.values()], pa.int64()),
-            ]
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for name, own in counts.items():
+                found = iter(own.items())
+                while part := list(islice(found, HANDED_ROWS)):
+                    phrases, a = zip(*part)
+                    columns = [
+                        pa.array([name] * len(part), pa.string()),
+                        pa.array(phrases, pa.binary()).cast(pa.string()),
+                        pa.array(a, pa.int64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
             counts.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
 
         for block in _blocks(batches):
             codes = {name: number for number, name in enumerate(dict.fromkeys(block.languages))}
@@ -276,9 +283,8 @@ def count_phrases(texts: DataFrame, gates: dict[int, Gate], min_count: int) -> D
                 for name, code in codes.items():
                     counts.setdefault(name, Counter()).update(block.phrases(at[language[at] == code], size))
             if sum(map(len, counts.values())) > HELD_PHRASES:
-                yield handed_on()
-        if counts:
-            yield handed_on()
+                yield from handed_on()
+        yield from handed_on()
 
     found = texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, a long")
     return found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count)

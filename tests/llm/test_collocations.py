@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from merchlake.llm import collocations
@@ -125,3 +126,33 @@ def test_sieve_never_misses():
         np.bitwise_or.at(sieve.words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
     assert sieve(inside).all()
     assert sieve(rng.integers(1, 1 << 63, 1000, dtype=np.uint64) | np.uint64(1)).mean() < 0.05
+
+
+def test_tasks_hand_phrases_on_in_pieces(monkeypatch):
+    """What a task holds leaves it in bounded batches, all counts complete."""
+    monkeypatch.setattr(collocations, "HANDED_ROWS", 7)
+
+    class Texts:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def __getattr__(self, name):
+            return lambda *args: self
+
+        def __ge__(self, other):
+            return self
+
+    texts = Texts()
+    monkeypatch.setattr(collocations, "F", Texts())
+    collocations.count_phrases(texts, {1: lambda block: np.flatnonzero(block.hashes(1) != 0)}, 1)
+    rows = [("en", " ".join(f"w{n % 40}" for n in range(100))), ("de", "eins zwei eins")]
+    names, words = (list(column) for column in zip(*rows))
+    batches = list(texts.run(iter([pa.RecordBatch.from_pydict({"lang": names, "text": words})])))
+    assert max(batch.num_rows for batch in batches) <= 7
+    found = {(r["lang"], r["phrase"]): r["a"] for batch in batches for r in batch.to_pylist()}
+    want = Counter((name, word) for name, text in rows for word in text.split())
+    assert found == want and sum(batch.num_rows for batch in batches) == len(want)
