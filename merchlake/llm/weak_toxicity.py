@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark import Broadcast
@@ -36,6 +37,9 @@ from merchlake.llm.components import saved
 
 #: Labelled rows that the lexicon and the classifier are fitted on, at most.
 SAMPLE_ROWS = 12_000
+#: Distinct features that a task counts before it hands them on, and how many of them in one batch.
+HELD_FEATURES = 1 << 16
+HANDED_ROWS = 1 << 14
 LEAST_SUPPORT = 3
 LEAST_ODDS = 40.0
 PREFIXES = (4, 5, 6, 7, 8)
@@ -92,19 +96,26 @@ def _count_features(batches):
     import pyarrow as pa
 
     counts: tuple[Counter, Counter] = Counter(), Counter()
+
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        names = iter(counts[0].keys() | counts[1].keys())
+        while part := list(islice(names, HANDED_ROWS)):
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "feature": pa.array(part, pa.string()),
+                    "pos": pa.array([counts[1][f] for f in part], pa.int64()),
+                    "neg": pa.array([counts[0][f] for f in part], pa.int64()),
+                }
+            )
+        for own in counts:
+            own.clear()
+
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts[toxic].update(features(text))
-    names = list(counts[0].keys() | counts[1].keys())
-    for start in range(0, len(names), 50_000):
-        part = names[start : start + 50_000]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "feature": pa.array(part, pa.string()),
-                "pos": pa.array([counts[1][f] for f in part], pa.int64()),
-                "neg": pa.array([counts[0][f] for f in part], pa.int64()),
-            }
-        )
+            if len(counts[0]) + len(counts[1]) > HELD_FEATURES:
+                yield from handed_on()
+    yield from handed_on()
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:

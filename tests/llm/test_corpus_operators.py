@@ -383,3 +383,27 @@ def test_pipeline_stages_judge_rows_and_not_ids(spark, tmp_path, written):
     assert kept[4000, near[1]] == 1 and not kept[4001, changed[1]] and kept[5000, " "] == 2
     # A text and its near copy under different ids: the least id stays.
     assert kept[3000, clean[0]] == 1 and not kept[4001, clean[0] + " end"]
+
+
+def test_toxicity_features_are_handed_on_in_pieces(monkeypatch):
+    """A task holds a bounded number of features; partial counts add up to those of all texts."""
+    import pyarrow as pa
+
+    from merchlake.llm import weak_toxicity
+
+    monkeypatch.setattr(weak_toxicity, "HELD_FEATURES", 50, raising=False)
+    monkeypatch.setattr(weak_toxicity, "HANDED_ROWS", 16, raising=False)
+    texts = [f"alpha word{n % 30} word{n % 7} tail{n}" for n in range(200)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "toxic": [n % 2 for n in range(200)]})
+    parts = list(weak_toxicity._count_features(iter([batch])))
+    assert len(parts) > 1 and max(part.num_rows for part in parts) <= 16
+    found, want = {}, {}
+    for part in parts:
+        for row in part.to_pylist():
+            pos, neg = found.get(row["feature"], (0, 0))
+            found[row["feature"]] = pos + row["pos"], neg + row["neg"]
+    for n, text in enumerate(texts):
+        for feature in weak_toxicity.features(text):
+            pos, neg = want.get(feature, (0, 0))
+            want[feature] = pos + n % 2, neg + 1 - n % 2
+    assert found == want
