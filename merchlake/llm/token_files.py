@@ -25,6 +25,7 @@ import json
 import struct
 import sys
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from types import ModuleType
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from merchlake.llm.batches import map_rows
+from merchlake.llm.bpe import SETTLED, byte_alphabet
 from merchlake.llm.components import saved
 from merchlake.session import temporary_conf
 
@@ -50,19 +52,25 @@ MAX_SHARDS = 1 << 16
 END_ID = 0
 #: Distinct pieces of each of the two generations that a Python worker remembers (about 200 bytes each).
 WORD_MEMORY = 250_000
-#: Marks that end words.
-ENDINGS = ".,;:!?"
+#: Marks that may follow words, and the number and length of their runs that a Python worker remembers.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+MARK_MEMORY = 10_000
+MARK_LENGTH = 16
+#: Characters of texts that are encoded together (more only for a single text that is longer).
+TOGETHER = 1 << 15
 _GAMMA = 1.5
 _MAX_LEVELS = 40
 
+
 class Encoder:
     """Token ids of whole texts, as the tokenizer gives them.
 
-    A byte-level BPE cuts text into words before it merges, and always cuts before a space that stands alone. So what
-    stands between spaces can be encoded by itself and remembered, as can a word without the mark after it; what is new in
-    a text goes to the tokenizer in one call. Memory has two generations: what is in use moves to the younger one, the
-    older one is let go when that is full. Where the tokenizer works differently, or a text has other spacing or a special token in it, the
-    tokenizer gets the whole text.
+    A byte-level BPE cuts text into words before it merges, and always cuts before a space that stands alone, around a
+    line feed that stands alone and between letters and marks. So what stands between spaces can be encoded by itself,
+    and of it the words without the marks and line feeds after them, and remembered. What is new in a text goes to the
+    tokenizer in one call for words, which it only has to merge, and one for all else. Memory has two generations: what is
+    in use moves to the younger one, the older one is let go when that is full. Where the tokenizer works differently, or
+    a text has other spacing or a special token in it, the tokenizer gets the whole text.
     """
 
     def __init__(self, path: str):
@@ -71,24 +79,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        split = spec.get("pre_tokenizer") or {}
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.by_word = (
-            spec["model"]["type"] == "BPE"
+            model["type"] == "BPE"
             and spec.get("normalizer") is None
             and split.get("type") == "ByteLevel"
             and split.get("use_regex", True)
             and not split.get("add_prefix_space")
-            and not spec["model"].get("dropout")
+            and not model.get("dropout")
         )
         self.special = [t["content"] for t in spec.get("added_tokens") or ()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        # Whether a token begins with a space, which byte-level vocabularies write as U+0120.
+        # Whether a token begins with a space or a line feed, which byte-level vocabularies write as U+0120 and U+010A.
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
-            self.opens[number] = token.startswith("\u0120")
-        self.marks = {m: self._whole(m) for m in ENDINGS} if self.by_word else {}
-        # What follows a space, and the ids of both, in two generations.
+            self.spaced[number] = token.startswith("\u0120")
+            self.opens[number] = token.startswith(("\u0120", "\u010a"))
+        self.newline = self._whole("\n")
+        # The model without the splitting, for words already split: it has to merge nothing over their bounds.
+        self.merger = Tokenizer(self.tokenizer.model) if self.by_word and _merges_apart(model) else None
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        # Ids of runs of marks.
+        self.marks: dict[str, bytes] = {}
+        # Words and other pieces that follow a space, words that begin a line (named with a space before them) and
+        # their ids, in two generations.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -98,37 +114,152 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        """Remember pieces that each follow a space, by one call for those that are no known word with a mark after it."""
-        known, older, marks = self.known, self.older, self.marks
-        known.update((piece, older[piece]) for piece in new if piece in older)
-        # A letter or digit and a mark never share a token.
-        marked = [piece for piece in new if piece[-1] in marks and piece[-2:-1].isalnum() and piece[-2] < "\u0558"]
-        asked = new.difference(marked)
-        asked.update([piece[:-1] for piece in marked])
-        asked = [piece for piece in asked if piece not in known]
-        if asked:
-            ids = self._ids(" " + " ".join(asked))
-            # The only spaces are those before the pieces, so a token that begins with one begins a piece.
-            cuts = [*(np.flatnonzero(self.opens[ids]) * self.width).tolist(), len(ids) * self.width]
-            packed = ids.tobytes()
-            known.update([(piece, packed[a:b]) for piece, a, b in zip(asked, cuts, cuts[1:])])
-        known.update([(piece, known[piece[:-1]] + marks[piece[-1]]) for piece in marked])
+    def _merged(self, text: str) -> np.ndarray:
+        """Ids of words that each follow a space or a line feed."""
+        if self.merger is None:
+            return self._ids(text)
+        if text.isascii():
+            text = text.replace(" ", "\u0120").replace("\n", "\u010a")
+        else:
+            text = text.encode().decode("latin-1").translate(self.alphabet)
+        return np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _of_marks(self, run: str) -> bytes:
+        if len(run) > MARK_LENGTH:
+            return self._whole(run)
+        ids = self.marks.get(run)
+        if ids is None:
+            if len(self.marks) >= MARK_MEMORY:
+                self.marks.clear()
+            ids = self.marks[run] = self._whole(run)
+        return ids
+
+    def _words(self, piece: str, settled: bool) -> list[tuple[str, bytes]] | None:
+        """Words of a piece, one a line, by their names in memory, each with the ids of the marks after it; None if there is more to it."""
+        parts = []
+        begins = piece[0] == " "
+        for line in piece[begins:].split("\n"):
+            word = line.rstrip(MARKS)
+            # Versions of Unicode must agree on what a letter is.
+            if not word.isalpha() or not (settled or SETTLED.fullmatch(word)):
+                return None
+            parts.append((" " + word if begins else word, self._of_marks(line[len(word) :]) if line != word else b""))
+            begins = True
+        return parts
+
+    def _learn(self, new: set[str], words: bool) -> None:
+        """Remember words, or other pieces, that are not known."""
+        known, older = self.known, self.older
+        after, begin = [], []
+        for name in new:
+            ids = older.get(name)
+            if ids is not None:
+                known[name] = ids
+            elif name[0] == " ":
+                begin.append(name)
+            else:
+                after.append(name)
+        if not (after or begin):
+            return
+        text = (" " + " ".join(after) if after else "") + "".join(begin).replace(" ", "\n")
+        # The only spaces and, around words, line feeds are those before them, so a token that begins with one begins a piece.
+        ids, opens = (self._merged(text), self.opens) if words else (self._ids(text), self.spaced)
+        starts = np.flatnonzero(opens[ids])
+        ends = [*(starts[1:] * self.width).tolist(), len(ids) * self.width]
+        # Of a line's first word, the line feed is left out.
+        starts[len(after) :] += 1
+        packed = ids.tobytes()
+        known.update(zip(after + begin, [packed[a:b] for a, b in zip((starts * self.width).tolist(), ends)]))
+
+    def _fill(self, pieces: list[str], found: list[bytes | None]) -> list[int]:
+        """Find the ids of the pieces that are not known by name; the places of those that need the rest of their text."""
+        if len(self.known) >= WORD_MEMORY:
+            self.older, self.known = self.known, {}
+        known = self.known
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        new = {pieces[at] for at in missing}
+        letters = "".join(new)
+        settled = letters.isascii() or SETTLED.fullmatch(letters) is not None
+        plain, others, cut = set(), set(), {}
+        made: dict[str, bytes | None] = {}
+        for piece in new:
+            if settled and piece.isalpha():
+                plain.add(piece)
+            elif piece and (parts := self._words(piece, settled)):
+                cut[piece] = parts
+            elif piece[:1] == " ":
+                made[piece] = self._whole(piece[1:])
+            elif not piece or piece[0].isspace():
+                # A space before other white space or the end may belong to either side. No such piece is ever known.
+                made[piece] = None
+            else:
+                others.add(piece)
+        # A word met before with marks after it is remembered with them, too.
+        again = [piece for piece, parts in cut.items() if len(parts) == 1 and piece[0] != " " and parts[0][0] in known]
+        self._learn(plain.union([name for parts in cut.values() for name, _ in parts if name not in known]), True)
+        self._learn(others, False)
+        join = self.newline.join
+        for piece, parts in cut.items():
+            made[piece] = join([known[name] + marks for name, marks in parts]) if len(parts) > 1 else known[parts[0][0]] + parts[0][1]
+        known.update([(piece, made[piece]) for piece in again])
+        made.update([(piece, known[piece]) for piece in plain | others])
+        for at in missing:
+            found[at] = made[pieces[at]]
+        return [at for at in missing if found[at] is None] if None in made.values() else []
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens."""
+        pieces, ends = [], []
+        for text in texts:
+            at = len(pieces)
+            pieces += text.split(" ")
+            # What begins a text is remembered as what begins a line.
+            pieces[at] = " " + pieces[at]
+            ends.append(len(pieces))
+        found = list(map(self.known.get, pieces))
+        odd = self._fill(pieces, found) if None in found else ()
+        whole = {bisect_right(ends, at) for at in odd}
+        return [
+            self._whole(text) if at in whole else b"".join(found[a:b])
+            for at, (text, a, b) in enumerate(zip(texts, [0, *ends], ends))
+        ]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out, part, size = [], [], 0
+        for text in texts:
+            by_word = self.by_word and not any(s in text for s in self.special)
+            if part and (not by_word or size + len(text) > TOGETHER):
+                out += self._together(part)
+                part, size = [], 0
+            if by_word:
+                part.append(text)
+                size += len(text)
+            else:
+                out.append(self._whole(text))
+        return out + self._together(part)
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or any(s in text for s in self.special):
-            return self._whole(text)
-        first, *pieces = text.split(" ")
-        new = set(pieces).difference(self.known)
-        if new:
-            # A space before other white space or the end may belong to either side. No such piece is ever known.
-            if not all(new) or any(piece[0].isspace() for piece in new):
-                return self._whole(text)
-            if len(self.known) >= WORD_MEMORY:
-                self.older, self.known = self.known, {}
-                new = set(pieces)
-            self._learn(new)
-        return self._whole(first) + b"".join(map(self.known.__getitem__, pieces))
+        return self.encode_all([text])[0]
+
+
+def _merges_apart(model: dict) -> bool:
+    """Whether merging words that follow a space or a line feed, all in one, is merging each of them."""
+    if any(model.get(k) for k in ("unk_token", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
+        return False
+    to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+
+    def in_word(token: str) -> bool:
+        if not to_byte.keys() >= set(token):
+            return True
+        text = bytes([to_byte[c] for c in token]).decode(errors="replace").strip(" \n")
+        # Part of a character may be part of a letter.
+        return all(c.isalpha() or c == "\ufffd" for c in text)
+
+    white = {"\u0120", "\u010a"}
+    return not any(
+        (b[0] in white and a[-1] not in white and in_word(a)) or (a[-1] == "\u010a" and b[0] not in white and in_word(b))
+        for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    )
 
 
 def encoder(path: str) -> Encoder:
@@ -278,18 +409,20 @@ _SEGMENTS = (
 
 
 def _tokenise(path: str, bounds: list[int], end_id: int):
-    def make():
-        encode = encoder(path).encode
-        end = np.array([end_id], encoder(path).dtype).tobytes()
-        edges = np.array(bounds, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        end = np.array([end_id], own.dtype).tobytes()
+        for batch in batches:
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            shards = [0 if i is None else bisect_left(bounds, i) for i in ids]
+            data = [tokens + end for tokens in own.encode_all([text or "" for text in texts])]
+            columns = zip((shards, ids, data), _TOKENS)
+            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in columns], schema=_TOKENS)
 
-        def row(doc_id, text) -> Iterator[tuple]:
-            shard = 0 if doc_id is None else int(np.searchsorted(edges, doc_id, side="left"))
-            yield shard, doc_id, (encode(text) if text else b"") + end
+    return run
 
-        return row
 
-    return make
+_TOKENS = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("data", pa.binary())])
 
 
 def _pack(width: int):
@@ -373,7 +506,7 @@ def write_token_files(
     spark.createDataFrame([(width, end_id, bounds)], "width int, end_id int, bounds array<long>").coalesce(
         1
     ).write.parquet(f"{folder}/layout")
-    tokens = map_rows(texts, _tokenise(tokenizer_path, bounds, end_id), "shard int, id long, data binary")
+    tokens = texts.mapInArrow(_tokenise(tokenizer_path, bounds, end_id), "shard int, id long, data binary")
     (
         tokens.repartition(shards, "shard")
         .sortWithinPartitions("shard", "id", "data")

@@ -240,6 +240,45 @@ def test_encoder_gives_what_the_tokenizer_gives(name):
         assert ids == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_known_words_are_not_asked_again(monkeypatch):
+    path = public.path("byte_bpe_50k.json")
+    plain, encoder = tokenizers.Tokenizer.from_file(path), token_files.Encoder(path)
+    encoder.encode("Haus vier Haus\nvier\nHaus zwölf zwölf.")
+    asked = []
+    for name in ("_ids", "_merged"):
+        own = getattr(encoder, name)
+        monkeypatch.setattr(encoder, name, lambda text, own=own: asked.append(text) or own(text))
+    # Other marks after the same words, and other lines, as a text's first, inner and last words.
+    text = "vier, Haus.\nvier*** (vier\nHaus; zwölf?! zwölf, Haus,\nHaus"
+    ids = np.frombuffer(encoder.encode(text), encoder.dtype).tolist()
+    assert ids == plain.encode(text, add_special_tokens=False).ids
+    assert {a for a in asked if any(c.isalpha() for c in a)} == {" (vier\nHaus;"}
+
+
+def test_texts_encoded_together(monkeypatch):
+    path = public.path("byte_bpe_50k.json")
+    plain, encoder = tokenizers.Tokenizer.from_file(path), token_files.Encoder(path)
+    assert encoder.merger is not None
+    monkeypatch.setattr(token_files, "TOGETHER", 60)
+    monkeypatch.setattr(token_files, "WORD_MEMORY", 40)
+    rng = random.Random(8)
+    words = ["the", "Haus", "été", "漢字", "ǅa", "don't", "a1", "x.", "y,***", "\xa0z", "", "\n", "\n\nb", "c\n", "d\n\ne", "f.\ng", "\r\n", "<|endoftext|>"]
+    texts = [" ".join(rng.choices(words[: rng.choice([6, 10, 18])], k=rng.randint(0, 9))) for _ in range(3000)]
+    texts += ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) + rng.choice(["", ",", "\nk", " é!"]) for _ in range(500)]
+    got = encoder.encode_all(texts)
+    assert [np.frombuffer(g, encoder.dtype).tolist() for g in got] == [
+        plain.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+
+
+def test_vocabularies_that_merge_over_words():
+    model = {"merges": ["\u0120 t", "h e", "\u010a \u010a", ["\u0120", "\u0120"], "\u0120\u00c2\u0142 \u0120\u00c2\u0142"]}
+    assert token_files._merges_apart(model)
+    for merge in ("e \u0120", "e \u0120t", "\u0120t \u010a", "\u010a t", "\u0143 \u0120"):
+        assert not token_files._merges_apart({"merges": [*model["merges"], merge]}), merge
+    assert not token_files._merges_apart(model | {"ignore_merges": True})
+
+
 def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     prepare(spark)
     monkeypatch.setattr(token_files, "SHARD_BYTES", 4000)
