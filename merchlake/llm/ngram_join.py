@@ -9,8 +9,11 @@ a few more, so such rows agree entirely in at least one block that is not empty
 block row (its hash) can therefore reach the bound; all other pairs are discarded without being formed.
 
 *Discarding.* Every filled block in which two rows do not agree holds a difference, so linked rows agree in at least
-``max(filled) - d(a, b)`` blocks. A row that shares too few block rows with all others together is dropped, and so are
-pairs that share too few; pairs are only counted where at most ``PAIR_GROUP`` rows share a block row, larger groups are
+``max(filled) - d(a, b)`` blocks. A row that shares too few block rows with all others together is dropped. Each row's
+block rows are then ordered, those of the fewest rows first. If a row must share ``need`` of them with any linked row, the
+first one that two linked rows share is not among the last ``need - 1`` of either, so pairs meet in the others alone: a line
+that stands in many documents connects only what is made of such lines. Where at most ``PAIR_GROUP`` rows share a block
+row, pairs are counted, and dropped if they share too few even with all larger groups of theirs; larger groups are
 tied to one of their rows and decided by the product.
 
 *Row blocks.* Rows connected by what is left form groups. Each group is cut into row blocks of at most
@@ -32,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from merchlake.llm.components import components, saved
 
@@ -347,7 +351,8 @@ def candidate_edges(keys: DataFrame, fills: DataFrame, num: int, den: int) -> Da
 
     ``fills`` has ``row``, ``n``, ``class``, ``filled`` and ``need``.
     """
-    shared = saved(_shared(keys), "shared-blocks")
+    # Copies in several tasks name a row more than once.
+    shared = saved(_shared(keys).select("key", "row").distinct(), "shared-blocks")
     of_class = F.col("key").bitwiseAND(CLASSES - 1).cast("int")
     for _ in range(DROP_ROUNDS):
         counts = shared.groupBy("row", of_class.alias("class")).agg(F.count("*").alias("held"))
@@ -355,18 +360,34 @@ def candidate_edges(keys: DataFrame, fills: DataFrame, num: int, den: int) -> Da
         shared = shared.select("key", "row", of_class.alias("class")).join(kept, ["row", "class"], "left_semi")
         shared = saved(_shared(shared.select("key", "row")), "shared-blocks")
 
-    small = shared.filter(F.col("size") <= PAIR_GROUP).select("key", "row")
+    # Of the block rows of a row, those of the most rows come first; linked rows meet beyond the first ``need - 1``.
+    back = F.row_number().over(Window.partitionBy("row", "class").orderBy(F.desc("size"), F.desc("key")))
+    ranked = (
+        shared.select("key", "row", of_class.alias("class"), "size")
+        .join(fills.select("row", "class", "need"), ["row", "class"])
+        .select("key", "row", "class", (F.col("size") > PAIR_GROUP).alias("large"), (back >= F.col("need")).alias("meets"))
+    )
+    ranked = saved(ranked, "ranked-blocks")
+
+    small = ranked.filter("not large")
     pairs = (
-        small.select("key", F.col("row").alias("a"))
-        .join(small.select("key", F.col("row").alias("b")), "key")
+        small.select("key", F.col("row").alias("a"), F.col("meets").alias("meets_a"))
+        .join(small.select("key", F.col("row").alias("b"), F.col("meets").alias("meets_b")), "key")
         .filter("a < b")
         .groupBy("a", "b", of_class.alias("class"))
-        .agg(F.count("*").alias("agree"))
+        .agg(F.count("*").alias("agree"), F.max(F.col("meets_a") & F.col("meets_b")).alias("meet"))
+        .filter("meet")
     )
+    large = ranked.filter("large")
+    kinds = fills.join(large.groupBy("row", "class").agg(F.count("*").alias("large")), ["row", "class"], "left")
 
     def side(name: str) -> DataFrame:
-        return fills.select(
-            F.col("row").alias(name), "class", F.col("n").alias(f"n_{name}"), F.col("filled").alias(f"filled_{name}")
+        return kinds.select(
+            F.col("row").alias(name),
+            "class",
+            F.col("n").alias(f"n_{name}"),
+            F.col("filled").alias(f"filled_{name}"),
+            F.coalesce("large", F.lit(0)).alias(f"large_{name}"),
         )
 
     total = F.col("n_a") + F.col("n_b")
@@ -375,10 +396,10 @@ def candidate_edges(keys: DataFrame, fills: DataFrame, num: int, den: int) -> Da
         pairs.join(side("a"), ["a", "class"])
         .join(side("b"), ["b", "class"])
         .filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-        .filter(F.col("agree") >= F.greatest("filled_a", "filled_b") - differ)
+        .filter(F.col("agree") + F.least("large_a", "large_b") >= F.greatest("filled_a", "filled_b") - differ)
         .select("a", "b")
     )
-    large_edges = shared.filter((F.col("size") > PAIR_GROUP) & (F.col("row") != F.col("least")))
+    large_edges = _shared(large.filter("meets").select("key", "row")).filter("row <> least")
     return small_edges.union(large_edges.select(F.col("row").alias("a"), F.col("least").alias("b"))).distinct()
 
 

@@ -92,6 +92,48 @@ def test_join_over_several_row_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute_join(rows, 3, 80, 100))
 
 
+def near_pairs(size):
+    """Near copies two by two, all under the same long line."""
+    rng = random.Random(11)
+    line = " ".join(f"c{i}" for i in range(60))
+    rows = []
+    for i in range(size):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for copy in range(2):
+            words[60 + copy] = f"x{copy}"
+            rows.append((2 * i + copy, line + " " + " ".join(words)))
+    return rows
+
+
+def test_a_common_line_connects_no_rows(spark, monkeypatch):
+    prepare(spark)
+    rows = near_pairs(40)
+    grouped = []
+    found = ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: grouped.append(found(edges)) or grouped[-1])
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n=5, num=80, den=100).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_join(rows, 5, 80, 100))
+    sizes = [r["count"] for r in grouped[0].groupBy("component").count().collect()]
+    assert len(sizes) == 40 and max(sizes) == 2
+
+
+@pytest.mark.parametrize("group", [1, 2, 5])
+def test_join_where_most_block_rows_are_common(spark, monkeypatch, group):
+    prepare(spark)
+    monkeypatch.setattr(ngram_join, "PAIR_GROUP", group)
+    rng = random.Random(group)
+    lines = [" ".join(f"v{rng.randrange(300)}" for _ in range(rng.randint(3, 30))) for _ in range(12)]
+    rows = []
+    for i, text in enumerate(corpus(group, 200)):
+        parts = rng.sample(lines, rng.randint(0, 5)) + ([text] if rng.random() < 0.8 else [])
+        rows.append((i, " ".join(parts)))
+    # Copies in several tasks.
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = ngram_join.ngram_join(table, n=5, num=80, den=100).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_join(rows, 5, 80, 100))
+
+
 def test_join_of_empty_and_unlinked_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.ngram_join(none).count() == 0
